@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftbase.llm import additive, divergence, langid, mixing, neighbours, pieces, secrets
+from weftbase.llm import additive, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, repeat_bytes, secrets
 from weftbase.llm.scratch import keep
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,6 +38,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
 
 
+def op4_repeat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_bytes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("member")
+
+
 def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.search(neighbours.build_index(vectors), vectors.filter(F.col("vec_id") % 50 == 0))
@@ -57,6 +65,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return divergence.judge(docs, divergence.references(docs)).drop("text", "lang")
@@ -66,9 +78,12 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_repeat_bytes": op4_repeat_bytes,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_nearest_vectors": op6_nearest_vectors,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
