@@ -1,41 +1,12 @@
-"""Intermediate tables in the folder that the whole cluster shares.
-
-A table written here cuts the lineage: when executors are lost later, readers go back to the files
-instead of to the work that made them.
-"""
+"""Tables between steps, and columns that results replace."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names it; else a folder of the warehouse.
-
-    Only a session in local mode, where one machine does everything, gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        made = tempfile.mkdtemp(prefix="weft-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-        return f"file://{made}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
+from pyspark.sql import DataFrame
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return it as read from there.
+from weftbase.sources.scratch import keep, scratch_dir
 
-    Tables of an application that has ended can be deleted: ``<dir>/<application id>/``.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["keep", "scratch_dir", "without"]
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
