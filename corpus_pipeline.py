@@ -33,9 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; every secret in them becomes a mark, and n_chars follows."""
     found = secrets.find_secrets(docs)
-    text = secrets.redact(F.col("text"), F.col("secrets"))
-    changed = found.withColumns({"text": text, "n_chars": F.when(F.size("secrets") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))})
-    return changed.select(*docs.columns)
+    found = found.withColumn("_redacted", secrets.redact(F.col("text"), F.col("secrets")))
+    made = {"text": F.col("_redacted"), "n_chars": F.when(F.size("secrets") > 0, F.length("_redacted").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
