@@ -14,7 +14,7 @@ def rates(progress: DataFrame, total: int) -> DataFrame:
     rows = progress.withColumns({"change": F.col("chunks") - F.lag("chunks").over(w), "seconds": F.col("ts") - F.lag("ts").over(w), "begun": F.first("ts").over(w)})
     rate = F.when(F.col("seconds") > 0, F.col("change") / F.col("seconds"))
     rows = rows.withColumn("rate", F.round(rate, 6))
-    eta = F.when(F.col("rate") > 0, F.round((total - F.col("chunks")) / rate, 2))
+    eta = F.when(F.col("rate") > 0, F.floor((total - F.col("chunks")) * F.col("seconds") / F.col("change")))
     overall = F.when(F.col("ts") > F.col("begun"), F.round(F.lit(60.0) * F.col("chunks") / (F.col("ts") - F.col("begun")), 6))
     return rows.withColumns({"eta_s": eta, "per_minute": overall}).drop("begun")
 

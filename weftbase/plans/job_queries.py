@@ -269,7 +269,7 @@ def until_target(spark, sf_dir):
 _RATES = f"{EVENTS_SQL}, l AS (SELECT *, chunks - lag(chunks) OVER w AS change, ts - lag(ts) OVER w AS seconds, first_value(ts) OVER w AS begun FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)), rt AS (SELECT *, round(CASE WHEN seconds > 0 THEN change / seconds END, 6) AS rate FROM l)"
 
 
-@query(f"WITH {_RATES} SELECT event_id, change, seconds, rate, CASE WHEN rate > 0 THEN round((1000 - chunks) / (change / seconds), 2) END AS eta_s, CASE WHEN ts > begun THEN round(60.0 * chunks / (ts - begun), 6) END AS per_minute FROM rt")
+@query(f"WITH {_RATES} SELECT event_id, change, seconds, rate, CASE WHEN rate > 0 THEN cast(floor((1000 - chunks) * seconds / change) AS bigint) END AS eta_s, CASE WHEN ts > begun THEN round(60.0 * chunks / (ts - begun), 6) END AS per_minute FROM rt")
 def progress_rates(spark, sf_dir):
     return monitor.rates(events(spark, sf_dir), 1000).select("event_id", "change", "seconds", "rate", "eta_s", "per_minute")
 
