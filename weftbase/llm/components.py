@@ -20,7 +20,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        large = _distinct(large)
         under = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(under, "a").select("b", "m").filter("b != m").toDF("a", "b").union(under.select("a", "m").toDF("a", "b"))
         now = keep(_distinct(small), "edges")

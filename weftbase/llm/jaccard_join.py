@@ -1,14 +1,15 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document's shingles are ordered by hash, with frequent ones last. Two sets of similarity t or more share
-at least l of their (|x| - ceil(t|x|) + l) first shingles. How far a document's prefix goes beyond l = 1
-follows its estimated candidate cost: every document takes ``SLACK`` shingles more, and one more for each
-shingle of its prefix that its batch shows to be frequent. A pair needs correspondingly more shared prefix
-shingles before its sets are compared.
-
-Documents with equal sets are one class. A shingle that is in many prefixes is not joined for documents
-whose prefix is long enough without it; documents made of frequent shingles are compared with all that
-share one, in what the pivot rounds leave open.
+A document's shingles are ordered by hash, with frequent ones last. Sets x and y of similarity 0.8 or more
+have at least c = ceil(4/9 (|x| + |y|)) shingles in common, hence at least l among the first |x| - c + l of
+x and |y| - c + l of y. How far a document's prefix goes follows its estimated candidate cost: a share of
+its size more than the least, and one more for each shingle that its batch shows to be frequent. A pair
+needs correspondingly more shared prefix shingles before its sets are compared: about half of both
+prefixes for sets of like size.
+
+Documents with equal sets are one class. A shingle that is in many prefixes is not joined for pairs whose
+prefixes are long enough without it; the others are joined by all their shingles, in what the pivot rounds
+leave open.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from weftbase.llm.scratch import keep
 from weftbase.llm.textbatch import Block, blocks, mix64, segment_sums, shingle_hashes, signed, word_hashes, words
 
 WIDTH = 5
-SLACK = 12
-#: A shingle in so many documents of a batch counts as frequent there, and in so many prefixes of all as frequent.
-SEEN, FREQUENT = 3, 64
-#: Sets at least this large have SLACK to spare, and so do all sets similar to them.
+#: A prefix takes LEAST shingles, and one for every SHARE of the set, more than it must.
+LEAST, SHARE = 12, 20
+#: A shingle in so many documents of a batch counts as frequent there, and in more prefixes of all as frequent.
+SEEN, FREQUENT = 3, 16
+#: Sets at least this large can take LEAST shingles more, and so can all sets similar to them.
 FULL = 40
 
 
@@ -52,7 +54,7 @@ def set_names(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def prefix_base(n):
-    """|x| - ceil(0.8 |x|) + 1: prefix length at l = 1."""
+    """|x| - ceil(0.8 |x|) + 1: prefix length at l = 1, whatever the partner."""
     return n - (4 * n + 4) // 5 + 1
 
 
@@ -94,7 +96,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
             own = np.repeat(keep_, n)
             hashes, n, names = hashes[own], n[keep_], names[keep_]
             offsets = np.concatenate([[0], np.cumsum(n)])
-            least = np.minimum(prefix_base(n) + SLACK, n)
+            least = np.minimum(prefix_base(n) + LEAST + n // SHARE, n)
             rank = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
             order = np.argsort(hashes, kind="stable")
             sorted_ = hashes[order]
@@ -131,31 +133,35 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = hashes.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(at)), pa.array([raw[8 * at[i] : 8 * at[i + 1]] for i in range(len(block))], pa.binary())], ["member", "n", "tokens"])
 
-    return keep(rows.mapInArrow(run, "member long, n long, tokens binary").dropDuplicates(["member"]), "sets")
+    return keep(rows.mapInArrow(run, "member long, n long, tokens binary").dropDuplicates(["member"]), "sets", free=True)
 
 
 def exact_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of different components that share enough prefix shingles.
 
-    ``keys``: key, member, component, of keys open between components; ``sizes``: member, n, length (of
-    its prefix), frequent (how many of its prefix shingles are frequent).
+    ``keys``: key, member, component, often, of keys open between components; ``sizes``: member, n, length
+    (of its prefix), frequent (how many of its prefix shingles are often).
     """
-    rows = keys.join(sizes, "member")
-    rows = rows.withColumn("spare", F.col("length") - F.col("frequent") - F.expr("n - (4 * n + 4) div 5 + 1"))
-    rows = keep(rows.withColumn("all_spare", F.col("length") - F.expr("n - (4 * n + 4) div 5 + 1")), "rows")
-    columns = ["key", "member", "component", "n"]
+    rows = keep(keys.join(sizes.select("member", "n", "length", (F.col("length") - F.col("frequent")).alias("clear")), "member"), "rows")
+    columns = ["member", "component", "n", "length", "clear"]
 
-    def joined(left: DataFrame, right: DataFrame, spare: str) -> DataFrame:
-        x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in (*columns[1:], spare)])
-        y = right.select("key", *[F.col(c).alias(f"y_{c}") for c in (*columns[1:], spare)])
-        both = x.join(y, "key").filter("x_component != y_component").filter((5 * F.least("x_n", "y_n")) >= (4 * F.greatest("x_n", "y_n")))
-        both = both.select(F.least("x_member", "y_member").alias("a"), F.greatest("x_member", "y_member").alias("b"), "key", (1 + F.least(f"x_{spare}", f"y_{spare}")).alias("need"))
-        counted = both.groupBy("a", "b").agg(F.countDistinct("key").alias("shared"), F.min("need").alias("need"))
-        return counted.filter("shared >= need").select("a", "b")
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
+        y = right.select("key", *[F.col(c).alias(f"y_{c}") for c in columns])
+        both = x.join(y, "key").filter("x_component != y_component and 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)")
+        common = F.expr("(4 * (x_n + y_n) + 8) div 9")
+        return both.withColumns({"x_first": F.col("x_n") - common + 1, "y_first": F.col("y_n") - common + 1})
 
-    light = rows.filter("spare >= 0 and not often")
-    heavy = rows.filter("spare < 0")
-    return joined(light, light, "spare").union(joined(heavy, rows, "all_spare")).distinct()
+    def enough(both: DataFrame, prefix: str) -> DataFrame:
+        need = 1 + F.least(F.col(f"x_{prefix}") - F.col("x_first"), F.col(f"y_{prefix}") - F.col("y_first"))
+        pairs = both.select(F.least("x_member", "y_member").alias("a"), F.greatest("x_member", "y_member").alias("b"), need.alias("need"))
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
+
+    rare = rows.filter("not often")
+    light = joined(rare, rare).filter("x_member < y_member and x_clear >= x_first and y_clear >= y_first")
+    short = rows.filter("clear < n - (4 * n + 4) div 5 + 1")
+    heavy = joined(short, rows).filter("x_clear < x_first and (y_clear >= y_first or x_member < y_member)")
+    return enough(light, "clear").union(enough(heavy, "length"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -168,22 +174,22 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     names = keep(classes(docs), "classes")
     named = names.filter("n_shingles > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    shared = keep(repeated(prefixes(docs)), "shared")
+    shared = keep(repeated(prefixes(docs)), "shared", free=True)
     keys = shared.filter("not note").select("key", "member").distinct()
     lengths = shared.filter("note").groupBy("member").agg(F.max("key").alias("longer"))
     count = keys.groupBy("key").agg((F.count(F.lit(1)) > FREQUENT).alias("often"))
     keys = keep(keys.join(count, "key"), "keys")
     sizes = keys.groupBy("member").agg(F.count_if("often").alias("frequent"), F.count(F.lit(1)).alias("repeated"))
     sizes = sizes.join(named, "member").join(lengths, "member", "left")
-    least = F.least(F.expr(f"n - (4 * n + 4) div 5 + 1 + {SLACK}"), F.col("n"))
+    least = F.least(F.expr(f"n - (4 * n + 4) div 5 + 1 + {LEAST} + n div {SHARE}"), F.col("n"))
     sizes = sizes.withColumn("length", F.greatest(least, F.coalesce("longer", F.lit(0))))
-    sizes = keep(sizes.filter((F.col("n") < FULL) | (F.col("repeated") > SLACK)).drop("longer"), "sizes")
+    sizes = keep(sizes.filter(f"n < {FULL} or repeated > {LEAST} + (4 * n div 5) div {SHARE}").drop("longer"), "sizes")
     keys = keep(keys.join(sizes.select("member"), "member", "left_semi"), "keys")
     sets = set_table(docs, sizes)
     found, groups = L.star_rounds(keys.select("key", "member"), sets)
     open_ = L.open_keys(keys, groups)
     rest = keep(L.verify(exact_pairs(open_, sizes.drop("doc_id")), sets), "links")
-    groups = keep(components(found.union(rest)), "components") if not rest.isEmpty() else groups
+    groups = keep(components(found.union(rest)), "components")
     out = names.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "member")))
     least_id = out.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return out.join(least_id, "component", "left").select("doc_id", "n_shingles", "member", F.coalesce("component_id", "doc_id").alias("component_id"))

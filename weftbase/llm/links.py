@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftbase.llm.components import components
 from weftbase.llm.scratch import keep
 
 
@@ -48,24 +47,31 @@ def _best_pivots(pairs: DataFrame, n: int) -> DataFrame:
 
 
 def star_rounds(keys: DataFrame, sets: DataFrame, rounds: int = 3, pivots: int = 2, share: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame]:
-    """(links, components): ``keys`` is (key, member). Each round compares members with the least and the
-    greatest component's pivot of their keys, where a key has more than one component."""
+    """(links, labels): ``keys`` is (key, member). The first round compares members with the least member of
+    their keys; each later one with the members of the least and the greatest label of their keys, where a
+    key has more than one label."""
     first = keys.groupBy("key").agg(F.min("member").alias("pivot"))
     pairs = keys.join(first, "key").filter("member != pivot").select("member", "pivot")
-    links = keep(verify(_best_pivots(pairs, pivots), sets, share), "links")
-    found = keep(components(links), "components")
+    links = keep(verify(_best_pivots(pairs, pivots), sets, share), "links", free=True)
     for _ in range(rounds - 1):
-        own = open_keys(keys, found)
+        own = open_keys(keys, labels(links))
         ends = own.groupBy("key").agg(F.min(F.struct("component", "member")).alias("low"), F.max(F.struct("component", "member")).alias("high"))
         both = own.join(ends, "key")
         pairs = both.filter(F.col("component") != F.col("low.component")).select("member", F.col("low.member").alias("pivot"))
         pairs = pairs.union(both.filter(F.col("component") != F.col("high.component")).select("member", F.col("high.member").alias("pivot")))
-        new = keep(verify(_best_pivots(pairs, pivots), sets, share), "links")
+        new = keep(verify(_best_pivots(pairs, pivots), sets, share), "links", free=True)
         if new.isEmpty():
             break
         links = links.union(new)
-        found = keep(components(links), "components")
-    return links, found
+    return links, keep(labels(links), "labels")
+
+
+def labels(links: DataFrame) -> DataFrame:
+    """(node, component): the least member linked with a node, or linked with that one. A step towards the
+    components that needs no iteration: equal labels mean one component, one component can have several."""
+    least = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    again = least.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return least.join(again, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
 
 
 def with_components(keys: DataFrame, found: DataFrame) -> DataFrame:
