@@ -128,7 +128,9 @@ def plain_removal(texts):
     return out
 
 
-def test_repeat_bytes(spark):
+@pytest.mark.parametrize("few", [512, 2])
+def test_repeat_bytes(spark, monkeypatch, few):
+    monkeypatch.setattr(repeat_bytes, "FEW", few)
     rng = random.Random(6)
     common = "".join(rng.choice("abc ") for _ in range(400))
     texts = [None, "", "a" * 99, "a" * 100, "a" * 101, "a" * 350, "ab" * 120, "é" * 80, "é" * 80 + "x", common, common, common[:250], "zz" + common[100:199] + "q", "zz" + common[100:200] + "q"]

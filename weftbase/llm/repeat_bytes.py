@@ -3,9 +3,12 @@
 Any two equal strings of 100 bytes share their least-hashed 48-byte seed (the minimum over the 53 seeds
 within the string), so strings need comparing only where a document's seed also occurs elsewhere. The
 strings that share one least seed in a row form a block. A block whose bytes stand earlier as a block is
-repeated as a whole; what is left (blocks whose seed comes with other blocks too: the edges of repeats) is
-compared string by string. Every comparison is a grouping with partial sums: a passage in a third of all
-documents sends one row per task.
+repeated as a whole; what is left (first blocks whose seed comes with other blocks too: the edges of
+repeats) is compared string by string.
+
+Each task settles what it can within its own batch, so a passage in a third of all documents sends one row
+per batch. Blocks of one seed meet in groups of bounded size; of a seed with more than one group, each
+group's first strings are compared once more by a grouping.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from weftbase.llm.textbatch import Block, blocks, mix64, powers, prefix_hash, sp
 
 LENGTH, SEED = 100, 48
 SEEDS = LENGTH - SEED + 1
+#: About so many different blocks of one seed are compared in one group.
+FEW = 512
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
@@ -91,14 +96,33 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ROUTED)
 
 
+BLOCKS = "route long, key long, bytes long, doc_id long, first long, last long, gone boolean"
+_BLOCK_NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
+
+
+def _settle(key, body, doc, first, last):
+    """Order and mask of what is settled: rows in order of block and place, and which are not the first place
+    of their block."""
+    order = np.lexsort((first, doc, body, key))
+    key, body, doc, first = key[order], body[order], doc[order], first[order]
+    head = np.ones(len(key), bool)
+    head[1:] = (key[1:] != key[:-1]) | (body[1:] != body[:-1])
+    start = np.flatnonzero(head)
+    which = np.cumsum(head) - 1
+    later = (doc != doc[start][which]) | (first != first[start][which]) if len(start) else head
+    return order, head, later
+
+
 def block_rows(rows: DataFrame) -> DataFrame:
     """Blocks of documents (doc_id, text, keys) whose seed is among the document's keys: key, bytes (hash of
-    the block), doc_id, first, last (starts of its strings within the text)."""
+    the block), doc_id, first, last (starts of its strings within the text), gone where an equal block comes
+    earlier in the same batch."""
 
     def run(batches):
         for batch in batches:
             ids = _doc_ids(batch)
             wanted = batch.column("keys")
+            parts = []
             for block in blocks(batch.column("text")):
                 key, owner, first, last, prefix = seed_blocks(block)
                 use = np.zeros(len(key), bool)
@@ -107,36 +131,94 @@ def block_rows(rows: DataFrame) -> DataFrame:
                     own = wanted[block.first + i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     use[upto[i] : upto[i + 1]] = np.isin(key[upto[i] : upto[i + 1]], own)
                 key, owner, first, last = key[use], owner[use], first[use], last[use]
-                second = prefix_hash(block.data, 1)
-                body = span_hash(second, first, last + LENGTH) + (last - first).astype(np.uint64)
-                begin = block.starts[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(body.view(np.int64)), pa.array(ids[block.first + owner]), pa.array(first - begin), pa.array(last - begin)], ["key", "bytes", "doc_id", "first", "last"])
-
-    return rows.select("doc_id", "text", "keys").mapInArrow(run, "key long, bytes long, doc_id long, first long, last long")
-
-
-def string_rows(rows: DataFrame) -> DataFrame:
-    """Every string of documents (doc_id, text, spans: array of starts first..last): two hashes, doc_id, at."""
+                body = span_hash(prefix_hash(block.data, 1), first, last + LENGTH) + (last - first).astype(np.uint64)
+                parts.append((key, body, ids[block.first + owner], first - block.starts[owner], last - block.starts[owner]))
+            if not parts:
+                continue
+            columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+            order, head, later = _settle(*columns)
+            key, body, doc, first, last = (c[order] for c in columns)
+            use = head | later
+            gone = (later & ~head)[use]
+            key, body, doc, first, last = (c[use] for c in (key, body, doc, first, last))
+            route = np.where(gone, mix64(doc.view(np.uint64) ^ mix64(first.view(np.uint64))), mix64(key ^ mix64(body)))
+            arrays = (route.view(np.int64), key.view(np.int64), body.view(np.int64), doc, first, last, gone)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], _BLOCK_NAMES)
+
+    return rows.select("doc_id", "text", "keys").mapInArrow(run, BLOCKS)
+
+
+def _settled(batches):
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not parts:
+        return
+    _, key, body, doc, first, last, gone = (np.concatenate([p[i] for p in parts]) for i in range(7))
+    open_ = ~gone.astype(bool)
+    order, head, later = _settle(key[open_], body[open_], doc[open_], first[open_], last[open_])
+    use = head | later
+    picked = np.flatnonzero(open_)[order][use]
+    rows = np.concatenate([np.flatnonzero(~open_), picked])
+    off = np.concatenate([np.ones((~open_).sum(), bool), (later & ~head)[use]])
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[rows], doc[rows], first[rows], last[rows], off)], ["key", "doc_id", "first", "last", "gone"])
+
+
+def bodies(rows: DataFrame) -> DataFrame:
+    """The bytes of blocks of documents (doc_id, text, spans: array of key, first, last, groups)."""
 
     def run(batches):
         for batch in batches:
             ids = _doc_ids(batch)
             spans = batch.column("spans")
             for block in blocks(batch.column("text")):
-                a, b = prefix_hash(block.data), prefix_hash(block.data, 1)
-                at, who = [], []
+                raw = block.data.tobytes()
+                out = []
                 for i in range(len(block)):
                     own = spans[block.first + i].values
-                    first, last = own.field("first").to_numpy(), own.field("last").to_numpy()
-                    size = last - first + 1
-                    ends = np.cumsum(size)
-                    at.append(np.arange(ends[-1]) + np.repeat(first - (ends - size), size) + block.starts[i])
-                    who.append(np.full(ends[-1], i))
-                at, who = np.concatenate(at), np.concatenate(who)
-                h, g = span_hash(a, at, at + LENGTH), span_hash(b, at, at + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(ids[block.first + who]), pa.array(at - block.starts[who])], ["h", "g", "doc_id", "at"])
-
-    return rows.mapInArrow(run, "h long, g long, doc_id long, at long")
+                    begin = int(block.starts[i])
+                    for key, first, last, groups in zip(*[own.field(c).to_pylist() for c in ("key", "first", "last", "groups")], strict=True):
+                        out.append((key, int(ids[block.first + i]), first, groups, raw[begin + first : begin + last + LENGTH]))
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "first", "groups", "body"])
+
+    return rows.mapInArrow(run, "key long, doc_id long, first long, groups long, body binary")
+
+
+def _strings(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Two hashes, doc_id and start of every string of a batch of bodies, and whether its seed has more groups."""
+    column = batch.column("body").cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(column) else np.zeros(0, np.uint8)
+    at = at - at[:1] if len(column) else np.zeros(1, np.int64)
+    n = np.maximum(np.diff(at) - LENGTH + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = at[:-1][row] + off
+    hashes = [span_hash(prefix_hash(data, seed), start, start + LENGTH) for seed in (0, 1)]
+    return *hashes, batch.column("doc_id").to_numpy()[row], batch.column("first").to_numpy()[row] + off, batch.column("groups").to_numpy()[row] > 1
+
+
+COMPARED = "doc_id long, start long, end long, h long, g long"
+
+
+def _compare(batches):
+    """Strings of the bodies of a partition that stand earlier among them, as ranges of bytes; and, with their
+    hashes, the first ones of seeds that have more groups."""
+    parts = [_strings(b) for b in batches]
+    if not parts:
+        return
+    h, g, doc, at, more = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    order, head, later = _settle(h, g, doc, at, None)
+    gone, kept = order[later & ~head], order[head]
+    kept = kept[more[kept]]
+    gone = gone[np.lexsort((at[gone], doc[gone]))]
+    new = np.ones(len(gone), bool)
+    new[1:] = (doc[gone][1:] != doc[gone][:-1]) | (at[gone][1:] > at[gone][:-1] + 1)
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(gone))[: len(first)] - 1
+    none = pa.nulls(len(first), pa.int64())
+    names = [c.split()[0] for c in COMPARED.split(", ")]
+    yield pa.RecordBatch.from_arrays([pa.array(doc[gone][first]), pa.array(at[gone][first]), pa.array(at[gone][end] + LENGTH), none, none], names)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(at[kept]), pa.array(at[kept] + LENGTH), pa.array(h[kept].view(np.int64)), pa.array(g[kept].view(np.int64))], names)
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -165,21 +247,22 @@ def cut(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gone, candidates): byte ranges to remove (doc_id, start, end; they can overlap), and the documents
-    (doc_id, text) that hold any."""
-    shared = repeated(seeds(docs)).groupBy("member").agg(F.collect_list("key").alias("keys"))
-    candidates = keep(docs.join(shared.withColumnRenamed("member", "doc_id"), "doc_id"), "candidates")
-    rows = keep(block_rows(candidates), "blocks")
-    place = F.struct("doc_id", "first")
-    kinds = keep(rows.groupBy("key", "bytes").agg(F.min(F.struct("doc_id", "first", "last")).alias("earliest"), F.count(F.lit(1)).alias("n")), "kinds")
-    whole = rows.join(kinds.filter("n > 1").select("key", "bytes", F.struct("earliest.doc_id", "earliest.first").alias("place")), ["key", "bytes"])
-    whole = whole.filter(place > F.col("place")).select("doc_id", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key")
-    edges = kinds.join(mixed, "key").select("earliest.*").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    strings = keep(string_rows(candidates.join(edges, "doc_id").select("doc_id", "text", "spans")), "strings")
-    place = F.struct("doc_id", "at")
+    (doc_id, text) that can hold any."""
+    shared = keep(repeated(seeds(docs)).groupBy("member").agg(F.collect_list("key").alias("keys")), "shared", free=True)
+    candidates = keep(docs.join(shared.withColumnRenamed("member", "doc_id"), "doc_id"), "candidates", free=True)
+    settled = keep(block_rows(candidates).repartition("route").mapInArrow(_settled, "key long, doc_id long, first long, last long, gone boolean"), "settled", free=True)
+    whole = settled.filter("gone").select("doc_id", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
+    kinds = settled.filter("not gone")
+    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / FEW).alias("groups"))
+    edges = kinds.join(mixed, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "last", "groups")).alias("spans"))
+    found = keep(bodies(candidates.join(edges, "doc_id").select("doc_id", "text", "spans")), "bodies", free=True)
+    group = F.pmod(F.xxhash64("doc_id"), F.col("groups"))
+    compared = keep(found.repartition("key", group).mapInArrow(_compare, COMPARED), "compared", free=True)
+    strings = compared.filter("h is not null")
+    place = F.struct("doc_id", "start")
     early = strings.groupBy("h", "g").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    single = strings.join(early, ["h", "g"]).filter(place > F.col("place")).select("doc_id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    return whole.union(single), candidates.select("doc_id", "text")
+    across = strings.join(early, ["h", "g"]).filter(place > F.col("place")).select("doc_id", "start", "end")
+    return whole.union(compared.filter("h is null").select("doc_id", "start", "end")).union(across), candidates.select("doc_id", "text")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -191,7 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(np.iinfo(np.int64).min)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     gone, candidates = repeated_spans(docs)
-    by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    by_doc = keep(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone", free=True)
     changed = cut(candidates.join(by_doc, "doc_id").select("doc_id", "text", "gone")).drop("kept", "n_bytes").dropDuplicates(["doc_id"])
     plain = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     out = plain.join(changed, "doc_id", "left")
