@@ -167,6 +167,25 @@ def test_divergence_keeps_good_and_finds_junk(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) < len(bad)
 
 
+def test_divergence_bars_follow_the_language(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert sum(bad) <= 0.1 * len(bad) and sum(good) > 0.99 * len(good)
+
+
+def test_robust_spread():
+    rng = np.random.default_rng(1)
+    counts = np.zeros((4, divergence.BINS))
+    for b, n in ((1, 10_000), (2, 5)):
+        x = np.append(rng.normal(0.3, 0.02, n), np.full(n // 4, 0.9))
+        np.add.at(counts[b], (x * divergence.BINS).astype(int), 1)
+    got = divergence.robust(counts)
+    assert np.allclose(got, [0.307, 0.026], atol=0.004)
+    assert np.isnan(divergence.robust(counts[2:])).all()
+    assert divergence.robust(np.eye(1, divergence.BINS) * 50)[0, 1] == divergence.LEAST_SPREAD
+
+
 def test_js_distance():
     p = np.array([[1.0, 0], [1, 1], [0, 0]])
     assert np.allclose(divergence.js_distance(p, np.array([0.0, 5]))[:2], [1, math.sqrt(0.5 * (0.5 * math.log2(0.5 / 0.25) + 0.5 * math.log2(0.5 / 0.75) + math.log2(1 / 0.75)))])

@@ -1,8 +1,9 @@
 """Quality rules: counts with fixed bars, and distance from a language's usual distributions.
 
 A document's histograms of character classes and of its language's common words are compared with the
-language's own by the Jensen-Shannon distance. Texts below a least length are not judged by it: their
-histograms say too little.
+language's own by the Jensen-Shannon distance. Short texts lie further off by chance alone, so a distance is held against
+those of the language's texts of like length: it is too far beyond a number of robust spreads above their
+median. Texts below a least length are not judged by it: their histograms say too little.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ CLASS[[ord(c) for c in ".,;:!?"]] = 31
 CLASS[[ord(c) for c in "()[]{}'\"-"]] = 32
 
 
+#: Distances are counted in so many steps; bars come from at least LEAST_TEXTS texts and spreads of LEAST_SPREAD.
+BINS, LEAST_TEXTS, LEAST_SPREAD = 2048, 30, 0.01
+#: Bands of length: powers of two.
+N_BANDS = 40
+
+
 def class_counts(block: Block) -> np.ndarray:
     """Documents x character classes."""
     own = ~INNER[block.data]
@@ -92,6 +99,10 @@ def counts(block: Block, w, hashes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (base 2; 0 to 1) of each row of ``p`` from ``q``; rows are counts."""
     p = p / np.maximum(p.sum(-1, keepdims=True), 1e-300)
@@ -112,8 +123,8 @@ def common_counts(hashes: np.ndarray, w, common: np.ndarray) -> np.ndarray:
 
 def references(docs: DataFrame, n_common: int = 100) -> dict[str, dict[str, np.ndarray]]:
     """Per language, the sums over all its documents: ``classes``, and the hashes and counts of its
-    ``n_common`` most frequent words (``common`` sorted, ``words`` with all others last). The size follows
-    the number of languages alone."""
+    ``n_common`` most frequent words (``common`` sorted, ``words`` with all others last), and the
+    ``spreads`` of its texts' distances. The size follows the number of languages alone."""
 
     def tally(batches):
         for batch in batches:
@@ -142,22 +153,79 @@ def references(docs: DataFrame, n_common: int = 100) -> dict[str, dict[str, np.n
         own["common"] = np.array([k for k, _ in found], np.uint64)
         n = np.array([n for _, n in found], np.float64)
         own["words"] = np.append(n, totals.get(lang, 0) - n.sum())
+    for lang, found in spreads(rows, out).items():
+        out[lang]["spreads"] = found
+    return out
+
+
+def band(n: np.ndarray) -> np.ndarray:
+    """The band of length of each number."""
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), N_BANDS - 1)
+
+
+def robust(counts: np.ndarray) -> np.ndarray:
+    """Bands x (median, spread) of counts (bands x ``BINS``): the spread is 1.4826 median deviations. A band of
+    fewer than ``LEAST_TEXTS`` texts takes its neighbours in, as many as it needs; NaN where all are too few."""
+    out = np.full((len(counts), 2), np.nan)
+    at = (np.arange(counts.shape[1]) + 0.5) / counts.shape[1]
+    for b in range(len(counts)) if counts.sum() >= LEAST_TEXTS else ():
+        r = 0
+        while (own := counts[max(b - r, 0) : b + r + 1].sum(0)).sum() < LEAST_TEXTS:
+            r += 1
+        middle = at[np.searchsorted(np.cumsum(own), own.sum() / 2)]
+        order = np.argsort(np.abs(at - middle), kind="stable")
+        off = np.abs(at - middle)[order][np.searchsorted(np.cumsum(own[order]), own.sum() / 2)]
+        out[b] = middle, max(1.4826 * off, LEAST_SPREAD)
     return out
 
 
+def spreads(rows: DataFrame, refs: dict) -> dict[str, np.ndarray]:
+    """Per language, (class, word) x bands of length x (median, spread) of its texts' distances from its
+    reference. Texts that the base counts fail are left out, equal ones count once. ``rows``: lang, text, both not null."""
+    shared = rows.sparkSession.sparkContext.broadcast(refs)
+
+    def measure(batches):
+        refs = shared.value
+        for batch in batches:
+            langs = batch.column("lang")
+            for lang in langs.unique().to_pylist():
+                own = batch.filter(pa.compute.equal(langs, lang))
+                names = own.column("name").to_numpy()
+                for block in blocks(own.column("text")):
+                    w = words(block)
+                    hashes = word_hashes(block, w)
+                    passed = ~base_failed(w.counts, repeated_words(hashes, w, 8))
+                    classes = class_counts(block)
+                    far = js_distance(classes, refs[lang]["classes"]), js_distance(common_counts(hashes, w, refs[lang]["common"]), refs[lang]["words"])
+                    size = classes.sum(1), w.counts
+                    for kind in (0, 1):
+                        held = passed & (size[kind] > 0)
+                        name = names[block.first : block.first + len(block)][held]
+                        step = np.minimum(far[kind][held] * BINS, BINS - 1).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(name)), pa.array(np.full(len(name), kind, np.int32)), pa.array(band(size[kind][held]).astype(np.int32)), pa.array(step), pa.array(name)], ["lang", "kind", "band", "step", "name"])
+
+    one = rows.withColumn("name", F.xxhash64("text")).mapInArrow(measure, "lang string, kind int, band int, step int, name long").distinct()
+    out = {lang: np.zeros((2, N_BANDS, BINS)) for lang in refs}
+    for r in one.groupBy("lang", "kind", "band", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["lang"]][r["kind"], r["band"], r["step"]] = r["n"]
+    return {lang: np.stack([robust(n) for n in own]) for lang, own in out.items()}
+
+
 _added = StructType()
 for _name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
     _added.add(_name, "long")
 _added.add("base_failed", "boolean").add("class_distance", "double").add("word_distance", "double").add("kept", "boolean")
 
 
-def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 100, max_class: float = 0.45, max_words: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 100, max_class: float = 0.45, max_words: float = 0.5, class_spreads: float = 10, word_spreads: float = 5) -> DataFrame:
     """``docs`` (any columns, text and lang among them) with the counts, base_failed, the distances and kept.
 
     A text is compared with the reference of its lang, or with the nearest of all where it has none that
-    is known. It fails when its character classes lie beyond ``max_class`` (texts of ``min_chars``
-    characters or more) or its common words beyond ``max_words`` (``min_words`` words or more). Distances
-    are null where they do not apply, as with no references at all. Null text counts as empty.
+    is known. It fails when its character classes lie more than ``class_spreads`` robust spreads beyond the
+    median of that language's texts of like length (texts of ``min_chars`` characters or more), or its common
+    words more than ``word_spreads`` (``min_words`` words or more). A language of too few texts to tell has
+    the bars ``max_class`` and ``max_words``. Distances are null where they do not apply, as with no
+    references at all. Null text counts as empty.
     """
     docs = without(docs, *_added.names)
     schema = StructType([*docs.schema.fields, *_added.fields])
@@ -166,6 +234,10 @@ def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 10
     def run(batches):
         refs = shared.value
         names = sorted(refs)
+        bars = []
+        for kind, (fixed, n) in enumerate(((max_class, class_spreads), (max_words, word_spreads))):
+            own = np.array([refs[x]["spreads"][kind] if "spreads" in refs[x] else np.full((N_BANDS, 2), np.nan) for x in names]).reshape(-1, N_BANDS, 2)
+            bars.append(np.where(np.isnan(own[..., 0]), fixed, own[..., 0] + n * own[..., 1]))
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             parts = []
@@ -184,14 +256,15 @@ def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 10
                     which = np.where(which < 0, by_class.argmin(1), which)
                     rows = np.arange(len(block))
                     own["class_distance"], own["word_distance"] = by_class[rows, which], by_word[rows, which]
+                    own["class_bar"], own["word_bar"] = bars[0][which, band(classes.sum(1))], bars[1][which, band(own["n_words"])]
                 else:
-                    own["class_distance"] = own["word_distance"] = np.full(len(block), np.nan)
+                    own["class_distance"] = own["word_distance"] = own["class_bar"] = own["word_bar"] = np.full(len(block), np.nan)
                 own["class_distance"] = np.where(classes.sum(1) >= min_chars, own["class_distance"], np.nan)
                 own["word_distance"] = np.where(own["n_words"] >= min_words, own["word_distance"], np.nan)
                 parts.append(own)
-            all_ = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (*_added.names[:5], "class_distance", "word_distance")}
-            all_["base_failed"] = (all_["n_words"] < 20) | (100 * all_["n_repeat_words"] > 30 * all_["n_words"])
-            all_["kept"] = ~(all_["base_failed"] | (all_["class_distance"] > max_class) | (all_["word_distance"] > max_words))
+            all_ = {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (*_added.names[:5], "class_distance", "word_distance", "class_bar", "word_bar")}
+            all_["base_failed"] = base_failed(all_["n_words"], all_["n_repeat_words"])
+            all_["kept"] = ~(all_["base_failed"] | (all_["class_distance"] > all_["class_bar"]) | (all_["word_distance"] > all_["word_bar"]))
             made = [pa.array(all_[f.name], pa.float64() if "distance" in f.name else pa.bool_() if f.name in ("kept", "base_failed") else pa.int64(), from_pandas=True) for f in _added.fields]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
 
