@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftbase.llm import jaccard_join, neighbours, paragraphs, repeat_bytes
+from weftbase.llm import jaccard_join, links, neighbours, paragraphs, repeat_bytes, repeats, scratch
 from weftbase.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,6 +104,51 @@ def test_paragraphs(spark):
     assert paragraphs.repeated_paragraphs(frame(spark, ["x"]).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("few", [2, 5])
+def test_paragraphs_of_large_bands(spark, monkeypatch, few):
+    """Pairs of one template in a band of more than ``FEW``, most of them unlike each other."""
+    monkeypatch.setattr(paragraphs, "FEW", few)
+    rng = random.Random(8)
+    template, texts = [f"t{i}" for i in range(100)], []
+    for i in range(40):
+        shared = [f"x{i}w{k}" for k in range(10)]
+        texts += [" ".join(template + shared + [f"{side}{i}w{k}" for k in range(10)]) for side in "ab"]
+    rng.shuffle(texts)
+    groups = plain_groups({(i, 0): shingles(x) for i, x in enumerate(texts)})
+    shown = []
+    monkeypatch.setattr(paragraphs, "repeated", lambda rows: shown.append(scratch.keep(repeats.repeated(rows), "shown")) or shown[0])
+    got = {r.doc_id: r.kept_doc_id for r in paragraphs.repeated_paragraphs(frame(spark, texts)).collect()}
+    together = {}
+    for r in shown[0].collect():
+        together.setdefault(r.key, set()).add(r.member)
+    assert max(map(len, together.values())) > few
+    tables = {r.doc_id: r.member for r in paragraphs.paragraph_table(frame(spark, texts)).collect()}
+    collide = [(i, k[0]) for (i, _), k in ((x, groups.find(x)) for x in list(groups)) if i != k[0] and any({tables[i], tables[k[0]]} <= x for x in together.values())]
+    assert len(collide) > 20 and all(got.get(i) == k for i, k in collide)
+
+
+def test_tiles_find_every_pair(spark):
+    """All in one key, against brute force."""
+    rng = random.Random(9)
+    sets = {}
+    for m in range(90):
+        base = rng.randrange(30)
+        x = set(range(1000 * base, 1000 * base + rng.randrange(18, 26))) | set(range(5))
+        x -= set(rng.sample(sorted(x), 2))
+        sets[m + 1] = frozenset(x)
+    groups = plain_groups(sets)
+    rows = [(m, len(x), np.array(sorted(x), np.uint64).tobytes()) for m, x in sets.items()]
+    table = spark.createDataFrame(rows, "member long, n long, tokens binary")
+    open_ = table.selectExpr("7L as key", "member", "member as component")
+    for few in (2, 16):
+        got = Groups()
+        for m in sets:
+            got.find(m)
+        for r in links.within_tiles(open_, table, few).collect():
+            got.join(r.a, r.b)
+        assert all(got.find(m) == groups.find(m) for m in sets)
+
+
 def test_tuning_meets_recall():
     for s in (0.5, 0.8, 0.9):
         b, r = paragraphs.tune(s, 0.99)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from weftbase.llm.scratch import keep
 
+#: Shared tokens that ``within_tiles`` counts at once.
+STRIP = 4096
+
 
 def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity, exactly. ``sets``: member, n,
@@ -38,6 +41,57 @@ def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = (80, 100)
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def within_tiles(open_: DataFrame, sets: DataFrame, few: int, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """Links (a, b) that join what is similar across the components of each key of more than ``few`` members,
+    exactly. ``open_``: key, member, component.
+
+    Sets of one key are dealt by size, as sizes further apart than ``share`` cannot be similar, then into slices
+    of about ``few``; a task compares the sets of two slices at a time, so pairs never become rows.
+    """
+    num, den = share
+    large = open_.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > few)
+    rows = open_.join(large.select("key"), "key").join(sets.select("member", "n"), "member")
+    rows = rows.withColumn("size", F.floor(F.log("n") / float(np.log(den / num) + 1e-9)))
+    # of like size: in the group of its own size, and of the next one
+    rows = rows.withColumn("size", F.explode(F.array("size", F.expr("size + 1"))))
+    slices = rows.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / few).alias("slices"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = rows.join(slices.filter("low != high").drop("low", "high"), ["key", "size"])
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("member", "key"), "slices")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("slices - 1"))))
+    rows = rows.select("key", "size", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "member", "component").join(sets.select("member", "tokens"), "member")
+
+    def compare(table: pa.Table) -> pa.Table:
+        member, component = (table.column(c).to_numpy() for c in ("member", "component"))
+        tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+        n = np.array([len(x) for x in tokens])
+        _, at, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        use = often[at] > 1
+        owner, at = np.repeat(np.arange(len(n)), n)[use], np.unique(at[use], return_inverse=True)[1]
+        common = np.zeros((len(n), len(n)), np.float32)
+        for low in range(0, int(at.max(initial=-1)) + 1, STRIP):
+            own = (at >= low) & (at < low + STRIP)
+            held = np.zeros((len(n), STRIP), np.float32)
+            held[owner[own], at[own] - low] = 1
+            common += held @ held.T
+        common = common.astype(np.int64)
+        like = den * common >= num * (n[:, None] + n[None, :] - common)
+        like &= component[:, None] != component[None, :]
+        a, b = np.nonzero(np.triu(like))
+        label = np.arange(len(n))
+        while True:  # as few links as join them
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        own = np.flatnonzero(label != np.arange(len(n)))
+        x, y = member[own], member[label[own]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return rows.groupBy("key", "size", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _best_pivots(pairs: DataFrame, n: int) -> DataFrame:
     """For each member the ``n`` pivots with which it shares most keys."""
     counted = pairs.groupBy("member", "pivot").agg(F.count(F.lit(1)).alias("shared"))

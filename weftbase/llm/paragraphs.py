@@ -2,7 +2,7 @@
 
 A paragraph is a line of at least ``MIN_WORDS`` words; its set is that of its 5-word shingles, lower-cased.
 Bands and rows are tuned for recall. Equal sets are one member; colliding members are compared by pivots
-first, then pair by pair wherever a band of few members still holds two components.
+first, then pair by pair wherever a band still holds two components; within tasks where its members are many.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.998) -> DataFrame:
     left = open_.join(few.select("key"), "key")
     x, y = left.select("key", F.col("member").alias("a"), F.col("component").alias("x")), left.select("key", F.col("member").alias("b"), F.col("component").alias("y"))
     pairs = x.join(y, "key").filter("a < b and x != y").select("a", "b").distinct()
-    rest = keep(L.verify(pairs, sets), "links")
+    rest = keep(L.verify(pairs, sets).union(L.within_tiles(open_, sets, FEW)), "links")
     groups = keep(components(found.union(rest)), "components")
     rows = table.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
