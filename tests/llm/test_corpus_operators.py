@@ -149,6 +149,35 @@ def test_tiles_find_every_pair(spark):
         assert all(got.find(m) == groups.find(m) for m in sets)
 
 
+def test_passages_within_lines(spark):
+    """Every run of 50 words that two lines share is caught, and nothing of what they do not."""
+    rng = random.Random(10)
+    own = iter(range(10**6))
+    text = lambda n: [f"w{next(own)}" for _ in range(n)]
+    texts, where = [], {}
+    for i in range(40):
+        passage = text(50 + i % 20)
+        for _ in range(2):
+            before = text(rng.randrange(60, 120))
+            where[len(texts)] = (len(before), len(before) + len(passage), 2 * i)
+            texts.append("head\n" + " ".join(before + passage + text(rng.randrange(60, 120))))
+    texts += [" ".join(text(150)) for _ in range(5)] + [None, "", texts[0]]
+    rows = paragraphs.repeated_text(frame(spark, texts)).filter("first_word is not null").collect()
+    assert {r.doc_id for r in rows} == set(where)
+    for r in rows:
+        low, high, first = where[r.doc_id]
+        assert r.paragraph == 1 and low <= r.first_word and r.first_word + r.n_words <= high and r.n_words >= paragraphs.SEED
+        assert (r.kept_doc_id, r.kept_paragraph, r.removed) == (first, 1, r.doc_id != first)
+    assert paragraphs.repeated_text(frame(spark, ["x"]).filter("false")).count() == 0
+
+
+def test_shared_run_within_longer_lines(spark):
+    """In sf0.01 documents 85 and 676 share a run of 59 words within unlike lines."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id in (85, 676)")
+    rows = {(r.doc_id, r.paragraph, r.kept_doc_id) for r in paragraphs.repeated_text(docs).collect()}
+    assert {(85, 2, 85), (676, 3, 85)} <= rows
+
+
 def test_tuning_meets_recall():
     for s in (0.5, 0.8, 0.9):
         b, r = paragraphs.tune(s, 0.99)

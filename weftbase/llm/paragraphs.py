@@ -3,13 +3,16 @@
 A paragraph is a line of at least ``MIN_WORDS`` words; its set is that of its 5-word shingles, lower-cased.
 Bands and rows are tuned for recall. Equal sets are one member; colliding members are compared by pivots
 first, then pair by pair wherever a band still holds two components; within tasks where its members are many.
+
+What stands within longer lines is found by seeds: runs of ``SEED`` words chosen by their hashes alone, so that
+every two equal runs of ``PASSAGE`` words have one in common wherever they stand.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,11 +21,12 @@ from weftbase.llm.components import components
 from weftbase.llm.jaccard_join import set_names, shingle_sets
 from weftbase.llm.repeats import ROUTED, repeated, routed
 from weftbase.llm.scratch import keep
-from weftbase.llm.textbatch import BASE, Block, blocks, mix64, signed, words
+from weftbase.llm.textbatch import BASE, Block, blocks, mix64, shingle_hashes, signed, word_hashes, words
 
 MIN_WORDS = 20
 SIMILARITY = 0.8
 FEW = 64
+PASSAGE, SEED = 50, 25
 
 
 def tune(similarity: float, recall: float, bands: int = 9) -> tuple[int, int]:
@@ -129,3 +133,75 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.998) -> DataFrame:
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     out = rows.join(first, "component").select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"))
     return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("paragraph") == F.col("kept_paragraph"))))
+
+
+def seeds(hashes: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Positions whose hash is the least of some ``width`` in a row of one owner."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least = _slide(np.minimum, hashes, width)
+    least[owner[:n] != owner[width - 1 :]] = 0
+    least = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+    return np.flatnonzero((_slide(np.maximum, least, width) == hashes) & (hashes > 0))
+
+
+def _slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """``best`` of every ``width`` in a row, by doubling."""
+    n, have = len(x) - width + 1, 1
+    while 2 * have <= width:
+        x, have = best(x[:-have], x[have:]), 2 * have
+    return best(x[:n], x[width - have : width - have + n])
+
+
+def seed_table(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph, line (name of its set), at (word of the line, from 0), seed, of all lines of ``PASSAGE``
+    words or more."""
+    schema = StructType([docs.schema["doc_id"]]).add("paragraph", "long").add("line", "long").add("at", "long").add("seed", "long")
+
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                cut, owner, number = lines(block)
+                w = words(cut)
+                names = set_names(*shingle_sets(cut))
+                hashes, line = shingle_hashes(word_hashes(cut, w, fold=True), w, SEED)
+                own = w.counts[line] >= PASSAGE
+                hashes, line = mix64(hashes[own]), line[own]
+                at = seeds(hashes, line, PASSAGE - SEED + 1)
+                first = np.searchsorted(line, line[at])
+                where = line[at]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(block.first + owner[where])), pa.array(number[where]), pa.array(signed(names[where])), pa.array(at - first), pa.array(signed(hashes[at]))], schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def repeated_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per passage within a line of ``docs`` that stands in another line too: the columns of
+    ``repeated_paragraphs`` and first_word (from 0, in its line).
+
+    Lines that ``found`` (of ``repeated_paragraphs``) removes are left out, and copies of a line count once.
+    Every run of ``PASSAGE`` words or more that two lines have in common, up to the case of A-Z, is found; a row
+    spans the seeds found in it, which is ``SEED`` words at least, and need not reach both ends of the run.
+    """
+    rows = keep(seed_table(docs), "seeds")
+    keys = rows.groupBy("seed").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low != high")
+    rows = keep(rows.join(keys.select("seed"), "seed", "left_semi"), "seeds", free=True)
+    gone = found.filter("removed").select(F.col("doc_id").alias("gone_doc"), F.col("paragraph").alias("gone_paragraph")).distinct()
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("paragraph") == F.col("gone_paragraph")), "left_anti")
+    first = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.min("line").alias("low"), F.max("line").alias("high"))
+    rows = rows.join(first.filter("low != high").select("seed", "first"), "seed")
+    own = ["doc_id", "paragraph", "line", "first"]
+    ordered = Window.partitionBy(*own).orderBy("at")
+    rows = rows.select(*own, "at").distinct().withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(ordered) + SEED, F.lit(True)).cast("long"))
+    rows = rows.withColumn("run", F.sum("fresh").over(ordered))
+    out = rows.groupBy(*own, "run").agg(F.min("at").alias("first_word"), (F.max("at") + SEED - F.min("at")).alias("n_words"))
+    out = out.select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), "first_word")
+    return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("paragraph") == F.col("kept_paragraph"))))
+
+
+def repeated_text(docs: DataFrame) -> DataFrame:
+    """``repeated_paragraphs`` (first_word null), and ``repeated_passages`` of the lines it leaves."""
+    docs = docs.select("doc_id", "text")
+    whole = keep(repeated_paragraphs(docs), "whole")
+    return whole.withColumn("first_word", F.lit(None).cast("long")).unionByName(repeated_passages(docs, whole))

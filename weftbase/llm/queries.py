@@ -66,7 +66,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return paragraphs.repeated_text(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
