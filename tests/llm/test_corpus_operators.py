@@ -77,9 +77,9 @@ def frame(spark, texts, parts=3):
     return spark.createDataFrame([(i, t, "n", 1) for i, t in enumerate(texts)], "doc_id long, text string, member string, n int").repartition(parts)
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(0, 64), (1, 4)])
-def test_jaccard_join(spark, monkeypatch, seed, frequent):
-    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+@pytest.mark.parametrize(("seed", "few"), [(0, 128), (1, 3)])
+def test_jaccard_join(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     texts = planted(seed)
     sets = {i: shingles(t) for i, t in enumerate(texts)}
     groups = plain_groups(sets)
@@ -94,6 +94,28 @@ def test_jaccard_join_of_nothing(spark):
     assert got == [("5", 5), ("5", 5), ("None", 5), ("None", None)]
 
 
+def test_jaccard_join_of_repeated_ids_and_unlike_copies(spark):
+    """Rows that share a doc_id or have none; a group of copies of one text most of which are unlike each other."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(140)
+            t[at : at + 6] = [f"x{i}.{at}.{k}" for k in range(6)]
+        texts.append(" ".join(t))
+    texts += [" ".join(f"q{k}" for k in range(30)), " ".join(f"q{k}" for k in range(31)), " ".join(f"r{k}" for k in range(50))]
+    ids = [*range(120), 120, None, 120]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(rows).collect())
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    groups = plain_groups(sets)
+    want = Counter((ids[i], len(s), groups.find(i)) for i, s in sets.items() if i < 120)
+    assert 1 < len({groups.find(i) for i in range(120)}) < 120
+    assert got == want + Counter({(120, 26, 120): 1, (None, 27, 120): 1, (120, 46, 120): 1})
+
+
 def test_paragraphs(spark):
     texts = planted(2)
     sets = {(i, k): shingles(x) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if len(re.findall(WORD, x)) >= 20}

@@ -1,38 +1,44 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document's shingles are ordered by hash, with frequent ones last. Sets x and y of similarity 0.8 or more
-have at least c = ceil(4/9 (|x| + |y|)) shingles in common, hence at least l among the first |x| - c + l of
-x and |y| - c + l of y. How far a document's prefix goes follows its estimated candidate cost: a share of
-its size more than the least, and one more for each shingle that its batch shows to be frequent. A pair
-needs correspondingly more shared prefix shingles before its sets are compared: about half of both
-prefixes for sets of like size.
-
-Documents with equal sets are one class. A shingle that is in many prefixes is not joined for pairs whose
-prefixes are long enough without it; the others are joined by all their shingles, in what the pivot rounds
-leave open.
+Sets x and y of similarity 0.8 or more have at least c = ceil(4/9 (|x| + |y|)) shingles in common. In any order
+of all shingles, they have at least l in common among the first |x| - c + l of x and |y| - c + l of y.
+
+1. *Candidates.* In the order of the shingles' hashes, a document's prefix takes a share of its size more than it
+   must. Documents whose prefixes share too few shingles with any others are done.
+2. *Prefixes.* Of the candidates, shingles are ordered by how many candidates have them, the rarest first. A
+   prefix is longer by the logarithm of its estimated candidate cost (how many other sets have its shingles), and
+   a pair needs correspondingly more shared prefix shingles before its sets are compared.
+3. *Links.* Each set is compared with pivots of its keys first, so that a group of near copies costs about as many
+   comparisons as it has members. Only keys that still hold two components or more are looked at pair by pair:
+   keys of the same members once, keys with the same first member as one group where that makes fewer pairs, and
+   large groups in tiles within tasks.
+
+Documents with equal sets are one class.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftbase.llm import links as L
 from weftbase.llm.components import components
-from weftbase.llm.repeats import ROUTED, note, repeated, routed
+from weftbase.llm.repeats import ROUTED, repeated, routed
 from weftbase.llm.scratch import keep
 from weftbase.llm.textbatch import Block, blocks, mix64, segment_sums, shingle_hashes, signed, word_hashes, words
 
 WIDTH = 5
-#: A prefix takes LEAST shingles, and one for every SHARE of the set, more than it must.
+#: A prefix by hash takes LEAST shingles, and one for every SHARE of the set, more than it must.
 LEAST, SHARE = 12, 20
-#: A shingle in so many documents of a batch counts as frequent there, and in more prefixes of all as frequent.
-SEEN, FREQUENT = 3, 16
 #: Sets at least this large can take LEAST shingles more, and so can all sets similar to them.
 FULL = 40
+#: A prefix by frequency is one shingle longer whenever its candidate cost over CHEAP doubles.
+CHEAP = 16
+#: Groups of more members are compared in tiles within tasks.
+FEW = 128
 
 
 def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +84,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """Exchange rows of the prefix shingles: key is a shingle, member a set. A member's own length of prefix,
-    where it is more than the least, comes as a note."""
+    """Exchange rows of the prefix shingles by hash: key is a shingle, member a set."""
 
     def run(batches):
         for batch in batches:
@@ -90,40 +95,30 @@ def prefixes(docs: DataFrame) -> DataFrame:
             n = np.concatenate([np.diff(at) for _, at in all_])
             names = np.concatenate([set_names(h, at) for h, at in all_])
             _, one = np.unique(names, return_index=True)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            keep_ = np.zeros(len(n), bool)
-            keep_[one] = n[one] > 0
-            own = np.repeat(keep_, n)
-            hashes, n, names = hashes[own], n[keep_], names[keep_]
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            least = np.minimum(prefix_base(n) + LEAST + n // SHARE, n)
-            rank = np.arange(len(hashes)) - np.repeat(offsets[:-1], n)
-            order = np.argsort(hashes, kind="stable")
-            sorted_ = hashes[order]
-            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(sorted_)))
-            often = np.zeros(len(hashes), bool)
-            often[order] = np.repeat(count >= SEEN, count)
-            rare = np.cumsum(~often)
-            rare_in = rare - np.repeat(rare[offsets[:-1]] - ~often[offsets[:-1]], n) if len(n) else rare
-            enough = np.repeat(least, n)
-            reached = (rare_in == enough) & ~often
-            length = least.copy()
-            at = np.flatnonzero(reached)
-            doc = np.searchsorted(offsets, at, "right") - 1
-            length[doc] = np.maximum(length[doc], rank[at] + 1)
-            use = rank < np.repeat(length, n)
+            least = np.zeros(len(n), np.int64)
+            least[one] = np.minimum(prefix_base(n[one]) + LEAST + n[one] // SHARE, n[one])
+            rank = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+            use = rank < np.repeat(least, n)
             yield routed(hashes[use], np.repeat(names, n)[use])
-            longer = np.flatnonzero(length > least)
-            if len(longer):
-                yield note(length[longer], names[longer])
 
     return docs.select("text").mapInArrow(run, ROUTED)
 
 
+def candidates(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``named`` (member, n and others) whose prefixes by hash share enough with those of others.
+
+    x shares at least 1 + min(p - f) prefix shingles with a like y, the least over both of prefix length p less
+    f = size - c + 1; p - f is LEAST + size div SHARE or more, and the size of y is at least 0.8 that of x.
+    """
+    shared = repeated(prefixes(docs)).groupBy("member").agg(F.count(F.lit(1)).alias("shared"))
+    enough = f"n < {FULL} or shared > {LEAST} + (4 * n div 5) div {SHARE}"
+    return named.join(shared, "member").filter(enough).drop("shared")
+
+
 def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """member, n, tokens of the sets of the rows of ``docs`` (doc_id, text) whose doc_id is in ``wanted``."""
-    rows = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    """member, n, tokens of the sets ``wanted`` (doc_id of a row of ``docs`` that has it, member)."""
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
@@ -133,35 +128,65 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 raw = hashes.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.diff(at)), pa.array([raw[8 * at[i] : 8 * at[i + 1]] for i in range(len(block))], pa.binary())], ["member", "n", "tokens"])
 
-    return keep(rows.mapInArrow(run, "member long, n long, tokens binary").dropDuplicates(["member"]), "sets", free=True)
+    found = rows.mapInArrow(run, "member long, n long, tokens binary").join(wanted.select("member"), "member", "left_semi")
+    return keep(found.dropDuplicates(["member"]), "sets", free=True)
 
 
-def exact_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components that share enough prefix shingles.
+def _tokens(batches):
+    """key, member of every shingle of a batch of sets."""
+    for batch in batches:
+        raw = batch.column("tokens")
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in raw]) if len(batch) else np.zeros(0, np.int64)
+        member = np.repeat(batch.column("member").to_numpy(), batch.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(member)], ["key", "member"])
+
+
+def _counts(batches):
+    """key, sets: how many sets of each batch have a shingle."""
+    for batch in _tokens(batches):
+        keys, sets = np.unique(batch.column("key").to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sets)], ["key", "sets"])
+
+
+def _sums(batches):
+    """The counts of all batches of a partition, of shingles that two sets or more have."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches]
+    if not parts:
+        return
+    key, sets = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.argsort(key, kind="stable")
+    key, sets = key[order], sets[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    total = np.add.reduceat(sets, first) if len(first) else sets
+    again = total > 1
+    yield pa.RecordBatch.from_arrays([pa.array(key[first][again]), pa.array(total[again])], ["key", "sets"])
+
+
+def frequency_prefixes(sets: DataFrame) -> DataFrame:
+    """key, member, n, length (of the member's prefix): the shingles that other sets have too, of each prefix of the
+    order by frequency. A set that has the whole of its least prefix for itself is like no other, and has no row."""
+    sets = sets.select("member", "n", "tokens")
+    counts = sets.mapInArrow(_counts, "key long, sets long").repartition("key").mapInArrow(_sums, "key long, sets long")
+    rows = sets.mapInArrow(_tokens, "key long, member long").join(counts, "key").join(sets.select("member", "n"), "member")
+    own = Window.partitionBy("member")
+    rows = rows.withColumns({"at": F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("sets", "key")), "least": F.expr("n - (4 * n + 4) div 5 + 1")})
+    rows = rows.withColumn("cost", F.sum(F.when(F.col("at") <= F.col("least"), F.col("sets") - 1)).over(own)).filter("cost is not null")
+    length = F.least("n", F.col("least") + F.floor(F.log2(1 + F.col("cost") / CHEAP)))
+    return rows.withColumn("length", length).filter("at <= length").select("key", "member", "n", "length")
 
-    ``keys``: key, member, component, often, of keys open between components; ``sizes``: member, n, length
-    (of its prefix), frequent (how many of its prefix shingles are often).
-    """
-    rows = keep(keys.join(sizes.select("member", "n", "length", (F.col("length") - F.col("frequent")).alias("clear")), "member"), "rows")
-    columns = ["member", "component", "n", "length", "clear"]
 
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
-        y = right.select("key", *[F.col(c).alias(f"y_{c}") for c in columns])
-        both = x.join(y, "key").filter("x_component != y_component and 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)")
-        common = F.expr("(4 * (x_n + y_n) + 8) div 9")
-        return both.withColumns({"x_first": F.col("x_n") - common + 1, "y_first": F.col("y_n") - common + 1})
+def needed(a: str, b: str) -> Column:
+    """Prefix shingles that the sets of the structs ``a`` and ``b`` (n, length) share at least, if alike."""
+    common = F.expr(f"(4 * ({a}.n + {b}.n) + 8) div 9")
+    return 1 + F.least(*[F.col(f"{x}.length") - F.col(f"{x}.n") + common - 1 for x in (a, b)])
 
-    def enough(both: DataFrame, prefix: str) -> DataFrame:
-        need = 1 + F.least(F.col(f"x_{prefix}") - F.col("x_first"), F.col(f"y_{prefix}") - F.col("y_first"))
-        pairs = both.select(F.least("x_member", "y_member").alias("a"), F.greatest("x_member", "y_member").alias("b"), need.alias("need"))
-        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
 
-    rare = rows.filter("not often")
-    light = joined(rare, rare).filter("x_member < y_member and x_clear >= x_first and y_clear >= y_first")
-    short = rows.filter("clear < n - (4 * n + 4) div 5 + 1")
-    heavy = joined(short, rows).filter("x_clear < x_first and (y_clear >= y_first or x_member < y_member)")
-    return enough(light, "clear").union(enough(heavy, "length"))
+def matching(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs (a, b) of like sizes that share as many prefix shingles as they must. ``heads``: member, n, length,
+    keys (its prefix)."""
+    x, y = (heads.select(F.col("member").alias(m), F.struct("n", "length", "keys").alias(s)) for m, s in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b").filter("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+    return both.filter(F.size(F.array_intersect("x.keys", "y.keys")) >= needed("x", "y")).select("a", "b")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -169,27 +194,18 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     reachable over links of Jaccard similarity 0.8 or more of 5-word shingle sets.
 
     A text of fewer words is one shingle; an empty or null one has no set and is linked with nothing. Rows
-    that repeat count as equal texts.
+    that repeat count as equal texts, and rows that share a doc_id but not the text as documents of their own.
+    Rows without doc_id link others, but are the component_id of none.
     """
     docs = docs.select("doc_id", "text")
     names = keep(classes(docs), "classes")
     named = names.filter("n_shingles > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    shared = keep(repeated(prefixes(docs)), "shared", free=True)
-    keys = shared.filter("not note").select("key", "member").distinct()
-    lengths = shared.filter("note").groupBy("member").agg(F.max("key").alias("longer"))
-    count = keys.groupBy("key").agg((F.count(F.lit(1)) > FREQUENT).alias("often"))
-    keys = keep(keys.join(count, "key"), "keys")
-    sizes = keys.groupBy("member").agg(F.count_if("often").alias("frequent"), F.count(F.lit(1)).alias("repeated"))
-    sizes = sizes.join(named, "member").join(lengths, "member", "left")
-    least = F.least(F.expr(f"n - (4 * n + 4) div 5 + 1 + {LEAST} + n div {SHARE}"), F.col("n"))
-    sizes = sizes.withColumn("length", F.greatest(least, F.coalesce("longer", F.lit(0))))
-    sizes = keep(sizes.filter(f"n < {FULL} or repeated > {LEAST} + (4 * n div 5) div {SHARE}").drop("longer"), "sizes")
-    keys = keep(keys.join(sizes.select("member"), "member", "left_semi"), "keys")
-    sets = set_table(docs, sizes)
-    found, groups = L.star_rounds(keys.select("key", "member"), sets)
-    open_ = L.open_keys(keys, groups)
-    rest = keep(L.verify(exact_pairs(open_, sizes.drop("doc_id")), sets), "links")
-    groups = keep(components(found.union(rest)), "components")
+    wanted = keep(candidates(docs, named), "candidates", free=True)
+    sets = set_table(docs, wanted)
+    prefix = keep(frequency_prefixes(sets), "prefixes", free=True)
+    heads = prefix.groupBy("member", "n", "length").agg(F.collect_list("key").alias("keys"))
+    found = L.linked(prefix.select("key", "member"), sets, FEW, check=lambda pairs: matching(pairs, heads))
+    groups = keep(components(found), "components")
     out = names.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "member")))
     least_id = out.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return out.join(least_id, "component", "left").select("doc_id", "n_shingles", "member", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -8,6 +8,8 @@ leave open.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from weftbase.llm.scratch import keep
 
-#: Shared tokens that ``within_tiles`` counts at once.
+Check = Callable[[DataFrame], DataFrame]
+#: Shared tokens that ``within_tiles`` counts at once, and tokens of a slice.
 STRIP = 4096
+SLICE = 250_000
 
 
 def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -46,7 +50,8 @@ def within_tiles(open_: DataFrame, sets: DataFrame, few: int, share: tuple[int,
     exactly. ``open_``: key, member, component.
 
     Sets of one key are dealt by size, as sizes further apart than ``share`` cannot be similar, then into slices
-    of about ``few``; a task compares the sets of two slices at a time, so pairs never become rows.
+    of about four times ``few``, fewer where sets are large; a task compares the sets of two slices at a time, so
+    pairs never become rows.
     """
     num, den = share
     large = open_.groupBy("key").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > few)
@@ -54,7 +59,7 @@ def within_tiles(open_: DataFrame, sets: DataFrame, few: int, share: tuple[int,
     rows = rows.withColumn("size", F.floor(F.log("n") / float(np.log(den / num) + 1e-9)))
     # of like size: in the group of its own size, and of the next one
     rows = rows.withColumn("size", F.explode(F.array("size", F.expr("size + 1"))))
-    slices = rows.groupBy("key", "size").agg(F.ceil(F.count(F.lit(1)) / few).alias("slices"), F.min("component").alias("low"), F.max("component").alias("high"))
+    slices = rows.groupBy("key", "size").agg(F.ceil(F.greatest(F.count(F.lit(1)) / (4 * few), F.sum("n") / SLICE)).alias("slices"), F.min("component").alias("low"), F.max("component").alias("high"))
     rows = rows.join(slices.filter("low != high").drop("low", "high"), ["key", "size"])
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("member", "key"), "slices")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("slices - 1"))))
     rows = rows.select("key", "size", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "member", "component").join(sets.select("member", "tokens"), "member")
@@ -100,26 +105,56 @@ def _best_pivots(pairs: DataFrame, n: int) -> DataFrame:
     return chosen.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct()
 
 
-def star_rounds(keys: DataFrame, sets: DataFrame, rounds: int = 3, pivots: int = 2, share: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame]:
+def star_rounds(keys: DataFrame, sets: DataFrame, rounds: int, check: Check, pivots: int = 2) -> tuple[DataFrame, DataFrame]:
     """(links, labels): ``keys`` is (key, member). The first round compares members with the least member of
     their keys; each later one with the members of the least and the greatest label of their keys, where a
     key has more than one label."""
     first = keys.groupBy("key").agg(F.min("member").alias("pivot"))
     pairs = keys.join(first, "key").filter("member != pivot").select("member", "pivot")
-    links = keep(verify(_best_pivots(pairs, pivots), sets, share), "links", free=True)
+    links = keep(verify(check(_best_pivots(pairs, pivots)), sets), "links", free=True)
     for _ in range(rounds - 1):
         own = open_keys(keys, labels(links))
         ends = own.groupBy("key").agg(F.min(F.struct("component", "member")).alias("low"), F.max(F.struct("component", "member")).alias("high"))
         both = own.join(ends, "key")
         pairs = both.filter(F.col("component") != F.col("low.component")).select("member", F.col("low.member").alias("pivot"))
         pairs = pairs.union(both.filter(F.col("component") != F.col("high.component")).select("member", F.col("high.member").alias("pivot")))
-        new = keep(verify(_best_pivots(pairs, pivots), sets, share), "links", free=True)
+        new = keep(verify(check(_best_pivots(pairs, pivots)), sets), "links", free=True)
         if new.isEmpty():
             break
         links = links.union(new)
     return links, keep(labels(links), "labels")
 
 
+def pair_groups(open_: DataFrame) -> DataFrame:
+    """(key, member, component): groups in which every two members of a key of ``open_`` (the same columns) meet.
+
+    Keys of the same members are one group. So are all keys that have their least member in common, where all
+    pairs of their members are fewer than the keys' pairs: near copies of one text share many keys, each of most
+    of them.
+    """
+    lists = open_.groupBy("key").agg(F.bit_xor(F.xxhash64("member")).alias("list"), F.count(F.lit(1)).alias("n"), F.min("member").alias("pivot"))
+    lists = lists.groupBy("pivot", "list", "n").agg(F.min("key").alias("key"))
+    rows = keep(open_.join(lists.select("key", "pivot"), "key"), "lists")
+    each = lists.groupBy("pivot").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    together = rows.groupBy("pivot", "member").agg(F.first("component").alias("component"))
+    join_ = together.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(each, "pivot").filter("n * n <= pairs").select("pivot")
+    joined = together.join(join_, "pivot").select(F.col("pivot").alias("key"), "member", "component")
+    return joined.union(rows.join(join_, "pivot", "left_anti").select("key", "member", "component"))
+
+
+def linked(keys: DataFrame, sets: DataFrame, few: int, rounds: int = 3, check: Check = lambda pairs: pairs) -> DataFrame:
+    """Links (a, b) that join all that is similar and shares a key, exactly. ``keys``: key, member; ``sets``: member,
+    n, tokens; ``check`` leaves of candidate pairs those worth a comparison."""
+    links, found = star_rounds(keys, sets, rounds, check)
+    groups = keep(pair_groups(open_keys(keys, found)), "groups", free=True)
+    small = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= few).select("key")
+    rows = groups.join(small, "key")
+    x, y = (rows.select("key", F.col("member").alias(m), F.col("component").alias(c)) for m, c in (("a", "x"), ("b", "y")))
+    pairs = x.join(y, "key").filter("a < b and x != y").select("a", "b").distinct()
+    rest = verify(check(pairs), sets).union(within_tiles(groups, sets, few))
+    return links.union(keep(rest, "links", free=True))
+
+
 def labels(links: DataFrame) -> DataFrame:
     """(node, component): the least member linked with a node, or linked with that one. A step towards the
     components that needs no iteration: equal labels mean one component, one component can have several."""

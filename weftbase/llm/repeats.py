@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from weftbase.llm.textbatch import mix64, signed
 
 ROUTED = "route long, key long, member long, kind byte"
-ALONE, MARKER, KNOWN, NOTE = 0, 1, 2, 3
+ALONE, MARKER, KNOWN = 0, 1, 2
 
 
 def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None) -> pa.RecordBatch:
@@ -47,19 +47,14 @@ def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None)
     )
 
 
-def note(key: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
-    """Rows that the exchange hands on as they are."""
-    return pa.RecordBatch.from_arrays([pa.array(signed(member)), pa.array(key), pa.array(signed(member)), pa.array(np.full(len(key), NOTE, np.int8))], ["route", "key", "member", "kind"])
-
-
 def _reduce(batches):
     parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
     if not parts:
         return
     route, key, member, kind = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    known = kind >= KNOWN
+    known = kind == KNOWN
     if known.any():
-        yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(member[known]), pa.array(kind[known] == NOTE)], ["key", "member", "note"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(member[known])], ["key", "member"])
     route, member, kind = route[~known], member[~known], kind[~known]
     order = np.lexsort((member, route))
     route, member, kind = route[order], member[order], kind[order]
@@ -71,10 +66,10 @@ def _reduce(batches):
     again = same.copy()
     again[:-1] |= same[1:]
     out = again & (kind == ALONE)
-    yield pa.RecordBatch.from_arrays([pa.array(route[out]), pa.array(member[out]), pa.array(np.zeros(out.sum(), bool))], ["key", "member", "note"])
+    yield pa.RecordBatch.from_arrays([pa.array(route[out]), pa.array(member[out])], ["key", "member"])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(key, member, note) for all pairs whose key has two members or more, from ``routed`` rows; a pair
-    can come more than once. ``note`` marks rows of ``note``."""
-    return rows.repartition("route").mapInArrow(_reduce, "key long, member long, note boolean")
+    """(key, member) for all pairs whose key has two members or more, from ``routed`` rows; a pair can come more
+    than once."""
+    return rows.repartition("route").mapInArrow(_reduce, "key long, member long")
