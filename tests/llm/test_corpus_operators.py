@@ -126,6 +126,16 @@ def test_paragraphs(spark):
     assert paragraphs.repeated_paragraphs(frame(spark, ["x"]).filter("false")).count() == 0
 
 
+def test_paragraphs_of_repeated_rows(spark):
+    """Equal rows, rows that share a doc_id but not the text, and rows without doc_id are documents of their own."""
+    line = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, line("a")), (1, line("a")), (1, line("b")), (2, line("b")), (None, line("c")), (3, line("c")), (None, None), (4, ""), (5, line("d"))]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, paragraph string, row int")
+    got = Counter((r.doc_id, r.kept_doc_id, r.removed) for r in paragraphs.repeated_paragraphs(docs).collect())
+    assert got == Counter({(1, 1, False): 2, (1, 1, True): 1, (2, 1, True): 1, (None, None, False): 1, (3, None, True): 1})
+    assert Counter((r.doc_id, r.kept_doc_id, r.removed) for r in paragraphs.repeated_text(docs).collect()) == got
+
+
 @pytest.mark.parametrize("few", [2, 5])
 def test_paragraphs_of_large_bands(spark, monkeypatch, few):
     """Pairs of one template in a band of more than ``FEW``, most of them unlike each other."""

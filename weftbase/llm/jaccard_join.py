@@ -37,6 +37,8 @@ LEAST, SHARE = 12, 20
 FULL = 40
 #: A prefix by frequency is one shingle longer whenever its candidate cost over CHEAP doubles.
 CHEAP = 16
+#: Bytes of a block whose prefixes are looked at together: what repeats in it travels once.
+WIDE = 6_000_000
 #: Groups of more members are compared in tiles within tasks.
 FEW = 128
 
@@ -88,18 +90,15 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            all_ = [shingle_sets(b) for b in blocks(batch.column("text"))]
-            if not all_:
-                continue
-            hashes = np.concatenate([h for h, _ in all_])
-            n = np.concatenate([np.diff(at) for _, at in all_])
-            names = np.concatenate([set_names(h, at) for h, at in all_])
-            _, one = np.unique(names, return_index=True)
-            least = np.zeros(len(n), np.int64)
-            least[one] = np.minimum(prefix_base(n[one]) + LEAST + n[one] // SHARE, n[one])
-            rank = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
-            use = rank < np.repeat(least, n)
-            yield routed(hashes[use], np.repeat(names, n)[use])
+            for block in blocks(batch.column("text"), WIDE):
+                hashes, at = shingle_sets(block)
+                n, names = np.diff(at), set_names(hashes, at)
+                _, one = np.unique(names, return_index=True)
+                least = np.zeros(len(n), np.int64)
+                least[one] = np.minimum(prefix_base(n[one]) + LEAST + n[one] // SHARE, n[one])
+                rank = np.arange(len(hashes)) - np.repeat(at[:-1], n)
+                use = rank < np.repeat(least, n)
+                yield routed(hashes[use], np.repeat(names, n)[use])
 
     return docs.select("text").mapInArrow(run, ROUTED)
 

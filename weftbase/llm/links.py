@@ -25,10 +25,13 @@ SLICE = 250_000
 
 def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity, exactly. ``sets``: member, n,
-    tokens (binary: sorted distinct 64-bit values)."""
+    tokens (binary: sorted distinct 64-bit values). Only the sets that the pairs name travel."""
     num, den = share
-    left = sets.select(F.col("member").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("member").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    pairs = keep(pairs, "pairs")
+    members = keep(pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct(), "members")
+    own = sets.join(members, "member", "left_semi")
+    left = own.select(F.col("member").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = own.select(F.col("member").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").filter((F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num))
 
     def check(batches):
@@ -133,13 +136,13 @@ def pair_groups(open_: DataFrame) -> DataFrame:
     of them.
     """
     lists = open_.groupBy("key").agg(F.bit_xor(F.xxhash64("member")).alias("list"), F.count(F.lit(1)).alias("n"), F.min("member").alias("pivot"))
-    lists = lists.groupBy("pivot", "list", "n").agg(F.min("key").alias("key"))
-    rows = keep(open_.join(lists.select("key", "pivot"), "key"), "lists")
+    lists = keep(lists.groupBy("pivot", "list", "n").agg(F.min("key").alias("key")), "lists")
+    rows = keep(open_.join(lists.select("key", "pivot"), "key"), "rows")
+    size = rows.select("pivot", "member").distinct().groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
     each = lists.groupBy("pivot").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-    together = rows.groupBy("pivot", "member").agg(F.first("component").alias("component"))
-    join_ = together.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(each, "pivot").filter("n * n <= pairs").select("pivot")
-    joined = together.join(join_, "pivot").select(F.col("pivot").alias("key"), "member", "component")
-    return joined.union(rows.join(join_, "pivot", "left_anti").select("key", "member", "component"))
+    together = keep(each.join(size, "pivot").filter("size * size <= pairs").select("pivot", F.lit(True).alias("together")), "together")
+    groups = lists.join(together, "pivot", "left").select("key", F.when(F.col("together"), F.col("pivot")).otherwise(F.col("key")).alias("group"))
+    return rows.join(groups, "key").groupBy(F.col("group").alias("key"), "member").agg(F.first("component").alias("component"))
 
 
 def linked(keys: DataFrame, sets: DataFrame, few: int, rounds: int = 3, check: Check = lambda pairs: pairs) -> DataFrame:

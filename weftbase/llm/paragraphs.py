@@ -1,11 +1,12 @@
 """Paragraph dedup: MinHash bands propose pairs, exact Jaccard similarity decides, components are removed.
 
 A paragraph is a line of at least ``MIN_WORDS`` words; its set is that of its 5-word shingles, lower-cased.
-Bands and rows are tuned for recall. Equal sets are one member; colliding members are compared by pivots
-first, then pair by pair wherever a band still holds two components; within tasks where its members are many.
+Bands and rows are tuned for recall. Equal sets are one member; colliding members are compared with pivots
+first, then pair by pair wherever a band still holds two components, in tiles where its members are many.
 
-What stands within longer lines is found by seeds: runs of ``SEED`` words chosen by their hashes alone, so that
-every two equal runs of ``PASSAGE`` words have one in common wherever they stand.
+What stands within longer lines is found by bands of another kind, seeds: runs of ``SEED`` words chosen by their
+hashes alone, so that every two equal runs of ``PASSAGE`` words have one in common wherever they stand. Lines that
+collide in a seed share its words; no further check is needed.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from weftbase.llm.textbatch import BASE, Block, blocks, mix64, shingle_hashes, s
 
 MIN_WORDS = 20
 SIMILARITY = 0.8
-FEW = 64
+#: Groups of more members are compared in tiles.
+FEW = 128
 PASSAGE, SEED = 50, 25
 
 
-def tune(similarity: float, recall: float, bands: int = 9) -> tuple[int, int]:
+def tune(similarity: float, recall: float, bands: int = 12) -> tuple[int, int]:
     """(bands, rows): as many rows a band as still give ``recall`` at ``similarity``."""
     rows = 1
     while 1 - (1 - similarity ** (rows + 1)) ** bands >= recall:
@@ -93,9 +95,15 @@ def bands(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, ROUTED)
 
 
+def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, null or not, is one of ``wanted``."""
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+
+
 def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """member, n, tokens of the paragraphs named in ``wanted`` (doc_id of one that has it, member)."""
-    rows = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    rows = _of(docs, wanted).select("text")
 
     def run(batches):
         for batch in batches:
@@ -113,26 +121,27 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.998) -> DataFrame:
     kept_doc_id and kept_paragraph (the first of its component by doc_id, then line), removed (whether it
     is another than that one). Likes: paragraphs of Jaccard similarity 0.8 or more, over any chain of them.
 
-    Empty and null texts have no paragraph. Rows that repeat a doc_id count as documents of their own.
+    Empty and null texts have no paragraph. Rows that repeat a doc_id, or have none (which sorts first), count as
+    documents of their own; of equal first paragraphs one is kept.
     """
     docs = docs.select("doc_id", "text")
-    table = keep(paragraph_table(docs), "paragraphs")
-    keys = keep(repeated(bands(docs, *tune(SIMILARITY, recall))).select("key", "member").distinct(), "keys", free=True)
+    return _repeated(docs, _numbered(docs), recall)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``paragraph_table`` with a number of each row, written: it tells rows apart that are equal."""
+    return keep(paragraph_table(docs).withColumn("row", F.monotonically_increasing_id()), "paragraphs")
+
+
+def _repeated(docs: DataFrame, table: DataFrame, recall: float) -> DataFrame:
+    keys = keep(repeated(bands(docs, *tune(SIMILARITY, recall))).distinct(), "keys", free=True)
     members = keys.select("member").distinct()
     wanted = keep(table.join(members, "member", "left_semi").groupBy("member").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    sets = set_table(docs, wanted)
-    found, groups = L.star_rounds(keys, sets, rounds=4)
-    open_ = L.open_keys(keys, groups)
-    few = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW)
-    left = open_.join(few.select("key"), "key")
-    x, y = left.select("key", F.col("member").alias("a"), F.col("component").alias("x")), left.select("key", F.col("member").alias("b"), F.col("component").alias("y"))
-    pairs = x.join(y, "key").filter("a < b and x != y").select("a", "b").distinct()
-    rest = keep(L.verify(pairs, sets).union(L.within_tiles(open_, sets, FEW)), "links")
-    groups = keep(components(found.union(rest)), "components")
+    groups = keep(components(L.linked(keys, set_table(docs, wanted), FEW)), "components", free=True)
     rows = table.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = rows.join(first, "component").select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"))
-    return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("paragraph") == F.col("kept_paragraph"))))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph", "member", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    out = rows.join(keep(first.drop("n"), "first"), "component")
+    return out.select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), (F.col("row") != F.col("first.row")).alias("removed"))
 
 
 def seeds(hashes: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
@@ -154,6 +163,32 @@ def _slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return best(x[:n], x[width - have : width - have + n])
 
 
+def _seeds(block: Block) -> tuple[np.ndarray, ...]:
+    """Of each seed of the lines of ``PASSAGE`` words or more: document, line number, name of the line's set, word
+    of the line (from 0), hash."""
+    cut, owner, number = lines(block)
+    w = words(cut)
+    names = set_names(*shingle_sets(cut))
+    hashes, line = shingle_hashes(word_hashes(cut, w, fold=True), w, SEED)
+    own = w.counts[line] >= PASSAGE
+    hashes, line = mix64(hashes[own]), line[own]
+    at = seeds(hashes, line, PASSAGE - SEED + 1)
+    where = line[at]
+    return owner[where], number[where], names[where], at - np.searchsorted(line, where), hashes[at]
+
+
+def seed_keys(docs: DataFrame) -> DataFrame:
+    """Exchange rows: key is a seed, member the name of its line's set."""
+
+    def run(batches):
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                _, _, names, _, hashes = _seeds(block)
+                yield routed(hashes, names)
+
+    return docs.select("text").mapInArrow(run, ROUTED)
+
+
 def seed_table(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph, line (name of its set), at (word of the line, from 0), seed, of all lines of ``PASSAGE``
     words or more."""
@@ -162,21 +197,13 @@ def seed_table(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column("text")):
-                cut, owner, number = lines(block)
-                w = words(cut)
-                names = set_names(*shingle_sets(cut))
-                hashes, line = shingle_hashes(word_hashes(cut, w, fold=True), w, SEED)
-                own = w.counts[line] >= PASSAGE
-                hashes, line = mix64(hashes[own]), line[own]
-                at = seeds(hashes, line, PASSAGE - SEED + 1)
-                first = np.searchsorted(line, line[at])
-                where = line[at]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(block.first + owner[where])), pa.array(number[where]), pa.array(signed(names[where])), pa.array(at - first), pa.array(signed(hashes[at]))], schema.names)
+                doc, number, names, at, hashes = _seeds(block)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(block.first + doc)), pa.array(number), pa.array(signed(names)), pa.array(at), pa.array(signed(hashes))], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def repeated_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _passages(docs: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
     """One row per passage within a line of ``docs`` that stands in another line too: the columns of
     ``repeated_paragraphs`` and first_word (from 0, in its line).
 
@@ -184,11 +211,11 @@ def repeated_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     Every run of ``PASSAGE`` words or more that two lines have in common, up to the case of A-Z, is found; a row
     spans the seeds found in it, which is ``SEED`` words at least, and need not reach both ends of the run.
     """
-    rows = keep(seed_table(docs), "seeds")
-    keys = rows.groupBy("seed").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low != high")
-    rows = keep(rows.join(keys.select("seed"), "seed", "left_semi"), "seeds", free=True)
+    hits = keep(repeated(seed_keys(docs)).distinct(), "hits", free=True)
+    wanted = table.join(hits.select("member").distinct(), "member", "left_semi").select("doc_id")
+    rows = seed_table(_of(docs, wanted)).join(hits.select(F.col("key").alias("seed")).distinct(), "seed", "left_semi")
     gone = found.filter("removed").select(F.col("doc_id").alias("gone_doc"), F.col("paragraph").alias("gone_paragraph")).distinct()
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("paragraph") == F.col("gone_paragraph")), "left_anti")
+    rows = keep(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("paragraph") == F.col("gone_paragraph")), "left_anti"), "seeds", free=True)
     first = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.min("line").alias("low"), F.max("line").alias("high"))
     rows = rows.join(first.filter("low != high").select("seed", "first"), "seed")
     own = ["doc_id", "paragraph", "line", "first"]
@@ -200,8 +227,11 @@ def repeated_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("paragraph") == F.col("kept_paragraph"))))
 
 
-def repeated_text(docs: DataFrame) -> DataFrame:
-    """``repeated_paragraphs`` (first_word null), and ``repeated_passages`` of the lines it leaves."""
+def repeated_text(docs: DataFrame, recall: float = 0.998) -> DataFrame:
+    """``repeated_paragraphs`` (first_word null), and one row per passage within a line it leaves that stands in
+    another line too, with first_word (from 0, in its line): every run of ``PASSAGE`` words or more that two lines
+    have in common. Of rows that repeat a doc_id, equal passages are one."""
     docs = docs.select("doc_id", "text")
-    whole = keep(repeated_paragraphs(docs), "whole")
-    return whole.withColumn("first_word", F.lit(None).cast("long")).unionByName(repeated_passages(docs, whole))
+    table = _numbered(docs)
+    whole = keep(_repeated(docs, table, recall), "whole", free=True)
+    return whole.withColumn("first_word", F.lit(None).cast("long")).unionByName(_passages(docs, table, whole))
