@@ -5,6 +5,10 @@ All distinct words of a block are searched at once, those of equal length advanc
 at a time: a substring's hash is looked up among the pieces' keys, and the best score and its back pointer
 at each position are vectorised maxima. The pieces' own scores are summed; a character that no piece holds
 costs 10 below the least score and becomes its UTF-8 bytes' pieces, so that decoding gives back any text.
+
+Scores that are whole numbers are the merge ranks of a BPE model and no log-probabilities. A piece of rank r then
+gets that of Zipf's law, -log(r + ``ZIPF``): the search finds the likeliest pieces, which are not those that the
+model's own merges end in, though about as many.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ LITERAL = 0x110000
 #: Words up to this many characters advance together; longer ones are rare and go one by one.
 TOGETHER = 48
 #: Characters looked up at once, and bytes of a block: more words of a block repeat than of a small one.
-LOOKUPS = 300_000
-WIDE = 8_000_000
+LOOKUPS = 150_000
+WIDE = 3_000_000
+ZIPF = 100
 
 
 def _prefix(points: np.ndarray) -> np.ndarray:
@@ -56,6 +61,8 @@ class Pieces:
             raise ValueError(f"pieces reach over word borders: {crossing[:3]}")
         self.ids = normal.astype(np.int32)
         self.scores = np.array([sp.get_score(int(i)) for i in normal], np.float64)
+        if (self.scores == np.floor(self.scores)).all():
+            self.scores = -np.log(ZIPF - self.scores)
         self.longest = int((ends - begins).max())
         prefix = _prefix(points)
         heads = np.concatenate([_hash(prefix, begins[ends - begins >= k], begins[ends - begins >= k] + k) for k in range(1, self.longest + 1)])
@@ -117,22 +124,36 @@ class Pieces:
             piece[end] = found[row[k, 0], column[k, rows]]
         return back, piece
 
-    def _alone(self, found: np.ndarray, scores: np.ndarray, n: int) -> tuple[list[int], list[int]]:
-        """The same for one long word, position by position."""
-        best, back, piece = np.zeros(n + 1), [0] * (n + 1), [-1] * (n + 1)
-        for end in range(1, n + 1):
-            size = min(self.longest, end)
-            row = np.arange(self.longest - size, self.longest)
-            total = scores[row, np.arange(end - size, end)] + best[end - size : end]
-            k = int(total.argmax())
-            best[end], back[end], piece[end] = total[k], end - size + k, int(found[row[k], end - size + k])
-        return back, piece
+    def _alone(self, prefix: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of one long word begin, and the pieces: searched position by position, looked up a
+        stretch at a time."""
+        n = end - start
+        best, back, piece = np.zeros(n + 1), np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
+        for low in range(0, n, LOOKUPS):
+            high, first = min(n, low + LOOKUPS), max(0, low + 1 - self.longest)
+            place = np.arange(start + first, start + high)
+            found, scores = self._lookup(prefix, place, end - place)
+            for to in range(low + 1, high + 1):
+                size = min(self.longest, to)
+                row, column = np.arange(self.longest - size, self.longest), np.arange(to - size - first, to - first)
+                total = scores[row, column] + best[to - size : to]
+                k = int(total.argmax())
+                best[to], back[to], piece[to] = total[k], to - size + k, found[row[k], column[k]]
+        ends = [n]
+        while back[ends[-1]]:
+            ends.append(int(back[ends[-1]]))
+        ends = np.array(ends[::-1])
+        return start + back[ends], piece[ends]
 
     def _words(self, points: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and where each word's begin."""
         size = end - start
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for w in np.flatnonzero(size > TOGETHER):
+            begin, piece = self._alone(prefix, int(start[w]), int(end[w]))
+            out.append((np.full(len(begin), w), begin, piece))
         order = np.argsort(size, kind="stable")
+        order = order[size[order] <= TOGETHER]
         upto = np.cumsum(size[order])
         at = 0
         while at < len(order):
@@ -145,16 +166,6 @@ class Pieces:
             found, scores = self._lookup(prefix, place, np.repeat(end[part], own) - place)
             for n in np.unique(own):
                 of = np.flatnonzero(own == n)
-                if n > TOGETHER:
-                    for w in of:
-                        back, piece = self._alone(found[:, column[w] : column[w + 1]], scores[:, column[w] : column[w + 1]], int(n))
-                        here, got = int(n), []
-                        while here:
-                            got.append((back[here], piece[here]))
-                            here = back[here]
-                        got.reverse()
-                        out.append((np.full(len(got), part[w]), start[part[w]] + np.array([g[0] for g in got]), np.array([g[1] for g in got], np.int64)))
-                    continue
                 back, piece = self._together(found, scores, column[of], int(n))
                 here, rows = np.full(len(of), n), np.arange(len(of))
                 while len(rows):
@@ -166,16 +177,14 @@ class Pieces:
         order = np.lexsort((begin, word))
         word, begin, piece = word[order], begin[order], piece[order]
         known = piece >= 0
-        length, lost = np.ones(len(piece), np.int64), {}
-        for i in np.flatnonzero(~known):
-            point = int(points[begin[i]])
-            lost[i] = self.bytes[list((chr(BLANK) if point == LITERAL else chr(point)).encode())]
-            length[i] = len(lost[i])
+        lost = points[begin[~known]]
+        lost = np.where(lost == LITERAL, BLANK, np.where(lost == BLANK, 32, lost)).astype("<u4")
+        length = np.ones(len(piece), np.int64)
+        length[~known] = 1 + np.searchsorted([0x80, 0x800, 0x10000], lost, "right")
         at = np.concatenate([[0], np.cumsum(length)])
         ids = np.zeros(at[-1], np.int32)
+        ids[np.repeat(~known, length)] = self.bytes[np.frombuffer(lost.tobytes().decode("utf-32-le").encode(), np.uint8)]
         ids[at[:-1][known]] = self.ids[piece[known]]
-        for i, own in lost.items():
-            ids[at[i] : at[i] + len(own)] = own
         return ids, at[np.searchsorted(word, np.arange(len(start) + 1))]
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -217,11 +226,13 @@ class Pieces:
 _ids = ArrayType(IntegerType(), False)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     """``docs`` (any columns, text among them) with ``ids`` and ``round_trip`` (whether the ids decode to
-    exactly the text). Null and empty texts have no ids."""
+    exactly the text). Null and empty texts have no ids. Of equally good segmentations of a word, that whose
+    last pieces are the longest is taken. Without ``keep_text`` the text does not come back from the tasks."""
     docs = without(docs, "ids", "round_trip")
-    schema = StructType([*docs.schema.fields, StructField("ids", _ids)]).add("round_trip", "boolean")
+    rest = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    schema = StructType([*rest, StructField("ids", _ids)]).add("round_trip", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(path))
 
     def run(batches):
@@ -239,7 +250,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 sizes.append(np.diff(at))
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             made = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made.cast(pa.list_(pa.field("element", pa.int32(), False))), pa.array(np.concatenate(same) if same else np.zeros(0, bool))], schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], made.cast(pa.list_(pa.field("element", pa.int32(), False))), pa.array(np.concatenate(same) if same else np.zeros(0, bool))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
