@@ -60,18 +60,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max
 
 def streams(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Where each row's words begin in the shuffled stream of its source (``begin``)."""
-    key = F.xxhash64(F.lit(seed), "doc_id", "row_id")
+    key = F.xxhash64(F.lit(seed), "doc_id", "print")
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_docs") / RUN))).cast("int")
     rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        "row_id", "doc_id", "size", "source_no", "source_size", "target", key.alias("key"), bits.alias("bits")
+        "row_id", "doc_id", "print", "size", "source_no", "source_size", "target", key.alias("key"), bits.alias("bits")
     )
     rows = rows.withColumn("run", F.expr("pmod(key, cast(shiftleft(1L, bits) as bigint))"))
     runs = rows.groupBy("source_no", "run").agg(F.sum("size").alias("run_size"))
     ahead = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("source_no", "run", F.coalesce(F.sum("run_size").over(ahead), F.lit(0)).alias("run_begin"))
-    within = Window.partitionBy("source_no", "run").orderBy("key", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source_no", "run").orderBy("key", "doc_id", "print", "row_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(runs, ["source_no", "run"]).withColumn("begin", F.col("begin") + F.col("run_begin")).drop("run", "run_begin", "key", "bits")
+    return rows.join(runs, ["source_no", "run"]).withColumn("begin", F.col("begin") + F.col("run_begin")).drop("run", "run_begin", "key", "print", "bits")
 
 
 def schedule(targets: DataFrame, block_words: int) -> DataFrame:
@@ -114,13 +114,17 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
 def mix_sources(
     sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, block_words: int = 2048, seed: int = 20240229
 ) -> tuple[DataFrame, DataFrame]:
-    """The mix of ``sizes`` (row_id, doc_id, source, size; row_id without repeats).
+    """The mix of ``sizes`` (row_id, doc_id, source, size, and print: a hash of what else tells rows apart, needed
+    only where doc_id does not; row_id without repeats).
 
     Returns (pieces, targets). A piece is a stretch of one document in one slot: slot, source_no, epoch
     (0: first pass over the source), row_id, doc_id, from_word, to_word (exclusive). A source's pieces add
     up to its rounded target. Rows of size 0 have no piece; a null source is a source of its own; no rows
-    give no pieces. The same rows and seed give the same mix.
+    give no pieces. The same rows and seed give the same mix, however they are split and ordered: row_id decides
+    only between rows that are equal otherwise.
     """
+    if "print" not in sizes.columns:
+        sizes = sizes.withColumn("print", F.lit(0).cast("long"))
     targets = keep(source_targets(sizes, weights, max_repeats), "targets")
     rows = streams(sizes.filter("size > 0"), targets, seed)
     limit = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
@@ -137,14 +141,18 @@ def mix_sources(
 
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): row_id, doc_id, source, size, source_size,
-    target, taken. Null text has size 0; other columns are left aside.
+    """One row per row of ``docs`` (doc_id, text, source): row_id, doc_id, print, source, size, source_size, target,
+    taken, slots and first_slot (how many slots of the schedule hold words of it, and the first of them).
+
+    Null text has size 0; what has no words is in no slot. Rows that repeat a doc_id are rows of their own, equal
+    ones share what they take in no particular order. Other columns are left aside.
     """
-    sizes = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    print_ = F.xxhash64("text", "source").alias("print")
+    sizes = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", print_, "source", word_count(F.col("text")).alias("size"))
     sizes = keep(sizes, "sizes")
     pieces, targets = mix_sources(sizes, **how)
-    taken = pieces.groupBy("row_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = pieces.groupBy("row_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.count(F.lit(1)).alias("slots"), F.min("slot").alias("first_slot"))
     rows = sizes.join(taken, "row_id", "left")
     return rows.join(targets.withColumnRenamed("source", "named"), rows["source"].eqNullSafe(F.col("named"))).select(
-        "row_id", "doc_id", rows["source"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "row_id", "doc_id", "print", rows["source"], "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", "slots")], "first_slot"
     )
