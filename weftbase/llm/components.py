@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from weftbase.llm.scratch import keep
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long); component is the least node reachable.
 
     Each round hangs nodes under smaller ones and is written to the shared folder. Sums of what a round
-    leaves tell whether it changed anything. No edges: no rows.
+    leaves tell whether it changed anything; rounds go on until none does. No edges: no rows.
     """
     now = keep(_distinct(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
     mark = _mark(now)
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")

@@ -217,7 +217,7 @@ for _name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 _added.add("base_failed", "boolean").add("class_distance", "double").add("word_distance", "double").add("kept", "boolean")
 
 
-def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 100, max_class: float = 0.45, max_words: float = 0.5, class_spreads: float = 10, word_spreads: float = 5) -> DataFrame:
+def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 100, max_class: float = 0.45, max_words: float = 0.5, class_spreads: float = 10, word_spreads: float = 5, keep_text: bool = True) -> DataFrame:
     """``docs`` (any columns, text and lang among them) with the counts, base_failed, the distances and kept.
 
     A text is compared with the reference of its lang, or with the nearest of all where it has none that
@@ -225,10 +225,12 @@ def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 10
     median of that language's texts of like length (texts of ``min_chars`` characters or more), or its common
     words more than ``word_spreads`` (``min_words`` words or more). A language of too few texts to tell has
     the bars ``max_class`` and ``max_words``. Distances are null where they do not apply, as with no
-    references at all. Null text counts as empty.
+    references at all. Null text counts as empty. Of references equally near the first by name is taken. Without
+    ``keep_text`` the text does not come back from the tasks.
     """
     docs = without(docs, *_added.names)
-    schema = StructType([*docs.schema.fields, *_added.fields])
+    rest = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    schema = StructType([*rest, *_added.fields])
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
     def run(batches):
@@ -266,6 +268,6 @@ def judge(docs: DataFrame, refs: dict, min_chars: int = 200, min_words: int = 10
             all_["base_failed"] = base_failed(all_["n_words"], all_["n_repeat_words"])
             all_["kept"] = ~(all_["base_failed"] | (all_["class_distance"] > all_["class_bar"]) | (all_["word_distance"] > all_["word_bar"]))
             made = [pa.array(all_[f.name], pa.float64() if "distance" in f.name else pa.bool_() if f.name in ("kept", "base_failed") else pa.int64(), from_pandas=True) for f in _added.fields]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *made], schema.names)
 
     return docs.mapInArrow(run, schema)

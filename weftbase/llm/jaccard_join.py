@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from weftbase.llm import links as L
 from weftbase.llm.components import components
 from weftbase.llm.repeats import ROUTED, repeated, routed
-from weftbase.llm.scratch import keep
+from weftbase.llm.scratch import keep, without
 from weftbase.llm.textbatch import Block, blocks, mix64, segment_sums, shingle_hashes, signed, word_hashes, words
 
 WIDTH = 5
@@ -189,16 +189,18 @@ def matching(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, member, component_id: the least doc_id
-    reachable over links of Jaccard similarity 0.8 or more of 5-word shingle sets.
+    """One row per row of ``docs`` (doc_id, text, any others) without its text: n_shingles, member (a name of its
+    set), component (a name of its group of sets that links join) and component_id: the least doc_id of that group.
+    Links: Jaccard similarity 0.8 or more of the sets of 5-word shingles.
 
-    A text of fewer words is one shingle; an empty or null one has no set and is linked with nothing. Rows
-    that repeat count as equal texts, and rows that share a doc_id but not the text as documents of their own.
-    Rows without doc_id link others, but are the component_id of none.
+    A text of fewer words is one shingle; an empty or null one has no set, is linked with nothing and is its own
+    component_id. Rows that repeat count as equal texts, and rows that share a doc_id but not the text as documents
+    of their own. Rows without doc_id link others, but are the component_id of none.
     """
-    docs = docs.select("doc_id", "text")
+    docs = without(docs, "n_shingles", "member", "component", "component_id")
     names = keep(classes(docs), "classes")
     named = names.filter("n_shingles > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    docs = docs.select("doc_id", "text")
     wanted = keep(candidates(docs, named), "candidates", free=True)
     sets = set_table(docs, wanted)
     prefix = keep(frequency_prefixes(sets), "prefixes", free=True)
@@ -207,4 +209,4 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = keep(components(found), "components")
     out = names.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "member")))
     least_id = out.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return out.join(least_id, "component", "left").select("doc_id", "n_shingles", "member", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.join(least_id, "component", "left").select(*[f"`{c}`" for c in names.columns], "component", F.coalesce("component_id", "doc_id").alias("component_id"))

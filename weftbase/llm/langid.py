@@ -22,7 +22,7 @@ from weftbase.llm.textbatch import BLOCK, LOWER, Block, blocks
 
 ORDER = 3
 PAD = 10
-_added = StructType().add("_letters", "boolean").add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+_added = StructType().add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 
 
 def grams(block: Block) -> np.ndarray:
@@ -170,17 +170,20 @@ def train(docs: DataFrame, sample_bytes: int = 4_000_000) -> Model | None:
     return Model({k: (g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for k, g in table.groupby("lang")}) if len(table) else None
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
     """``docs`` (any columns, text among them) with lang_pred, score and bits_per_byte.
 
     score is the share of the predicted language when each weighs 2 ** -(its code length). A text that is
-    null or has no letter gets ``und`` and score 0. Only the text is looked at.
+    null or has no letter gets ``und`` and score 0. Of languages with equal code lengths the first by name is taken;
+    equal texts get equal results. Only the text is looked at, and without ``keep_text`` it does not come back from
+    the tasks.
     """
     docs = without(docs, "lang_pred", "score", "bits_per_byte", "_letters")
+    rest = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+        return docs.select(*[f"`{f.name}`" for f in rest]).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, *_added.fields])
+    schema = StructType([*rest, *_added.fields])
 
     def predict(batches):
         model = shared.value
@@ -194,6 +197,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             size = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
             sure = batch.column("_letters").fill_null(False).to_numpy(zero_copy_only=False)
             made = [pa.array(names[np.where(sure, best, -1)], pa.string()), pa.array(np.where(sure, score, 0.0)), pa.array(least / np.maximum(size, 1), mask=~sure)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], *made], schema.names)
 
-    return docs.withColumn("_letters", F.col("text").rlike(r"\p{L}")).mapInArrow(predict, schema).drop("_letters")
+    return docs.withColumn("_letters", F.col("text").rlike(r"\p{L}")).mapInArrow(predict, schema)

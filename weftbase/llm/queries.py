@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftbase.llm import additive, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, repeat_bytes, secrets
 from weftbase.llm.scratch import keep
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public SentencePiece model: WEFT_PIECES names another.
+PIECES = os.environ.get("WEFT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +25,14 @@ def fold(n: int) -> Column:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(_table(spark, sf_dir, "documents"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "slots", "first_slot")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold(5) == 0, F.lit(False))
     model = langid.train(docs.filter(fold(5) != 0))
-    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep_text=False)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def op4_repeat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("member")
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("member", "component")
 
 
 def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, PIECES).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+    return pieces.encode(docs, PIECES, keep_text=False).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +74,7 @@ def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return divergence.judge(docs, divergence.references(docs)).drop("text", "lang")
+    return divergence.judge(docs, divergence.references(docs), keep_text=False).drop("lang")
 
 
 QUERIES = {
