@@ -15,19 +15,39 @@ from weftbase.llm.scratch import keep
 
 #: Texts whose best language weighs less than this among all are rejected, as are texts without letters.
 LEAST_SCORE = 0.5
+#: So are texts of LONG bytes or more that cost so many robust spreads more bits a byte than their language's median.
+LONG, SPREADS = 200, 12
+HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are text of some language with a score of LEAST_SCORE or more."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Keeps the documents that are text of some language: with a score of LEAST_SCORE or more, and about as
+    predictable as others of that language. Where no row has a lang to learn from, all that have a letter stay."""
+    model = langid.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = keep(langid.identify(docs, model), "identified")
+    long_ = found.filter((F.octet_length("text") >= LONG) & (F.col("lang_pred") != "und"))
+    middle = long_.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", 0.5, 1000).alias("middle"))
+    off = long_.join(F.broadcast(middle), "lang_pred").groupBy("lang_pred", "middle").agg(F.percentile_approx(F.abs(F.col("bits_per_byte") - F.col("middle")), 0.5, 1000).alias("off"))
+    # one row a language
+    bars = off.select(F.col("lang_pred").alias("_named"), (F.col("middle") + SPREADS * 1.4826 * F.col("off")).alias("_bar"))
+    found = found.join(F.broadcast(bars), F.col("lang_pred") == F.col("_named"), "left")
+    odd = F.coalesce((F.octet_length("text") >= LONG) & (F.col("bits_per_byte") > F.col("_bar")), F.lit(False))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & ~odd).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents that of the least doc_id, once. Rows without doc_id stay."""
-    groups = jaccard_join.similar_documents(docs.filter("doc_id is not null"))
-    first = groups.filter("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id is null")).select(*docs.columns)
+    """Keeps of each group of linked documents that of the least doc_id, once; of rows that share it, any one.
+    Rows without words stay."""
+    marked = docs.withColumn("_print", F.xxhash64("text"))
+    groups = jaccard_join.similar_documents(marked.select("doc_id", "text", "_print")).filter("n_shingles > 0")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_print")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_first_id"), F.col("first._print").alias("_first_print"))
+    worded = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
+    same = F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_print") == F.col("_first_print"))
+    single = marked.filter(worded).join(first, same, "left_semi").dropDuplicates(["doc_id", "_print"])
+    return single.select(*docs.columns).union(docs.filter(~worded))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,17 +60,18 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws sources to their target weights: a document comes as often as the mix takes its words, to the
-    nearest whole number, which may be never."""
+    nearest whole number, which may be never; so do documents without words."""
     taken = mixing.taken_words(docs)
-    copies = taken.filter("size > 0").select("doc_id", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
-    copies = copies.groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0").withColumnRenamed("doc_id", "id")
-    drawn = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]))
-    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    copies = taken.filter("size > 0").select("doc_id", "print", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"))
+    copies = copies.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_same")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    drawn = docs.withColumn("_print", F.xxhash64("text", "source")).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_same")))
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces' ids of each document, for training: doc_id, lang, source, n_ids, ids."""
-    return pieces.encode(docs.select("doc_id", "text", "lang", "source"), PIECES).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
+    made = pieces.encode(docs.select("doc_id", "text", "lang", "source"), PIECES, keep_text=False)
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 STAGES = [
