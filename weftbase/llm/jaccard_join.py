@@ -37,8 +37,8 @@ LEAST, SHARE = 12, 20
 FULL = 40
 #: A prefix by frequency is one shingle longer whenever its candidate cost over CHEAP doubles.
 CHEAP = 16
-#: Bytes of a block whose prefixes are looked at together: what repeats in it travels once.
-WIDE = 6_000_000
+#: About so many prefix shingles are looked at together: those that repeat among them need no partner.
+TOGETHER = 500_000
 #: Groups of more members are compared in tiles within tasks.
 FEW = 128
 
@@ -89,16 +89,22 @@ def prefixes(docs: DataFrame) -> DataFrame:
     """Exchange rows of the prefix shingles by hash: key is a shingle, member a set."""
 
     def run(batches):
+        keys, members = [], []
         for batch in batches:
-            for block in blocks(batch.column("text"), WIDE):
+            for block in blocks(batch.column("text")):
                 hashes, at = shingle_sets(block)
                 n, names = np.diff(at), set_names(hashes, at)
                 _, one = np.unique(names, return_index=True)
                 least = np.zeros(len(n), np.int64)
                 least[one] = np.minimum(prefix_base(n[one]) + LEAST + n[one] // SHARE, n[one])
-                rank = np.arange(len(hashes)) - np.repeat(at[:-1], n)
-                use = rank < np.repeat(least, n)
-                yield routed(hashes[use], np.repeat(names, n)[use])
+                use = np.arange(len(hashes)) - np.repeat(at[:-1], n) < np.repeat(least, n)
+                keys.append(hashes[use])
+                members.append(np.repeat(names, least))
+                if sum(map(len, keys)) > TOGETHER:
+                    yield routed(np.concatenate(keys), np.concatenate(members))
+                    keys, members = [], []
+        if keys:
+            yield routed(np.concatenate(keys), np.concatenate(members))
 
     return docs.select("text").mapInArrow(run, ROUTED)
 
