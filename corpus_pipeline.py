@@ -26,13 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = keep(langid.identify(docs, model), "identified")
-    long_ = found.filter((F.octet_length("text") >= LONG) & (F.col("lang_pred") != "und"))
-    middle = long_.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", 0.5, 1000).alias("middle"))
-    off = long_.join(F.broadcast(middle), "lang_pred").groupBy("lang_pred", "middle").agg(F.percentile_approx(F.abs(F.col("bits_per_byte") - F.col("middle")), 0.5, 1000).alias("off"))
+    sizes = docs.filter(F.octet_length("text") >= LONG).select("text")
+    costs = keep(langid.identify(sizes, model, keep_text=False).filter("lang_pred != 'und'"), "costs")
+    middle = costs.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", 0.5, 1000).alias("middle"))
+    off = costs.join(F.broadcast(middle), "lang_pred").groupBy("lang_pred", "middle").agg(F.percentile_approx(F.abs(F.col("bits_per_byte") - F.col("middle")), 0.5, 1000).alias("off"))
     # one row a language
     bars = off.select(F.col("lang_pred").alias("_named"), (F.col("middle") + SPREADS * 1.4826 * F.col("off")).alias("_bar"))
-    found = found.join(F.broadcast(bars), F.col("lang_pred") == F.col("_named"), "left")
+    found = langid.identify(docs, model).join(F.broadcast(bars), F.col("lang_pred") == F.col("_named"), "left")
     odd = F.coalesce((F.octet_length("text") >= LONG) & (F.col("bits_per_byte") > F.col("_bar")), F.lit(False))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE) & ~odd).select(*docs.columns)
 
