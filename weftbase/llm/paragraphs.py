@@ -125,7 +125,7 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.998) -> DataFrame:
     documents of their own; of equal first paragraphs one is kept.
     """
     docs = docs.select("doc_id", "text")
-    return _repeated(docs, _numbered(docs), recall)
+    return _repeated(docs, _numbered(docs), recall).drop("row")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -134,14 +134,23 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, table: DataFrame, recall: float) -> DataFrame:
-    keys = keep(repeated(bands(docs, *tune(SIMILARITY, recall))).distinct(), "keys", free=True)
+    keys = keep(repeated(bands(docs, *tune(SIMILARITY, recall))).select("key", "member").distinct(), "keys", free=True)
     members = keys.select("member").distinct()
     wanted = keep(table.join(members, "member", "left_semi").groupBy("member").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    groups = keep(components(L.linked(keys, set_table(docs, wanted), FEW)), "components", free=True)
+    sets = set_table(docs, wanted)
+    sizes = keep(sets.select("member", "n"), "sizes")
+    links = L.linked(keys, sets, FEW, rounds=2, check=lambda pairs: _like_sizes(pairs, sizes))
+    groups = keep(components(links), "components", free=True)
     rows = table.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph", "member", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     out = rows.join(keep(first.drop("n"), "first"), "component")
-    return out.select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), (F.col("row") != F.col("first.row")).alias("removed"))
+    return out.select("row", "doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), (F.col("row") != F.col("first.row")).alias("removed"))
+
+
+def _like_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are not too far apart in size to be alike."""
+    x, y = (sizes.select(F.col("member").alias(m), F.col("n").alias(n)) for m, n in (("a", "na"), ("b", "nb")))
+    return pairs.join(x, "a").join(y, "b").filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b")
 
 
 def seeds(hashes: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
@@ -163,64 +172,47 @@ def _slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return best(x[:n], x[width - have : width - have + n])
 
 
-def _seeds(block: Block) -> tuple[np.ndarray, ...]:
-    """Of each seed of the lines of ``PASSAGE`` words or more: document, line number, name of the line's set, word
-    of the line (from 0), hash."""
-    cut, owner, number = lines(block)
+def _seeds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each seed of the lines of ``PASSAGE`` words or more: name of the line's set, word of the line (from 0),
+    hash."""
+    cut, _, _ = lines(block)
     w = words(cut)
     names = set_names(*shingle_sets(cut))
     hashes, line = shingle_hashes(word_hashes(cut, w, fold=True), w, SEED)
     own = w.counts[line] >= PASSAGE
     hashes, line = mix64(hashes[own]), line[own]
     at = seeds(hashes, line, PASSAGE - SEED + 1)
-    where = line[at]
-    return owner[where], number[where], names[where], at - np.searchsorted(line, where), hashes[at]
+    return names[line[at]], at - np.searchsorted(line, line[at]), hashes[at]
 
 
 def seed_keys(docs: DataFrame) -> DataFrame:
-    """Exchange rows: key is a seed, member the name of its line's set."""
+    """Exchange rows: key is a seed, member the name of its line's set, note the seed's place in the line."""
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column("text")):
-                _, _, names, _, hashes = _seeds(block)
-                yield routed(hashes, names)
+                names, at, hashes = _seeds(block)
+                yield routed(hashes, names, note=at)
 
     return docs.select("text").mapInArrow(run, ROUTED)
 
 
-def seed_table(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, line (name of its set), at (word of the line, from 0), seed, of all lines of ``PASSAGE``
-    words or more."""
-    schema = StructType([docs.schema["doc_id"]]).add("paragraph", "long").add("line", "long").add("at", "long").add("seed", "long")
-
-    def run(batches):
-        for batch in batches:
-            for block in blocks(batch.column("text")):
-                doc, number, names, at, hashes = _seeds(block)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(block.first + doc)), pa.array(number), pa.array(signed(names)), pa.array(at), pa.array(signed(hashes))], schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
 def _passages(docs: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per passage within a line of ``docs`` that stands in another line too: the columns of
+    """One row per passage within a line of ``table`` that stands in another line too: the columns of
     ``repeated_paragraphs`` and first_word (from 0, in its line).
 
     Lines that ``found`` (of ``repeated_paragraphs``) removes are left out, and copies of a line count once.
     Every run of ``PASSAGE`` words or more that two lines have in common, up to the case of A-Z, is found; a row
     spans the seeds found in it, which is ``SEED`` words at least, and need not reach both ends of the run.
     """
-    hits = keep(repeated(seed_keys(docs)).distinct(), "hits", free=True)
-    wanted = table.join(hits.select("member").distinct(), "member", "left_semi").select("doc_id")
-    rows = seed_table(_of(docs, wanted)).join(hits.select(F.col("key").alias("seed")).distinct(), "seed", "left_semi")
-    gone = found.filter("removed").select(F.col("doc_id").alias("gone_doc"), F.col("paragraph").alias("gone_paragraph")).distinct()
-    rows = keep(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("paragraph") == F.col("gone_paragraph")), "left_anti"), "seeds", free=True)
-    first = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.min("line").alias("low"), F.max("line").alias("high"))
-    rows = rows.join(first.filter("low != high").select("seed", "first"), "seed")
-    own = ["doc_id", "paragraph", "line", "first"]
+    hits = keep(repeated(seed_keys(docs)).groupBy("key", "member").agg(F.min("note").alias("at")), "hits", free=True)
+    left = table.join(found.filter("removed").select("row"), "row", "left_anti").select("doc_id", "paragraph", "member")
+    rows = keep(hits.withColumnRenamed("key", "seed").join(left, "member"), "seeds", free=True)
+    first = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.min("member").alias("low"), F.max("member").alias("high"))
+    rows = rows.join(keep(first.filter("low != high").select("seed", "first"), "first"), "seed")
+    own = ["doc_id", "paragraph", "member", "first"]
     ordered = Window.partitionBy(*own).orderBy("at")
-    rows = rows.select(*own, "at").distinct().withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(ordered) + SEED, F.lit(True)).cast("long"))
+    rows = rows.select(*own, "at").withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(ordered) + SEED, F.lit(True)).cast("long"))
     rows = rows.withColumn("run", F.sum("fresh").over(ordered))
     out = rows.groupBy(*own, "run").agg(F.min("at").alias("first_word"), (F.max("at") + SEED - F.min("at")).alias("n_words"))
     out = out.select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), "first_word")
@@ -234,4 +226,4 @@ def repeated_text(docs: DataFrame, recall: float = 0.998) -> DataFrame:
     docs = docs.select("doc_id", "text")
     table = _numbered(docs)
     whole = keep(_repeated(docs, table, recall), "whole", free=True)
-    return whole.withColumn("first_word", F.lit(None).cast("long")).unionByName(_passages(docs, table, whole))
+    return whole.drop("row").withColumn("first_word", F.lit(None).cast("long")).unionByName(_passages(docs, table, whole))

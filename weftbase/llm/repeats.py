@@ -13,18 +13,20 @@ from pyspark.sql import DataFrame
 
 from weftbase.llm.textbatch import mix64, signed
 
-ROUTED = "route long, key long, member long, kind byte"
+#: ``kind``: one of the four below, and four times the pair's note.
+ROUTED = "route long, key long, member long, kind long"
 ALONE, MARKER, KNOWN = 0, 1, 2
 
 
-def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None) -> pa.RecordBatch:
+def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None, note: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows to exchange for a batch of (key, member) pairs (64-bit values); equal pairs become one.
-    ``sure``: keys (sorted) that repeat in any case."""
+    ``sure``: keys (sorted) that repeat in any case; ``note``: a number that stays with each pair."""
     order = np.lexsort((member, key))
     key, member = key[order], member[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1])
     key, member = key[fresh], member[fresh]
+    note = np.zeros(len(key), np.int64) if note is None else note[order][fresh]
     same = np.zeros(len(key), bool)
     same[1:] = key[1:] == key[:-1]
     again = same.copy()
@@ -41,7 +43,7 @@ def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None)
             pa.array(signed(route)),
             pa.array(signed(np.concatenate([zero, key[again]]))),
             pa.array(signed(np.concatenate([member[alone], zero[: n[1]], member[again]]))),
-            pa.array(np.repeat(np.array([ALONE, MARKER, KNOWN], np.int8), n)),
+            pa.array(np.repeat(np.array([ALONE, MARKER, KNOWN]), n) + 4 * np.concatenate([note[alone], np.zeros(n[1], np.int64), note[again]])),
         ],
         ["route", "key", "member", "kind"],
     )
@@ -52,24 +54,25 @@ def _reduce(batches):
     if not parts:
         return
     route, key, member, kind = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    note, kind = kind >> 2, kind & 3
     known = kind == KNOWN
     if known.any():
-        yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(member[known])], ["key", "member"])
-    route, member, kind = route[~known], member[~known], kind[~known]
-    order = np.lexsort((member, route))
-    route, member, kind = route[order], member[order], kind[order]
+        yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(member[known]), pa.array(note[known])], ["key", "member", "note"])
+    route, member, kind, note = route[~known], member[~known], kind[~known], note[~known]
+    order = np.lexsort((kind, member, route))
+    route, member, kind, note = route[order], member[order], kind[order], note[order]
     fresh = np.ones(len(route), bool)
     fresh[1:] = (route[1:] != route[:-1]) | (member[1:] != member[:-1]) | (kind[1:] != kind[:-1])
-    route, member, kind = route[fresh], member[fresh], kind[fresh]
+    route, member, kind, note = route[fresh], member[fresh], kind[fresh], note[fresh]
     same = np.zeros(len(route), bool)
     same[1:] = route[1:] == route[:-1]
     again = same.copy()
     again[:-1] |= same[1:]
     out = again & (kind == ALONE)
-    yield pa.RecordBatch.from_arrays([pa.array(route[out]), pa.array(member[out])], ["key", "member"])
+    yield pa.RecordBatch.from_arrays([pa.array(route[out]), pa.array(member[out]), pa.array(note[out])], ["key", "member", "note"])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(key, member) for all pairs whose key has two members or more, from ``routed`` rows; a pair can come more
-    than once."""
-    return rows.repartition("route").mapInArrow(_reduce, "key long, member long")
+    """(key, member, note) for all pairs whose key has two members or more, from ``routed`` rows; a pair can come
+    more than once."""
+    return rows.repartition("route").mapInArrow(_reduce, "key long, member long, note long")
