@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -95,25 +96,31 @@ def bands(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, ROUTED)
 
 
-def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id, null or not, is one of ``wanted``."""
-    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-
-
 def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """member, n, tokens of the paragraphs named in ``wanted`` (doc_id of one that has it, member)."""
-    rows = _of(docs, wanted).select("text")
+    """member, n, tokens of the paragraphs named in ``wanted`` (doc_id of one that has it, member). A task gets the
+    names with the text, so that no other paragraph's set travels; without doc_id, the names are joined after."""
 
     def run(batches):
         for batch in batches:
+            column = batch.column("members")
+            listed, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(column).fill_null(0).to_numpy())])
             for block in blocks(batch.column("text")):
-                n, _, _, hashes, at, names = _sets(block)
-                raw, use = hashes.tobytes(), np.flatnonzero(n >= MIN_WORDS)
+                n, owner, _, hashes, at, names = _sets(block)
+                use = n >= MIN_WORDS
+                for i in range(len(block)):
+                    own = listed[ends[block.first + i] : ends[block.first + i + 1]]
+                    if len(own):
+                        low, high = np.searchsorted(owner, [i, i + 1])
+                        use[low:high] &= np.isin(signed(names[low:high]), own)
+                raw, use = hashes.tobytes(), np.flatnonzero(use)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(names[use])), pa.array(np.diff(at)[use]), pa.array([raw[8 * at[i] : 8 * at[i + 1]] for i in use], pa.binary())], ["member", "n", "tokens"])
 
-    found = rows.mapInArrow(run, "member long, n long, tokens binary")
-    return keep(found.join(wanted.select("member"), "member", "left_semi").dropDuplicates(["member"]), "sets", free=True)
+    shape = "member long, n long, tokens binary"
+    lists = wanted.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("member").alias("members"))
+    found = docs.join(lists, docs["doc_id"] == lists["id"]).select("text", "members").mapInArrow(run, shape)
+    loose = docs.filter("doc_id is null").select("text", F.array().cast("array<long>").alias("members")).mapInArrow(run, shape)
+    loose = loose.join(wanted.filter("doc_id is null").select("member"), "member", "left_semi")
+    return keep(found.union(loose).dropDuplicates(["member"]), "sets", free=True)
 
 
 def repeated_paragraphs(docs: DataFrame, recall: float = 0.998) -> DataFrame:
@@ -139,7 +146,7 @@ def _repeated(docs: DataFrame, table: DataFrame, recall: float) -> DataFrame:
     wanted = keep(table.join(members, "member", "left_semi").groupBy("member").agg(F.min("doc_id").alias("doc_id")), "wanted")
     sets = set_table(docs, wanted)
     sizes = keep(sets.select("member", "n"), "sizes")
-    links = L.linked(keys, sets, FEW, rounds=2, check=lambda pairs: _like_sizes(pairs, sizes))
+    links = L.linked(keys, sets, FEW, rounds=1, check=lambda pairs: _like_sizes(pairs, sizes))
     groups = keep(components(links), "components", free=True)
     rows = table.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph", "member", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
