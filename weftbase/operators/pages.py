@@ -158,9 +158,9 @@ def links(rows: DataFrame) -> DataFrame:
     return rows.select("url", F.explode("links").alias("l")).select("url", F.col("l.href").alias("dst"), F.col("l.nav").alias("nav"), F.col("l.ord").alias("ord"))
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int = 25, keywords: tuple[str, ...] = (), keep=None, rounds: int = 20) -> DataFrame:
+def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int = 25, keywords: tuple[str, ...] = (), keep=None) -> DataFrame:
     """(seed, url, depth, ord): pages reached from each seed over stored links, breadth first, up to
-    ``max_pages`` a seed. Links with a keyword come first, then navigation links. ``keep`` writes a round's
+    ``max_pages`` a seed, which ends the rounds at that depth. Links with a keyword come first, then navigation links. ``keep`` writes a round's
     rows where its lineage should end (a function of DataFrame)."""
     keep = keep or (lambda df: df.checkpoint())
     promoted = F.lit(1)
@@ -170,7 +170,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int = 25, keywords: tup
     edges = edges.withColumns({"promoted": promoted, "not_nav": (~F.col("nav")).cast("int")})
     visited = keep(seeds.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth"), F.lit(0).alias("ord")).distinct())
     frontier, depth = visited, 0
-    while depth < rounds:
+    while True:
         depth += 1
         step = frontier.select("seed", "url").join(edges.select("url", "dst", "promoted", "not_nav", F.col("ord").alias("ord")), "url")
         step = step.groupBy("seed", F.col("dst").alias("url")).agg(F.min("promoted").alias("promoted"), F.min("not_nav").alias("not_nav"), F.min("ord").alias("ord"))

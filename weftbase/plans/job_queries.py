@@ -290,10 +290,9 @@ def memory_trend(spark, sf_dir):
     return monitor.memory_trend(events(spark, sf_dir).withColumnRenamed("run_id", "host")).select("event_id", "trend", "label")
 
 
-@query(f"WITH {EVENTS_SQL}, r AS (SELECT event_id, event_id % 101 AS c, event_id % 97 AS m FROM ev) SELECT event_id, CASE WHEN c > 85 OR m > 85 THEN 1 ELSE greatest(1, least(10, cast(floor((100 - greatest(c, m)) / 10.0) AS int) + 1)) END AS batch_size, CASE WHEN c > 85 OR m > 85 THEN 'single' WHEN floor((100 - greatest(c, m)) / 10.0) + 1 >= 6 THEN 'batch' ELSE 'careful' END AS mode FROM r WHERE greatest(c, m) % 10 <> 0")
+@query(f"WITH {EVENTS_SQL}, r AS (SELECT event_id, event_id % 101 AS c, event_id % 97 AS m FROM ev) SELECT event_id, CASE WHEN c > 85 OR m > 85 THEN 1 ELSE greatest(1, least(10, cast(floor((100 - greatest(c, m)) / 10.0) AS int) + 1)) END AS batch_size, CASE WHEN c > 85 OR m > 85 THEN 'single' WHEN floor((100 - greatest(c, m)) / 10.0) + 1 >= 6 THEN 'batch' ELSE 'careful' END AS mode FROM r")
 def batch_modes(spark, sf_dir):
-    """Shares that are whole tenths are left to a test: binary fractions fall to either side there."""
-    rows = events(spark, sf_dir).select("event_id", (F.col("event_id") % 101).cast("double").alias("c"), (F.col("event_id") % 97).cast("double").alias("m")).filter(F.greatest("c", "m") % 10 != 0)
+    rows = events(spark, sf_dir).select("event_id", (F.col("event_id") % 101).cast("double").alias("c"), (F.col("event_id") % 97).cast("double").alias("m"))
     return rows.select("event_id", monitor.batch_mode(F.col("c"), F.col("m")).alias("b")).select("event_id", "b.batch_size", "b.mode")
 
 
@@ -348,7 +347,7 @@ def crawl_stats(spark, sf_dir):
 def stored_crawl(spark, sf_dir):
     """From every page of each host's start: here every page is a seed of its own crawl of at most 25 pages."""
     parsed = keep(pages.parsed(_raw(spark, sf_dir, "pages")), "parsed")
-    return pages.crawl(pages.links(parsed), parsed.select("url"), keywords=("topic",), keep=lambda df: keep(df, "crawl"), rounds=5)
+    return pages.crawl(pages.links(parsed), parsed.select("url"), keywords=("topic",), keep=lambda df: keep(df, "crawl"))
 
 
 @query(f"WITH {DOCS_SQL}, b AS (SELECT DISTINCT 'https://' || source || '.org/topic/' AS base FROM docs), t AS (SELECT DISTINCT lang || ' joint pain' AS term FROM docs), u AS (SELECT DISTINCT base, base || unnest([replace(term, ' ', '-'), replace(term, ' ', '')]) AS url FROM b, t) SELECT base, url FROM u")
