@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns in the order in which they are tried; group 1 is the DOI.
+# What a DOI looks like and how it is labelled, in the order in which the patterns are tried (the
+# order decides which of several DOIs is found). Group 1 is the DOI.
 LOOSE = (
-    r"(?i)doi\.org/(10\.\d{4,9}/[-._;()/:A-Z0-9]+)",
-    r"(?i)doi:\s*(10\.\d{4,9}/[-._;()/:A-Z0-9]+)",
-    r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)\b",
+    r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)\b",
+    r"(?i)doi:?\s*(10\.\d{4,9}/[-._;()/:A-Z0-9]+)",
+    r"https?://doi\.org/(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)",
 )
 STRICT = (
     r"(?i)doi\.org/(10\.\d{4,9}/[^\s()<>\"]+)",
-    r"(?i)doi[:\s]+(10\.\d{4,9}/[^\s()<>\"]+)",
+    r"(?i)doi[:=\s]+(10\.\d{4,9}/[^\s()<>\"]+)",
+    r"(?i)(?:digital object identifier|d\.o\.i\.)[:=\s]+(10\.\d{4,9}/[^\s()<>\"]+)",
     r"(?i)\((10\.\d{4,9}/[^\s()<>\"]+)\)",
     r"(?i)(10\.\d{4,9}/[^\s()<>\"]+)",
 )
+LABEL = r"(?i)^(doi|digital object identifier|d\.o\.i\.)[:=\s]*"
+INNER = r"10\.\d+/[^\s\"'<>)]+"
 
 
 def extract(text: Column, patterns: tuple[str, ...] = STRICT) -> Column:
@@ -26,12 +30,13 @@ def extract(text: Column, patterns: tuple[str, ...] = STRICT) -> Column:
 
 
 def clean(doi: Column) -> Column:
-    """Without brackets round it, resolver or label before it and punctuation after it; null unless it begins ``10.``."""
+    """Without brackets round it, resolver or label before it and punctuation after it. If that does not begin
+    ``10.``, the first DOI within it; null if there is none."""
     c = F.regexp_replace(F.trim(doi), r"^\(|\)$", "")
     c = F.regexp_replace(c, r"(?i)^(https?://)?(dx\.)?doi\.org/", "")
-    c = F.regexp_replace(c, r"(?i)^doi:?\s*", "")
+    c = F.regexp_replace(c, LABEL, "")
     c = F.regexp_replace(c, r"[.,;:]+$", "")
-    return F.when(F.startswith(c, F.lit("10.")), c)
+    return F.when(F.startswith(c, F.lit("10.")), c).otherwise(F.nullif(F.regexp_replace(F.regexp_extract(c, INNER, 0), r"[.,;:]+$", ""), F.lit("")))
 
 
 def join_key(doi: Column) -> Column:
@@ -68,6 +73,19 @@ def work_fields(works: DataFrame) -> DataFrame:
     )
 
 
+def datacite_fields(works: DataFrame) -> DataFrame:
+    """The same fields of records in DataCite's shape (columns DOI; titles: array<struct<title>>; container:
+    struct<title>; creators: array<struct<name>>; publicationYear: int; dates: array<struct<date, dateType>>).
+    Without a publication year, the year of the first date of type ``Issued`` counts."""
+    issued = F.get(F.filter("dates", lambda d: (d["dateType"] == "Issued") & d["date"].isNotNull()), F.lit(0))["date"]
+    none = F.lit(None).cast("string")
+    return works.select(
+        join_key(F.col("DOI")).alias("doi"), _first(F.filter("titles", lambda t: t["title"].isNotNull()))["title"].alias("title"), F.col("container.title").alias("journal"),
+        F.array_join(F.transform("creators", lambda c: c["name"]), "; ").alias("authors"), F.coalesce("publicationYear", F.substring(issued, 1, 4).try_cast("int")).alias("publication_year"),
+        none.alias("volume"), none.alias("issue"), none.alias("pages"),
+    )
+
+
 def enrich(documents: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Documents (id, doi) with the fields of the primary record of their DOI, or of the fallback where the
     primary source has none. Rows without a DOI stay, without fields; two equi-joins, no lookups per row."""

@@ -64,8 +64,9 @@ def memory_trend(samples: DataFrame, window: int = 15, least: int = 7) -> DataFr
 
 
 def batch_mode(cpu: Column, memory: Column) -> Column:
-    """Struct of batch size and mode for CPU and memory in percent: one more than the whole tenths left."""
-    free = (100 - F.greatest(cpu, memory)) / 10.0
+    """Struct of batch size and mode for CPU and memory in percent: one more than the whole tenths left, as doubles
+    have them (80 percent leave 0.19999999999999996, hence 1)."""
+    free = F.least(1 - cpu.cast("double") / 100, 1 - memory.cast("double") / 100) * 10
     size = F.when((cpu > 85) | (memory > 85), F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), (F.floor(free) + 1).cast("int"))))
     mode = F.when((cpu > 85) | (memory > 85), "single").when(size >= 6, "batch").otherwise("careful")
     return F.struct(size.cast("int").alias("batch_size"), mode.alias("mode"))

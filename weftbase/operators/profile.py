@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftbase.functions.text import origin
@@ -73,6 +73,13 @@ def repeated_values(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def repeated_samples(entries: DataFrame, column: str, most: int = 10) -> DataFrame:
+    """The first ``most`` entries, by position, of each value that several entries have; ``nth`` counts them from 1."""
+    w = Window.partitionBy(column).orderBy("pos", "entry_id")
+    first = entries.filter(F.col(column).isNotNull()).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most)
+    return first.join(repeated_values(entries, column).select(column), column, "left_semi")
+
+
 def distinct_chunks(entries: DataFrame, most: int = 10) -> DataFrame:
     """Documents with most distinct chunk ids."""
     return entries.filter("document_id is not null").groupBy("document_id").agg(F.count_distinct("chunk_id").alias("chunk_ids")).orderBy(F.desc("chunk_ids"), "document_id").limit(most)
@@ -120,6 +127,13 @@ def collection_documents(collections: DataFrame, links: DataFrame, documents: Da
     return collections.join(lists, "id").select("id", "name", F.array_join(F.transform("d", lambda x: F.coalesce(x["title"], F.lit("?"))), "; ").alias("titles"))
 
 
+def document_collections(documents: DataFrame, links: DataFrame, collections: DataFrame) -> DataFrame:
+    """Each document's collections (array<struct<id, name>>, in order of id; empty if it has none)."""
+    rows = links.select("document_id", F.col("collection_id").alias("id")).distinct().join(collections.select("id", "name"), "id")
+    lists = rows.groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("c"))
+    return documents.select("id").join(lists, "id", "left").select("id", F.coalesce("c", F.array().cast("array<struct<id:bigint,name:string>>")).alias("collections"))
+
+
 def pages_cited(sources: DataFrame) -> DataFrame:
     """Per answer and PDF title: distinct pages in order, and the documents."""
     return sources.groupBy("answer_id", "title").agg(F.array_sort(F.collect_set("page_number")).alias("p"), F.array_sort(F.collect_set("doc_id")).alias("d")).select(

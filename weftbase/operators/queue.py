@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftbase import schemas
 from weftbase.operators.profile import documents_with_counts
+from weftbase.sources.scratch import keep
 
 
 def processing_state(c: Column) -> Column:
@@ -49,12 +50,22 @@ def recent(documents: DataFrame, n: int = 5) -> DataFrame:
     return documents.orderBy(F.desc("created_s"), F.desc("id")).limit(n)
 
 
+def ranged(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_range``: ranges of ``key`` in its order, one a shuffle partition. They are written to the
+    shared folder, since a second pass could draw other borders."""
+    return keep(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranged")
+
+
 def next_chunk(chunks: DataFrame) -> DataFrame:
-    """The chunk that follows each one: in its document, else the first of the next document with chunks."""
+    """The chunk that follows each one: in its document, else the first of the next document with chunks. The
+    last document of a range looks to the first of the next range."""
     within = Window.partitionBy("document_id").orderBy("chunk_index")
     rows = chunks.withColumn("next_id", F.lead("id").over(within))
-    firsts = chunks.groupBy("document_id").agg(F.min_by("id", "chunk_index").alias("first_id"))
-    heads = firsts.select("document_id", F.lead("first_id").over(Window.orderBy("document_id")).alias("_after"))
+    firsts = ranged(chunks.groupBy("document_id").agg(F.min_by("id", "chunk_index").alias("first_id")), "document_id")
+    borders = firsts.groupBy("_range").agg(F.min_by("first_id", "document_id").alias("_head"))
+    borders = borders.select("_range", F.lead("_head").over(Window.orderBy("_range")).alias("_border"))
+    after = F.coalesce(F.lead("first_id").over(Window.partitionBy("_range").orderBy("document_id")), F.col("_border"))
+    heads = firsts.join(borders, "_range").select("document_id", after.alias("_after"))
     return rows.join(heads, "document_id").select("id", "document_id", "chunk_index", F.coalesce("next_id", "_after").alias("next_id"))
 
 
@@ -71,8 +82,12 @@ def increment(chunks: DataFrame, counts: DataFrame, step: int = 100) -> DataFram
 
 
 def until_target(chunks: DataFrame, done: DataFrame, percent: float) -> DataFrame:
-    """The pending chunks, by id, that bring the share done to the target."""
+    """The pending chunks, by id, that bring the share done to the target. Counts of ranges of ids, summed, say
+    how many each range gives; rows are ranked within their range only."""
     need = chunks.agg((F.count(F.lit(1)) * F.lit(percent / 100.0)).cast("long").alias("n")).crossJoin(done.agg(F.count(F.lit(1)).alias("d")))
-    pending = chunks.join(done, chunks["id"] == done["chunk_id"], "left_anti").select("id", "document_id")
-    n = need.select(F.greatest(F.col("n") - F.col("d"), F.lit(0)).cast("int").alias("n")).head()["n"]
-    return pending.orderBy("id").limit(n)
+    pending = ranged(chunks.join(done, chunks["id"] == done["chunk_id"], "left_anti").select("id", "document_id"), "id")
+    sizes = pending.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    gives = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).crossJoin(need).select("_range", (F.col("n") - F.col("d") - F.col("_before")).alias("_gives")).filter("_gives > 0")
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy("id"))
+    return pending.join(gives, "_range").withColumn("_nth", nth).filter("_nth <= _gives").select("id", "document_id")

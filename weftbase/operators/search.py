@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weftbase.operators.store import TOPIC_PATTERNS
 
-QUERY_BLOCK = 1000
+SHARD = 20_000
+QUERY_BLOCK = 256
 
 
 def normalized(v: Column) -> Column:
@@ -20,52 +21,61 @@ def normalized(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-
-
 def block_topk(queries: DataFrame, entries: DataFrame, pool: int) -> DataFrame:
-    """(query_id, entry_id, pos, dist): the ``pool`` nearest entries of each query by squared L2 distance,
-    ties by position. Queries (query_id, vector) go to every task in blocks of QUERY_BLOCK; a task keeps a
-    pool of its own rows per query, and only those are exchanged."""
+    """(query_id, entry_id, pos, dist, rank): the ``pool`` nearest entries of each query by squared L2 distance,
+    ties by position. Entries are shuffled once into shards of about SHARD rows, and every shard gets all queries
+    after its entries, so a task holds one shard and a block of queries; only a pool per shard and query is
+    exchanged. Null vectors take no part."""
     spark = queries.sparkSession
-    blocks: list[tuple[np.ndarray, np.ndarray]] = []
-    rows: list = []
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        rows.append(r)
-        if len(rows) == QUERY_BLOCK:
-            blocks.append((np.array([x[0] for x in rows]), np.array([x[1] for x in rows], np.float64)))
-            rows = []
-    if rows:
-        blocks.append((np.array([x[0] for x in rows]), np.array([x[1] for x in rows], np.float64)))
-    found = None
-    for ids, matrix in blocks:
-        shared = spark.sparkContext.broadcast((ids, matrix))
-        part = entries.select("entry_id", "pos", "vector").mapInPandas(_nearest(shared, pool), "query_id long, entry_id string, pos long, dist double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, entry_id string, pos long, dist double, rank int")
-    best = Window.partitionBy("query_id").orderBy("dist", "pos")
+    n = entries.count()
+    shards = max(-(-n // SHARD), min(spark.sparkContext.defaultParallelism, -(-n // 1000)), 1)
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    rows = entries.filter("vector is not null").select(F.pmod(F.xxhash64("entry_id", "pos"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("query_id"), "entry_id", "pos", vector)
+    asked = queries.filter("vector is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").cast("long").alias("query_id"), F.lit("").alias("entry_id"), F.lit(0).cast("long").alias("pos"), vector)
+    met = rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    found = met.mapInPandas(_nearest(pool), "query_id long, entry_id string, pos long, dist double")
+    best = Window.partitionBy("query_id").orderBy("dist", "pos", "entry_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= pool)
 
 
-def _nearest(shared, pool: int):
+def _nearest(pool: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
+        shard, held, side = None, [], None
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.array(pdf["vector"].tolist(), np.float64)
-            pos = pdf["pos"].to_numpy()
-            d = np.stack([((x - v) ** 2).sum(1) for v in q])
-            k = min(pool, len(pdf))
-            top = np.array([np.lexsort((pos, row))[:k] for row in d])
-            at = top.ravel()
-            yield pd.DataFrame({"query_id": np.repeat(ids, k), "entry_id": pdf["entry_id"].to_numpy()[at], "pos": pos[at], "dist": np.take_along_axis(d, top, 1).ravel()})
+            for (at, kind), part in pdf.groupby(["shard", "kind"], sort=True):
+                if at != shard:
+                    shard, held, side = at, [], None
+                if kind == 0:
+                    held.append((part["entry_id"].to_numpy(), part["pos"].to_numpy(), np.array(part["vector"].tolist(), np.float64)))
+                    continue
+                if not held:
+                    continue
+                if side is None:
+                    side = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held = held[:1]
+                for start in range(0, len(part), QUERY_BLOCK):
+                    block = part.iloc[start : start + QUERY_BLOCK]
+                    yield _pools(block["query_id"].to_numpy(), np.array(block["vector"].tolist(), np.float64), *side, pool)
 
     return run
 
 
+def _pools(ids: np.ndarray, q: np.ndarray, entry_ids: np.ndarray, pos: np.ndarray, x: np.ndarray, pool: int) -> pd.DataFrame:
+    """The pool of each query: a matrix product finds who can be in it, the exact distance decides."""
+    k = min(pool, len(x))
+    norms, own = (x * x).sum(1), (q * q).sum(1)
+    near = norms[None, :] - 2.0 * (q @ x.T)
+    reach = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-9 * (1.0 + own + norms.max())
+    out = []
+    for i in range(len(q)):
+        at = np.flatnonzero(near[i] <= reach[i])
+        d = ((x[at] - q[i]) ** 2).sum(1)
+        top = np.lexsort((entry_ids[at], pos[at], d))[:k]
+        out.append((at[top], d[top]))
+    at = np.concatenate([a for a, _ in out])
+    return pd.DataFrame({"query_id": np.repeat(ids, k), "entry_id": entry_ids[at], "pos": pos[at], "dist": np.concatenate([d for _, d in out])})
+
+
 def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
 

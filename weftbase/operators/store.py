@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftbase.functions.text import blank_to_null, truncated, url_slugs
+from weftbase.operators.match import contained_values
 
 TOPIC_PATTERNS = ("/topic/", "/disease/", "/diseases/", "/condition/", "/conditions/")
 
@@ -95,12 +96,13 @@ def metadata_map(*columns: str) -> Column:
 
 
 def without_blocked(rows: DataFrame, blocked: DataFrame, columns: tuple[str, ...] = ("title", "file_path", "citation")) -> DataFrame:
-    """Rows in none of whose columns a ``term`` of the block list occurs. The list is a short table kept by hand;
-    Spark broadcasts it only below its threshold."""
-    hit = F.lit(False)
+    """Rows in none of whose columns a ``term`` of the block list occurs. Terms find the distinct values they occur
+    in by equality joins on grams; rows with such a value go."""
+    terms = blocked.select(F.col("term").alias("_n"))
     for c in columns:
-        hit = hit | F.coalesce(F.contains(F.col(c), F.col("term")), F.lit(False))
-    return rows.join(blocked.filter("term != ''").select("term"), hit, "left_anti")
+        hit = contained_values(terms, rows.select(F.col(c).alias("_t"))).select(F.col("_t").alias(c)).distinct()
+        rows = rows.join(hit, c, "left_anti").select(*rows.columns)
+    return rows
 
 
 def unprocessed(chunks: DataFrame, entries: DataFrame, limit: int | None = None) -> DataFrame:

@@ -119,6 +119,15 @@ def collections(spark, sf_dir):
     return counts.join(profile.collection_documents(all_, links, docs).select("id", "titles"), "id", "left")
 
 
+@query(f"WITH {DOCS_SQL}, l AS (SELECT id AS document_id, id % 10 AS c FROM docs WHERE id % 3 = 0 UNION SELECT id, id % 7 FROM docs WHERE id % 2 = 0), n AS (SELECT document_id, string_agg('c' || c, '; ' ORDER BY c) AS names FROM l GROUP BY 1) SELECT id, coalesce(names, '') AS names FROM docs LEFT JOIN n ON id = document_id")
+def document_collections(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("id")
+    all_ = spark.range(12).withColumn("name", F.concat(F.lit("c"), F.col("id").cast("string")))
+    link = lambda some, k: docs.filter(some).select((F.col("id") % k).alias("collection_id"), F.col("id").alias("document_id"))
+    found = profile.document_collections(docs, link("id % 3 = 0", 10).union(link("id % 2 = 0", 7)), all_)
+    return found.select("id", F.array_join(F.transform("collections", lambda c: c["name"]), "; ").alias("names"))
+
+
 # Search. Queries are the vectors whose id is divisible by 50, with a benchmark text each.
 
 _TYPES = "CASE WHEN label % 2 = 0 THEN 'pdf' ELSE 'website' END"
@@ -290,7 +299,7 @@ def memory_trend(spark, sf_dir):
     return monitor.memory_trend(events(spark, sf_dir).withColumnRenamed("run_id", "host")).select("event_id", "trend", "label")
 
 
-@query(f"WITH {EVENTS_SQL}, r AS (SELECT event_id, event_id % 101 AS c, event_id % 97 AS m FROM ev) SELECT event_id, CASE WHEN c > 85 OR m > 85 THEN 1 ELSE greatest(1, least(10, cast(floor((100 - greatest(c, m)) / 10.0) AS int) + 1)) END AS batch_size, CASE WHEN c > 85 OR m > 85 THEN 'single' WHEN floor((100 - greatest(c, m)) / 10.0) + 1 >= 6 THEN 'batch' ELSE 'careful' END AS mode FROM r")
+@query(f"WITH {EVENTS_SQL}, r AS (SELECT event_id, event_id % 101 AS c, event_id % 97 AS m FROM ev), f AS (SELECT *, cast(floor(least(1 - c::double / 100::double, 1 - m::double / 100::double) * 10::double) AS int) AS free FROM r) SELECT event_id, CASE WHEN c > 85 OR m > 85 THEN 1 ELSE greatest(1, least(10, free + 1)) END AS batch_size, CASE WHEN c > 85 OR m > 85 THEN 'single' WHEN free + 1 >= 6 THEN 'batch' ELSE 'careful' END AS mode FROM f")
 def batch_modes(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", (F.col("event_id") % 101).cast("double").alias("c"), (F.col("event_id") % 97).cast("double").alias("m"))
     return rows.select("event_id", monitor.batch_mode(F.col("c"), F.col("m")).alias("b")).select("event_id", "b.batch_size", "b.mode")

@@ -208,27 +208,38 @@ def documents_with_chunks(spark, sf_dir):
 
 # Matching
 
-_PAIRS = """d AS (SELECT id, filename, file_path, title, doi, file_type, formatted_citation, regexp_replace(filename, '\\.[A-Za-z0-9]+$', '') AS stem FROM docs),
-e AS (SELECT * FROM entries),
+#: Some documents are named by source and topic, others carry a date and time: every rule has matches.
+_FILENAME = "CASE WHEN id % 9 = 2 THEN concat(source, '_study-', cast(id % 50 as string), '.pdf') WHEN id % 9 = 4 THEN concat('20250327_101112_', filename) ELSE filename END"
+_NAMED = f"named AS (SELECT * REPLACE ({_FILENAME} AS filename) FROM docs)"
+_KEYWORDS = """kw AS (SELECT DISTINCT filename, list_distinct(list_filter(regexp_split_to_array(lower(stem), '[_ -]+'), lambda x: length(x) > 3)) AS w FROM d),
+kt AS (SELECT DISTINCT title FROM entries WHERE title IS NOT NULL),
+kp AS (SELECT filename, title FROM (SELECT filename, title, list_filter(w, lambda x: contains(lower(title), x)) AS hit FROM kw, kt WHERE len(w) >= 2) WHERE len(hit) >= 2)"""
+_PAIRS = f"""{_NAMED}, d AS (SELECT id, filename, file_path, title, doi, file_type, formatted_citation, regexp_replace(filename, '\\.[A-Za-z0-9]+$', '') AS stem FROM named),
+e AS (SELECT * FROM entries), {_KEYWORDS},
 r AS (
  SELECT e.entry_id, d.id, 1 AS rule FROM d JOIN e ON d.file_path = e.file_path
  UNION ALL SELECT e.entry_id, d.id, 2 FROM d JOIN e ON d.filename = e.filename
  UNION ALL SELECT e.entry_id, d.id, 3 FROM (SELECT entry_id, title FROM e WHERE title LIKE 'About %') e JOIN d ON contains(e.title, d.filename)
  UNION ALL SELECT e.entry_id, d.id, 4 FROM (SELECT entry_id, title FROM e WHERE title LIKE 'About %') e JOIN d ON contains(e.title, d.stem)
  UNION ALL SELECT e.entry_id, d.id, 5 FROM d JOIN e ON d.doi = e.doi
- UNION ALL SELECT e.entry_id, d.id, 6 FROM d JOIN e ON d.title = e.title),
+ UNION ALL SELECT e.entry_id, d.id, 6 FROM d JOIN e ON d.title = e.title
+ UNION ALL SELECT e.entry_id, d.id, 7 FROM d JOIN kp ON d.filename = kp.filename JOIN e ON e.title = kp.title),
 best AS (SELECT entry_id, id, rule FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY rule, id DESC) AS nth FROM r) WHERE nth = 1)"""
 
 
+def _named(spark, sf_dir):
+    return documents(spark, sf_dir).drop("text").withColumn("filename", F.expr(_FILENAME))
+
+
 @query(f"WITH {ENTRIES_SQL}, {_PAIRS} SELECT entry_id, id, rule FROM best")
 def citation_cascade(spark, sf_dir):
-    return match.cascade(documents(spark, sf_dir).drop("text"), entries(spark, sf_dir).drop("text"), keywords=False)
+    return match.cascade(_named(spark, sf_dir), entries(spark, sf_dir).drop("text"))
 
 
 @query(f"WITH {ENTRIES_SQL}, {_PAIRS}, m AS (SELECT b.entry_id, d.formatted_citation AS c, d.doi AS d, d.file_type AS t FROM best b JOIN d ON b.id = d.id JOIN e ON e.entry_id = b.entry_id WHERE coalesce(e.source_type, 'unknown') IN ('pdf', 'unknown')) SELECT e.entry_id, coalesce(m.c, e.citation) AS citation, coalesce(m.d, e.doi) AS doi, coalesce(m.t, e.source_type) AS source_type FROM e LEFT JOIN m ON e.entry_id = m.entry_id")
 def citation_sync(spark, sf_dir):
-    docs, rows = documents(spark, sf_dir).drop("text"), entries(spark, sf_dir).drop("text")
-    return match.synced(rows, docs, match.cascade(docs, rows, keywords=False)).select("entry_id", "citation", "doi", "source_type")
+    docs, rows = _named(spark, sf_dir), entries(spark, sf_dir).drop("text")
+    return match.synced(rows, docs, match.cascade(docs, rows)).select("entry_id", "citation", "doi", "source_type")
 
 
 @query(
@@ -257,15 +268,15 @@ def citation_rebuild(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ENTRIES_SQL}, d AS (SELECT id, filename, regexp_replace(filename, '\\.[A-Za-z0-9]+$', '') AS stem FROM docs), b AS (SELECT *, regexp_replace(stem, '^[0-9]{{14}}_', '') AS bare FROM d),
-f AS (SELECT DISTINCT filename FROM entries WHERE filename IS NOT NULL),
-p AS (SELECT b.id, f.filename, CASE WHEN b.filename = f.filename THEN 1 WHEN contains(f.filename, b.stem) THEN 2 ELSE 3 END AS rule FROM b JOIN f ON contains(f.filename, b.bare))
-SELECT p.id, e.entry_id, p.rule FROM p JOIN entries e ON e.filename = p.filename"""
+    f"""WITH {ENTRIES_SQL}, {_NAMED}, d AS (SELECT id, filename, regexp_replace(filename, '\\.[A-Za-z0-9]+$', '') AS stem FROM named), {_KEYWORDS},
+b AS (SELECT DISTINCT filename, stem, regexp_replace(regexp_replace(stem, '^([0-9]{{14}}|[0-9]{{8}}_[0-9]{{6}})_', ''), '^[0-9]{{8}}_', '') AS bare FROM d),
+f AS (SELECT DISTINCT filename AS held FROM entries WHERE filename IS NOT NULL),
+p AS (SELECT filename, held, CASE WHEN filename = held THEN 1 WHEN contains(held, stem) THEN 2 WHEN contains(filename, held) THEN 3 ELSE 4 END AS rule FROM b, f WHERE contains(held, bare) OR contains(filename, held)),
+r AS (SELECT d.id, e.entry_id, p.rule FROM p JOIN d ON d.filename = p.filename JOIN entries e ON e.filename = p.held UNION ALL SELECT d.id, e.entry_id, 5 FROM kp JOIN d ON d.filename = kp.filename JOIN entries e ON e.title = kp.title)
+SELECT id, entry_id, min(rule) AS rule FROM r GROUP BY 1, 2"""
 )
 def filename_matches(spark, sf_dir):
-    docs = documents(spark, sf_dir).drop("text")
-    rows = entries(spark, sf_dir).drop("text").withColumn("title", F.lit(None).cast("string"))
-    return match.filename_pairs(docs, rows).select("id", "entry_id", "rule")
+    return match.filename_pairs(_named(spark, sf_dir), entries(spark, sf_dir).drop("text")).select("id", "entry_id", "rule")
 
 
 @query(f"WITH {ENTRIES_SQL}, e AS (SELECT entry_id, substring(filename, 1, 12) AS title FROM entries WHERE file_path IS NULL AND filename IS NOT NULL), d AS (SELECT id, filename FROM docs WHERE file_path IS NOT NULL), t AS (SELECT title, max(d.id) AS id FROM (SELECT DISTINCT title FROM e) x JOIN d ON starts_with(d.filename, x.title) GROUP BY 1) SELECT entry_id, t.id FROM e JOIN t ON e.title = t.title WHERE length(e.title) >= 5")
@@ -289,6 +300,19 @@ def duplicate_filenames(spark, sf_dir):
     return match.duplicate_names(documents(spark, sf_dir))
 
 
+_MARKS = ("study", "src1", "en")
+
+
+@query(
+    f"""WITH {DOCS_SQL}, {_NAMED}, n AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(filename), '\\.[a-z0-9]+$', ''), '^[0-9]{{14}}_', ''), '[_\\-\\s]+', '', 'g') AS name FROM named), m AS (SELECT name, min(id) AS first FROM n GROUP BY 1),
+l AS (SELECT a.name, min(b.first) AS first FROM m a, m b WHERE a.name = b.name OR length(a.name) > 5 AND contains(b.name, a.name) OR length(b.name) > 5 AND contains(a.name, b.name) OR {" + ".join(f"(contains(a.name, '{k}') AND contains(b.name, '{k}'))::int" for k in _MARKS)} >= 2 GROUP BY 1)
+SELECT id, CASE WHEN l.first < id THEN l.first END AS duplicate_of FROM n JOIN l ON n.name = l.name"""
+)
+def duplicate_documents(spark, sf_dir):
+    """Per document the first one before it that has a duplicate name."""
+    return match.first_duplicates(_named(spark, sf_dir), _MARKS)
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT d.id, d.file_size, count(c.id) AS chunks FROM docs d LEFT JOIN chunks c ON c.document_id = d.id WHERE d.file_type = 'website' AND d.processed AND d.file_size > 0 GROUP BY 1, 2 HAVING d.file_size > count(c.id)")
 def loadable_documents(spark, sf_dir):
     from weftbase.operators.queue import loadable
@@ -323,3 +347,11 @@ def token_overlap(spark, sf_dir):
 def upserted_entries(spark, sf_dir):
     rows = entries(spark, sf_dir).select("entry_id", "pos")
     return store.upsert(rows.filter("pos % 4 = 0"), rows.filter("pos % 6 = 0").withColumn("pos", F.col("pos") + 1_000_000_000))
+
+
+@query(f"WITH {ENTRIES_SQL}, m AS (SELECT document_id FROM entries GROUP BY 1 HAVING count(*) > 1) SELECT document_id, entry_id, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS nth FROM entries WHERE document_id IN (SELECT document_id FROM m) QUALIFY nth <= 10")
+def repeated_id_samples(spark, sf_dir):
+    """The first ten entries of each document that has several."""
+    from weftbase.operators.profile import repeated_samples
+
+    return repeated_samples(entries(spark, sf_dir).select("document_id", "entry_id", "pos"), "document_id").select("document_id", "entry_id", "nth")

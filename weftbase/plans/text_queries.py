@@ -11,6 +11,8 @@ from weftbase.functions import text as T
 from weftbase.operators.queue import processing_state, state_percent
 from weftbase.plans.fixtures import CHUNKS_SQL, DOCS_SQL, documents, wide_chunks
 from weftbase.plans.registry import query
+from weftbase.sources import tables
+from weftbase.sources.scratch import scratch_path
 
 WS = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -217,3 +219,42 @@ def tidied_answers(spark, sf_dir):
     mark = lambda c: F.concat(F.lit("["), c.cast("string"), F.lit("]"))
     made = F.concat(F.trim("text"), F.lit(" "), mark(F.col("turn") % 6), mark(F.col("turn") % 6), mark(F.col("turn") % 6 + 1), F.lit("\n\n\n\nSources:\n[1] One"))
     return rows.select("conv_id", "turn", A.tidy(made).alias("answer"))
+
+
+_PAGE = {
+    "document_id": "document_id",
+    "page_number": "chunk_index + 1",
+    "text": "concat(text_content, CASE WHEN chunk_index = 0 AND document_id % 3 = 0 THEN concat(' see 10.1000/first.', cast(document_id as string), ' end') WHEN chunk_index = 1 THEN ' and 10.1000/body.1 end' WHEN chunk_index = 2 AND document_id % 5 = 0 THEN ' References 10.1000/ref.7 end' ELSE '' END)",
+    "header_text": "CASE WHEN chunk_index = 1 AND document_id % 2 = 0 THEN concat('DOI:10.1000/head.', cast(document_id as string)) END",
+    "footer_text": "CASE WHEN chunk_index = 3 THEN '10.1000/foot.3 p. 4' END",
+}
+_PAGED = f"pg AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _PAGE.items())} FROM chunks)"
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, {_PAGED}, w AS (SELECT document_id, page_number, CASE WHEN page_number = 1 OR page_number <= 5 AND regexp_matches(text, '(?i)\\b(references|bibliography)\\b') THEN text ELSE concat_ws(chr(10), header_text, footer_text) END AS t FROM pg),
+f AS (SELECT document_id, page_number, nullif(regexp_extract(t, '(10\\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]+)', 1), '') AS doi FROM w) SELECT document_id, arg_min(doi, page_number) AS doi FROM f WHERE doi IS NOT NULL GROUP BY 1"""
+)
+def doi_by_page(spark, sf_dir):
+    """DOIs by the policy of pages: where on a page one counts depends on the page."""
+    pages = wide_chunks(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in _PAGE.items()])
+    return D.first_of_pages(pages)
+
+
+@query(
+    f"""WITH {DOCS_SQL} SELECT '10.5000/' || id AS doi, CASE WHEN id % 3 = 0 THEN NULL ELSE 'About ' || source END AS title, CASE WHEN id % 4 = 0 THEN source END AS journal, 'Smith, J; Doe, ' || lang AS authors,
+cast(CASE WHEN id % 2 = 0 THEN 1990 + id % 30 WHEN id % 5 <> 0 THEN 1980 + id % 7 END AS int) AS publication_year FROM docs"""
+)
+def datacite_records(spark, sf_dir):
+    """Records in DataCite's shape, written as JSON and read back to fields."""
+    docs = documents(spark, sf_dir).drop("text")
+    date = lambda kind, d: F.struct(d.alias("date"), F.lit(kind).alias("dateType"))
+    issued = F.when(F.col("id") % 5 == 0, F.lit("unknown")).otherwise(F.concat((1980 + F.col("id") % 7).cast("string"), F.lit("-03-01")))
+    records = docs.select(
+        F.concat(F.lit("https://doi.org/10.5000/"), F.col("id").cast("string")).alias("doi"), F.array(F.struct(F.lit(None).cast("string").alias("title")), F.struct(F.when(F.col("id") % 3 != 0, F.concat(F.lit("About "), "source")).alias("title"))).alias("titles"),
+        F.when(F.col("id") % 4 == 0, F.struct(F.col("source").alias("title"))).alias("container"), F.array(F.struct(F.lit("Smith, J").alias("name")), F.struct(F.concat(F.lit("Doe, "), "lang").alias("name"))).alias("creators"),
+        F.when(F.col("id") % 2 == 0, 1990 + F.col("id") % 30).alias("publicationYear"), F.array(date("Created", F.lit("1970")), date("Issued", issued)).alias("dates"),
+    )
+    path = scratch_path(spark, "datacite")
+    records.write.json(path)
+    return D.datacite_fields(tables.read_datacite(spark, path)).drop("volume", "issue", "pages")

@@ -69,6 +69,15 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
     ).filter("DOI is not null")
 
 
+DATACITE = "DOI string, titles array<struct<title:string>>, container struct<title:string>, creators array<struct<name:string>>, publicationYear int, dates array<struct<date:string,dateType:string>>"
+
+
+def read_datacite(spark: SparkSession, path: str) -> DataFrame:
+    """DataCite's records (the ``attributes`` of one work a line) from a JSON dump; lines that are no JSON, or have no DOI, go."""
+    schema = DATACITE.replace("DOI ", "doi ")
+    return spark.read.schema(schema).json(path).withColumnRenamed("doi", "DOI").filter("DOI is not null")
+
+
 def pdf_inventory(spark: SparkSession, folder: str, most: int = 50 * 1024 * 1024) -> DataFrame:
     """path, modificationTime, length of the PDF files of a folder up to a size; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder)
