@@ -175,3 +175,147 @@ def test_empty_tables(spark):
     done = spark.createDataFrame([], "chunk_id long")
     assert profile.progress(docs, chunks, done).first().percent == 0.0
     assert profile.by_type(docs, chunks).count() == 0
+
+
+def test_contained_values_against_loop(spark):
+    rng = random.Random(5)
+    value = lambda low, high: "".join(rng.choice("ab_1") for _ in range(rng.randrange(low, high)))
+    needles, hay = [value(0, 11) for _ in range(150)] + [None], [value(0, 40) for _ in range(120)] + [None]
+    got = match.contained_values(one(spark, "_n string", *[(n,) for n in needles]), one(spark, "_t string", *[(t,) for t in hay]))
+    assert sorted(map(tuple, got.collect())) == sorted((n, t) for n in set(needles) for t in set(hay) if n and t and n in t)
+
+
+def test_contained_values_with_one_ending(spark):
+    """Names with a common beginning and ending: each is compared only with texts that have its own grams."""
+    n = spark.range(3000).select(F.format_string("study_%05d_v2.pdf", F.col("id")).alias("_n"))
+    t = n.select(F.concat(F.lit("About "), F.col("_n")).alias("_t"))
+    assert match.contained_values(n, t).count() == 3000
+    g = match._grams
+    grams = t.select("_t", F.explode(g(F.col("_t"), match.GRAM, match.GRAM)).alias("_k"))
+    held = grams.groupBy("_k").agg(F.count(F.lit(1)).alias("c"))
+    own = n.select("_n", F.explode(g(F.col("_n"), match.GRAM, match.GRAM)).alias("_k"))
+    joined = own.join(held, "_k").groupBy("_n").agg(F.min("c").alias("c")).agg(F.sum("c").alias("s")).first().s
+    assert joined < 20 * 3000
+
+
+def test_keyword_values_against_loop(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "the", "study"]
+    names = ["_".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) + ".pdf" for _ in range(60)]
+    titles = [" ".join(rng.choice([*words, "Studying", "alphabet"]) for _ in range(rng.randrange(0, 6))) for _ in range(60)]
+    got = match.keyword_values(one(spark, "_n string", *[(n,) for n in names]), one(spark, "_t string", *[(t,) for t in titles]))
+    keys = lambda n: {w for w in n[:-4].split("_") if len(w) > 3}
+    want = {(n, t.lower()) for n in names for t in titles if sum(w in t.lower() for w in keys(n)) >= 2}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_first_duplicates_against_pairs(spark):
+    rng = random.Random(7)
+    part = lambda: rng.choice(["Agca", "2016", "EULAR", "cvs", "report", "x", "new_", "20250327145551_"])
+    names = ["".join(part() for _ in range(rng.randrange(1, 5))) + ".pdf" for _ in range(70)] + [None, None, ".pdf"]
+    rows = one(spark, "id long, filename string", *list(enumerate(names)))
+    got = {r.id: r.duplicate_of for r in match.first_duplicates(rows, KNOWN).collect()}
+    a, b = rows.select("id", F.col("filename").alias("f")), rows.select(F.col("id").alias("o"), F.col("filename").alias("g"))
+    pairs = a.join(b, F.col("o") < F.col("id")).filter(match.is_duplicate(F.col("f"), F.col("g"), KNOWN))
+    want = {r.id: r.o for r in pairs.groupBy("id").agg(F.min("o").alias("o")).collect()}
+    assert got == {i: want.get(i) for i in range(len(names))} and len(want) > 20
+
+
+def test_every_rule_of_the_cascade(spark):
+    docs = one(spark, "id long, file_path string, filename string, doi string, title string",
+               (1, "p/one", "one.pdf", None, None), (2, None, "two-paper.pdf", "10.1/two", "Second"), (3, None, "gout_joint-pain.pdf", None, ""), (4, "p/four", "two-paper.pdf", "10.1/two", None))
+    entries = one(spark, "entry_id string, file_path string, filename string, doi string, title string",
+                  ("path", "p/one", "two-paper.pdf", None, None), ("name", "", "two-paper.pdf", None, "Second"), ("whole", None, "", None, "see two-paper.pdf"), ("stem", None, None, "10.1/two", "on two-paper"),
+                  ("doi", None, None, "10.1/two", "Second"), ("title", None, None, "", "Second"), ("words", None, None, None, "Pain in JOINTs"), ("none", None, None, None, "Pain"), ("blank", "", "", "", ""))
+    got = {r.entry_id: (r.rule, r.id) for r in match.cascade(docs, entries).collect()}
+    assert got == {"path": (1, 1), "name": (2, 4), "whole": (3, 4), "stem": (4, 4), "doi": (5, 4), "title": (6, 2), "words": (7, 3)}
+    assert "words" not in {r.entry_id for r in match.cascade(docs, entries, with_keywords=False).collect()}
+
+
+def test_every_rule_of_filenames_matches(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    assert {r.rule for r in entry.queries()["filename_matches"](spark, sf_dir).select("rule").distinct().collect()} == {1, 2, 3, 4, 5}
+
+
+def test_failing_embedder(spark):
+    from weftbase.operators import embed
+
+    def make():
+        import numpy as np
+
+        def run(given):
+            if any("bad" in t for t in given):
+                raise ValueError("no vector for bad")
+            return np.full((len(given), 2), 2.0)
+
+        return run
+
+    rows = texts(spark, "good", "bad", "", None, "good").coalesce(1)
+    got = {(r.i): (list(r.vector), r.error) for r in embed.embed_once(rows.withColumnRenamed("t", "text"), make, 2).collect()}
+    assert got == {0: ([2.0, 2.0], None), 1: ([0.0, 0.0], "no vector for bad"), 2: ([0.0, 0.0], None), 3: ([0.0, 0.0], None), 4: ([2.0, 2.0], None)}
+
+
+def test_blocked_terms_without_any(spark):
+    rows = one(spark, "entry_id string, title string, file_path string, citation string", ("a", None, None, None), ("b", "Withdrawn work", None, None), ("c", "x", "p/withdrawn", "")).cache()
+    left = lambda *terms: sorted(r.entry_id for r in store.without_blocked(rows, one(spark, "term string", *[(t,) for t in terms])).collect())
+    assert left() == ["a", "b", "c"] and left("", None) == ["a", "b", "c"] and left("Withdrawn") == ["a", "c"] and left("wn", "x") == ["a"]
+
+
+def test_ranges_of_queues(spark):
+    chunks = spark.range(500).select((F.col("id") * 7 % 500).alias("id"), F.floor(F.col("id") * 7 % 500 / 3).alias("document_id"), (F.col("id") * 7 % 500 % 3).alias("chunk_index"))
+    got = {r.id: r.next_id for r in queue.next_chunk(chunks).collect()}
+    assert got == {i: i + 1 if i < 499 else None for i in range(500)}
+    done = spark.range(0, 500, 5).select(F.col("id").alias("chunk_id"))
+    first = sorted(r.id for r in queue.until_target(chunks, done, 50.0).collect())
+    assert first == [i for i in range(500) if i % 5][:150]
+    assert queue.until_target(chunks, done, 10.0).count() == 0 and queue.until_target(chunks.limit(0), done.limit(0), 50.0).count() == 0
+
+
+def test_vector_pool_over_shards(spark, monkeypatch):
+    import numpy as np
+
+    from weftbase.operators import search
+
+    monkeypatch.setattr(search, "SHARD", 60)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 5)) * 1000
+    x[100:140] = x[100]
+    rows = [(str(i), i, [float(v) for v in x[i]]) for i in range(300)] + [("none", 300, None)]
+    entries = one(spark, "entry_id string, pos long, vector array<double>", *rows)
+    asked = one(spark, "query_id long, vector array<double>", *[(i, rows[i][2]) for i in (0, 100, 139, 250)])
+    got = {}
+    for r in search.block_topk(asked, entries, 7).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.pos, r.dist))
+    for i, found in got.items():
+        d = ((x - x[i]) ** 2).sum(1)
+        assert found == [(j, d[j]) for j in sorted(range(300), key=lambda j: (d[j], j))[:7]]
+    assert len(got) == 4 and search.block_topk(asked.limit(0), entries, 7).count() == 0 and search.block_topk(asked, entries.limit(0), 7).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("given", "strict", "loose", "cleaned"),
+    [
+        ("Digital Object Identifier: 10.1000/abc.", "10.1000/abc", "10.1000/abc", "10.1000/abc"), ("D.O.I. 10.1000/abc", "10.1000/abc", "10.1000/abc", "10.1000/abc"), ("doi=10.1000/abc", "10.1000/abc", "10.1000/abc", "10.1000/abc"),
+        ("10.1000/plain, https://doi.org/10.1000/linked", "10.1000/linked", "10.1000/plain", "10.1000/plain, https://doi.org/10.1000/linked"), ("cited as 10.1000/in.", "10.1000/in", "10.1000/in", "10.1000/in"), ("doi10.1000/joined", "10.1000/joined", "10.1000/joined", "10.1000/joined"), ("none", None, None, None),
+    ],
+)
+def test_doi_labels_and_order(spark, given, strict, loose, cleaned):
+    row = texts(spark, given).select(doi.extract(F.col("t")).alias("s"), doi.extract(F.col("t"), doi.LOOSE).alias("l"), doi.clean(F.col("t")).alias("c")).first()
+    assert (row.s, row.l, row.c) == (strict, loose, cleaned)
+
+
+def test_datacite_edges(spark, tmp_path):
+    from weftbase.sources import tables
+
+    path = tmp_path / "works.json"
+    path.write_text('{"doi": "10.1/a", "titles": [{"title": "T"}], "publicationYear": 2001}\n{"doi": "10.1/b", "dates": [{"date": "2003-01", "dateType": "Issued"}], "creators": []}\nbroken\n{"titles": []}\n')
+    got = {r.doi: (r.title, r.authors, r.publication_year) for r in doi.datacite_fields(tables.read_datacite(spark, str(path))).collect()}
+    assert got == {"10.1/a": ("T", None, 2001), "10.1/b": (None, "", 2003)}
+
+
+def test_authors_and_eta(spark):
+    rows = spark.createDataFrame([([("A", "B"), ("C", None)],), ([],), (None,)], "a array<struct<family:string,given:string>>")
+    assert [r.c for r in rows.select(citation.author_list(F.col("a")).alias("c")).collect()] == ["A, B; C", "", None]
+    row = spark.sql("SELECT timestamp'2025-01-01 23:59:30' AS t, 45 AS s").select(monitor.eta_timestamp(F.col("t"), F.col("s")).cast("string").alias("e")).first()
+    assert row.e == "2025-01-02 00:00:15"
