@@ -249,6 +249,20 @@ def test_repeat_bytes(spark, monkeypatch, few):
     assert repeat_bytes.remove_repeats(frame(spark, ["x"]).filter("false")).count() == 0
 
 
+def test_repeat_bytes_of_repeated_ids(spark):
+    """Equal rows are one document; other texts of a doc_id come in the order of their hashes."""
+    rng = random.Random(9)
+    common = "".join(rng.choice("abc ") for _ in range(300))
+    rows = [(rng.choice([None, 1, 1, 2, 3, 2**62]), common[: rng.randrange(300)] + str(i % 9) + common[rng.randrange(200) :]) for i in range(40)]
+    rows += [*rows[:12], (1, None), (1, ""), (2, None), (2, None)]
+    got = repeat_bytes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    order = sorted({(-1 if d is None else d, sha(t), t or "") for d, t in rows})
+    want = {(d, s): r for (d, s, _), r in zip(order, plain_removal([t for _, _, t in order]).values(), strict=True)}
+    given = sorted((-1 if d is None else d, want[-1 if d is None else d, sha(t)]) for d, t in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == given
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(350)] + [(i, i + 1) for i in range(1000, 1060)]

@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftbase.llm.repeats import ROUTED, repeated, routed
@@ -265,19 +265,37 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.union(compared.filter("h is null").select("doc_id", "start", "end")).union(across), candidates.select("doc_id", "text")
 
 
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, own): ``docs`` with member, and one row (doc_id, text) a member, under its number. A member is a
+    text of a doc_id; its number is the doc_id unless one comes more than once, else the place of doc_id and the
+    text's hash in order, counted by ranges."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn("member", F.col("doc_id")), docs
+    rows = docs.withColumn("sha", F.sha2("text", 256))
+    places = keep(rows.select("doc_id", "sha").distinct().repartitionByRange("doc_id", "sha").withColumn("range", F.spark_partition_id()), "places")
+    sizes = places.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("doc_id", "sha"))
+    members = places.join(sizes.select("range", before), "range").select("doc_id", "sha", (F.col("before") + nth).alias("member"))
+    out = keep(rows.join(members, ["doc_id", "sha"]).select("doc_id", "text", "member"), "members", free=True)
+    return out, keep(out.select(F.col("member").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "own", free=True)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document of ``docs`` (doc_id long, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs`` (doc_id long, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a 100-byte string that also starts earlier: in a smaller doc_id, or
-    earlier in the same document. Null texts count as empty; shorter texts lose nothing. Rows that share a
-    doc_id must not differ. A null doc_id sorts first.
+    earlier in the same document. Null texts count as empty; shorter texts lose nothing. Equal rows are one
+    document and get one result; rows that share a doc_id only are documents of their own, in the order of
+    their texts' SHA-256. A null doc_id sorts first.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(np.iinfo(np.int64).min)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    gone, candidates = repeated_spans(docs)
+    lowest = F.lit(np.iinfo(np.int64).min)
+    rows, own = _members(docs.select(F.coalesce(F.col("doc_id"), lowest).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    gone, candidates = repeated_spans(own)
     by_doc = keep(gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "gone", free=True)
-    changed = cut(candidates.join(by_doc, "doc_id").select("doc_id", "text", "gone")).drop("kept", "n_bytes").dropDuplicates(["doc_id"])
-    plain = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    out = plain.join(changed, "doc_id", "left")
+    changed = cut(candidates.join(by_doc, "doc_id").select("doc_id", "text", "gone")).drop("kept", "n_bytes").withColumnRenamed("doc_id", "member")
+    plain = rows.select("doc_id", "member", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    out = plain.join(changed, "member", "left")
     return out.select(
-        F.nullif(F.col("doc_id"), F.lit(np.iinfo(np.int64).min)).alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
+        F.nullif(F.col("doc_id"), lowest).alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
     )
