@@ -7,11 +7,13 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftbase.llm import additive, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, repeat_bytes, secrets
+from weftbase.llm import additive, alignment, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, repeat_bytes, secrets
 from weftbase.llm.scratch import keep
 
 #: A public SentencePiece model: WEFT_PIECES names another.
 PIECES = os.environ.get("WEFT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: A public byte-level BPE vocabulary: WEFT_BYTES names another.
+BYTES = os.environ.get("WEFT_BYTES", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(docs, divergence.references(docs), keep_text=False).drop("lang")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTES, PIECES)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -88,5 +94,6 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {}
