@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftbase.llm import additive, alignment, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, repeat_bytes, secrets
+from weftbase.llm import additive, alignment, contamination, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, repeat_bytes, secrets
 from weftbase.llm.scratch import keep
 
 #: A public SentencePiece model: WEFT_PIECES names another.
@@ -83,6 +83,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTES, PIECES)
 
 
+def op13_query(docs: DataFrame, benchmark: DataFrame, part: int = contamination.PART) -> DataFrame:
+    found = contamination.contaminated(docs.select("doc_id", "text"), benchmark, part)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -95,5 +106,18 @@ QUERIES = {
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op12_token_alignment": op12_token_alignment,
+    "op13_decontamination": op13_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op13_decontamination": r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, n, w[i : i + n - 1] AS words FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+place AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+found AS (SELECT r, i, p.n, item_id FROM (SELECT r, i, n, w[i : i + n - 1] AS words FROM place, (SELECT DISTINCT n FROM item) WHERE i + n - 1 <= len(w)) p JOIN item USING (words)),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
