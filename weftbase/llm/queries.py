@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftbase.llm import additive, alignment, contamination, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, repeat_bytes, secrets
+from weftbase.llm import additive, alignment, contamination, divergence, jaccard_join, langid, mixing, neighbours, paragraphs, pieces, prefix_trie, repeat_bytes, secrets
 from weftbase.llm.scratch import keep
 
 #: A public SentencePiece model: WEFT_PIECES names another.
@@ -79,6 +79,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(docs, divergence.references(docs), keep_text=False).drop("lang")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTES, PIECES)
 
@@ -105,10 +109,31 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_paragraph_dedup": op9_paragraph_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_alignment": op12_token_alignment,
     "op13_decontamination": op13_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_prefix_trie": r"""
+WITH RECURSIVE t AS (SELECT conv_id AS c, coalesce(text, '') AS text, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, id, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) AS i FROM t),
+bits(b, x, k) AS (SELECT b, b, 0 FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(x ORDER BY b) AS table_ FROM bits WHERE k = 8),
+ids AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t),
+fold(c, s, at, x) AS (SELECT c, s, 1, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL SELECT c, s, at + 1, xor(x >> 8, (SELECT table_ FROM crc)[CAST(xor(x & 255, ascii(s[at])) AS INT) + 1]) FROM fold WHERE at <= length(s)),
+h AS (SELECT c, c - c % 5 AS base, xor(x, 4294967295) % 9 AS h FROM fold WHERE at = length(s) + 1),
+r AS (SELECT h.c, o.id, o.size, o.i AS p FROM h JOIN o ON o.c = h.base WHERE o.i <= h.h UNION ALL SELECT h.c, o.id, o.size, o.i + 1000000000 FROM h JOIN o ON o.c = h.c WHERE o.i > h.h),
+q AS (SELECT c, id, size, row_number() OVER w AS d, string_agg(id, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+member AS (SELECT c, 0 AS d, '' AS path, 0 AS size FROM ids UNION ALL SELECT c, d, path, size FROM q),
+len AS (SELECT c, max(d) AS n FROM member GROUP BY c),
+node AS (SELECT path, any_value(d) AS d, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n) AS ends FROM member JOIN len USING (c) GROUP BY path),
+up AS (SELECT k.path, k.d, k.size, k.conv_id, k.n_convs, k.ends, a.conv_id AS parent, k.path IN (SELECT left(path, length(path) - 32) FROM node WHERE d > 0) AS inner_ FROM node k LEFT JOIN node a ON k.d > 0 AND a.path = left(k.path, length(k.path) - 32)),
+kids AS (SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+sub AS (SELECT left(k.path, 32 * j) AS path, count(*) FILTER (WHERE NOT inner_) AS leaves, sum((n_convs - 1) * size) AS saved FROM up k, unnest(range(0, d + 1)) x(j) GROUP BY 1)
+SELECT u.conv_id, CAST(u.d AS BIGINT) AS depth, u.parent AS parent_conv_id, u.n_convs, coalesce(kids.n, 0) AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, sha256(coalesce(u.ends, '')) AS ends_sha256
+FROM up u JOIN sub USING (path) LEFT JOIN kids USING (path)
+""",
     "op13_decontamination": r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
