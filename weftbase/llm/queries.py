@@ -120,9 +120,9 @@ o AS (SELECT c, id, octet_length(encode(text)) AS size, row_number() OVER (PARTI
 bits(b, x, k) AS (SELECT b, b, 0 FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(x ORDER BY b) AS table_ FROM bits WHERE k = 8),
 ids AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t),
-fold(c, s, at, x) AS (SELECT c, s, 1, CAST(4294967295 AS BIGINT) FROM ids
-  UNION ALL SELECT c, s, at + 1, xor(x >> 8, (SELECT table_ FROM crc)[CAST(xor(x & 255, ascii(s[at])) AS INT) + 1]) FROM fold WHERE at <= length(s)),
-h AS (SELECT c, c - c % 5 AS base, xor(x, 4294967295) % 9 AS h FROM fold WHERE at = length(s) + 1),
+fold(c, s, i, x) AS (SELECT c, s, 1, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL SELECT c, s, i + 1, xor(x >> 8, (SELECT table_ FROM crc)[CAST(xor(x & 255, ascii(s[i])) AS INT) + 1]) FROM fold WHERE i <= length(s)),
+h AS (SELECT c, c - c % 5 AS base, xor(x, 4294967295) % 9 AS h FROM fold WHERE i = length(s) + 1),
 r AS (SELECT h.c, o.id, o.size, o.i AS p FROM h JOIN o ON o.c = h.base WHERE o.i <= h.h UNION ALL SELECT h.c, o.id, o.size, o.i + 1000000000 FROM h JOIN o ON o.c = h.c WHERE o.i > h.h),
 q AS (SELECT c, id, size, row_number() OVER w AS d, string_agg(id, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 member AS (SELECT c, 0 AS d, '' AS path, 0 AS size FROM ids UNION ALL SELECT c, d, path, size FROM q),
