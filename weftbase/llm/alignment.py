@@ -11,8 +11,10 @@ unit's distinct pairs are joined back to it, so that a pair which stands in ever
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 from weftbase.llm.scratch import keep
 from weftbase.llm.textbatch import Block, blocks, prefix_hash, ragged, segment_sums, span_hash
 
-UNIT = 6_000_000
+UNIT = 2_000_000
 #: Chunks that a Python worker remembers; it starts anew beyond.
-REMEMBERED = 300_000
-#: New chunks encoded at once.
+REMEMBERED = 400_000
+#: New chunks looked at, and chunks encoded, at once.
 ENCODED = 20_000
+JOINED = 500
 
 _plain = (np.arange(256) > 0x20) & (np.arange(256) != 0x7F)
 #: Leading bytes of the characters among which are all white space beyond ASCII.
@@ -89,7 +92,7 @@ class Known:
     links: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     link_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     good: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    groups: list[str] = field(default_factory=list)
+    groups: list[bytes] = field(default_factory=list)
 
 
 class Aligner:
@@ -111,24 +114,39 @@ class Aligner:
         self.b = Encoder.of([bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size())])
         self.known = Known()
 
-    def encode(self, chunks: list[str], data: np.ndarray, starts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
-        """Of each tokenizer: ids, tokens of each chunk, where each token ends in its chunk."""
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+        """Of each tokenizer: ids, tokens of each chunk, where each token ends in its chunk. Chunks that begin and
+        end as borders within a text do are encoded JOINED at a time, the others one by one."""
+        last = starts[1:] - 1
+        alone = ~_border(data, starts[:-1], data[last], data[last - 1], data[last - 2])
+        head = np.arange(len(alone)) % JOINED == 0
+        head |= alone
+        head[1:] |= alone[:-1]
+        at = np.append(starts[:-1][head], len(data))
+        raw = data.tobytes()
+        texts = [raw[i:j].decode() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         point = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        first = np.searchsorted(point, starts)
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        count = np.array([len(e.ids) for e in found], np.int64)
-        spans = np.array([s for e in found for s in e.offsets], np.int64).reshape(-1, 2)
-        chunk = np.repeat(np.arange(len(chunks)), count)
-        begin, end = (point[np.minimum(spans[:, i] + first[chunk], len(point) - 1)] - starts[chunk] for i in (0, 1))
-        ids = np.array([i for e in found for i in e.ids], np.int64)
-        a = ids, count, self.a.ends(ids, count, begin, end)
-        proto = self.pieces.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
-        count = np.array([len(p.pieces) for p in proto], np.int64)
-        table = np.array([(x.id, x.begin, x.end) for p in proto for x in p.pieces], np.int64).reshape(-1, 3)
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        n = np.array([len(e) for e in found], np.int64)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * int(n.sum())).reshape(-1, 2)
+        spans = point[np.minimum(spans + np.repeat(np.searchsorted(point, at[:-1]), n)[:, None], len(point) - 1)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64, int(n.sum()))
+        a = self._dealt(self.a, ids, spans[:, 0], spans[:, 1], starts)
+        proto = self.pieces.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
+        n = np.array([len(p.pieces) for p in proto], np.int64)
+        table = np.fromiter(chain.from_iterable((x.id, x.begin, x.end) for p in proto for x in p.pieces), np.int64, 3 * int(n.sum())).reshape(-1, 3)
+        base = np.repeat(at[:-1], n) + 1
+        begin = table[:, 1] + base
         # the space that the encoder puts in front belongs to the first piece
-        begin = table[:, 1] + 1
-        begin[(np.cumsum(count) - count)[count > 0]] = 0
-        return a, (table[:, 0], count, self.b.ends(table[:, 0], count, begin, table[:, 2] + 1))
+        begin[(np.cumsum(n) - n)[n > 0]] = at[:-1][n > 0]
+        return a, self._dealt(self.b, table[:, 0], begin, table[:, 2] + base, starts)
+
+    @staticmethod
+    def _dealt(encoder: Encoder, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens by chunk, from their coarse spans in all chunks' bytes."""
+        chunk = np.searchsorted(starts, begin, "right") - 1
+        count = np.bincount(chunk, minlength=len(starts) - 1)
+        return ids, count, encoder.ends(ids, count, begin - starts[chunk], end - starts[chunk])
 
     def learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encode chunks (spans of ``data``) that are not known yet, and remember them under ``keys``."""
@@ -136,8 +154,7 @@ class Aligner:
             part = slice(low, low + ENCODED)
             place, starts = _spans(start[part], end[part])
             own = data[place]
-            raw = own.tobytes()
-            (ids_a, n_a, end_a), (ids_b, n_b, end_b) = self.encode([raw[i:j].decode() for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], own, starts)
+            (ids_a, n_a, end_a), (ids_b, n_b, end_b) = self.encode(own, starts)
             good = self.a.spells(ids_a, n_a, own, starts) & self.b.spells(ids_b, n_b, own, starts)
             keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
             ids_a, end_a = ids_a[keep_a], (end_a + np.repeat(starts[:-1], n_a))[keep_a]
@@ -155,7 +172,7 @@ class Aligner:
             k.links = np.concatenate([k.links, links])
             k.link_at = np.concatenate([k.link_at, k.link_at[-1] + np.cumsum(n_links)])
             k.good = np.concatenate([k.good, good])
-            k.groups += _group_texts(ids_a, end_a, ids_b, end_b, both, n_groups)
+            k.groups += _group_texts(ids_a, end_a, ids_b, end_b, both, n_a + n_b)
 
     def chunks(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The known chunk that each chunk of a block is, and where each document's begin. Empty texts have none."""
@@ -168,9 +185,7 @@ class Aligner:
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(block) + 1, np.int64)
         padded = np.concatenate([[0, 0, 0], data, [0]]).astype(np.uint8)
-        before, after = padded[2:-2], padded[4:]
-        border = (data == 32) & _plain[before] & _plain[after] & ~_wide[after]
-        border &= (before < 0x80) | ~((padded[1:-3] == 0xC2) | _wide[padded[:-4]])
+        border = (data == 32) & _border(data, np.arange(len(data)), padded[2:-2], padded[1:-3], padded[:-4])
         border[begin[:-1][filled]] = True
         start = np.flatnonzero(border)
         end = np.append(start[1:], len(data))
@@ -185,25 +200,38 @@ class Aligner:
         return which[back], np.searchsorted(start, begin)
 
 
+def _border(data: np.ndarray, at: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """Whether spaces that stand ``at`` these places, after the bytes ``before`` (the nearest first), stand between
+    characters that are surely no white space."""
+    after = data[np.minimum(at + 1, len(data) - 1)]
+    return _plain[before[0]] & _plain[after] & ~_wide[after] & ((before[0] < 0x80) | ~((before[1] == 0xC2) | _wide[before[2]]))
+
+
 def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flat positions of the spans, one after the other, and where each begins among them."""
     at = np.concatenate([[0], np.cumsum(end - start)])
     return np.arange(at[-1]) + np.repeat(start - at[:-1], end - start), at
 
 
-def _group_texts(ids_a: np.ndarray, end_a: np.ndarray, ids_b: np.ndarray, end_b: np.ndarray, both: np.ndarray, n_groups: np.ndarray) -> list[str]:
-    """The groups of each chunk as ``a1,a2|b1;a3|b2``."""
-    a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    to_a, to_b = np.searchsorted(end_a, both, "right").tolist(), np.searchsorted(end_b, both, "right").tolist()
-    texts, i, j = [], 0, 0
-    for m, n in zip(to_a, to_b, strict=True):
-        texts.append(f"{a[i] if m == i + 1 else ','.join(a[i:m])}|{b[j] if n == j + 1 else ','.join(b[j:n])}")
-        i, j = m, n
-    out, at = [], 0
-    for n in n_groups.tolist():
-        out.append(";".join(texts[at : at + n]))
-        at += n
-    return out
+def _group_texts(ids_a: np.ndarray, end_a: np.ndarray, ids_b: np.ndarray, end_b: np.ndarray, both: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """The groups of each chunk as ``a1,a2|b1;a3|b2``. ``tokens``: of each chunk, A's and B's."""
+    of_a, of_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+    after = np.concatenate([np.where(both[of_a] == end_a, ord("|"), ord(",")), np.where(both[of_b] == end_b, ord(";"), ord(","))])
+    order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+    ids = np.concatenate([ids_a, ids_b])[order]
+    digits, at = _decimals(1 << max(int(ids.max()) if len(ids) else 0, 1).bit_length())
+    flat, ends = ragged(at, ids)
+    made = digits[flat]
+    made[ends[1:] - 1] = after[order]
+    raw, cut = made.tobytes(), ends[np.concatenate([[0], np.cumsum(tokens)])].tolist()
+    return [raw[i : j - 1] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+@functools.cache
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below ``n`` in decimals, a byte after each, and where each begins."""
+    texts = [b"%d " % i for i in range(n)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
 
 
 _aligners: dict[str, Aligner] = {}
@@ -238,7 +266,7 @@ def _unit(aligner: Aligner, block: Block, doc_ids: pa.Array, number: int) -> dic
     chunk, at = chunk[np.repeat(whole, n)], np.concatenate([[0], np.cumsum(np.where(whole, n, 0))])
     sums = [segment_sums(known.counts[chunk, i], at).tolist() for i in range(4)]
     texts, names = known.groups, chunk.tolist()
-    shas = [sha256(";".join([texts[i] for i in names[at[d] : at[d + 1]]]).encode()).hexdigest() if whole[d] else "" for d in range(len(block))]
+    shas = [sha256(b";".join([texts[i] for i in names[at[d] : at[d + 1]]])).hexdigest() if whole[d] else "" for d in range(len(block))]
     used, words = np.unique(chunk, return_inverse=True)
     links, link_at = ragged(known.link_at, used)
     pairs, link = np.unique(known.links[links], return_inverse=True)
@@ -247,11 +275,22 @@ def _unit(aligner: Aligner, block: Block, doc_ids: pa.Array, number: int) -> dic
     np.add.at(counts, link, weight)
     return {
         "unit": number, "docs": [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), row, strict=True)) for row in zip(doc_ids.to_pylist(), *sums, shas, strict=True)],
-        "words": words.astype(np.int32).tobytes(), "word_at": at.tobytes(), "links": link.astype(np.int32).tobytes(), "link_at": link_at.tobytes(),
+        "words": _small(words), "word_at": _small(at), "links": _small(link), "link_at": _small(link_at),
         "pairs": pa.StructArray.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"]),
     }
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as many bytes as the largest needs, of which the first byte tells."""
+    kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _large(raw: pa.Buffer) -> np.ndarray:
+    kind = np.dtype(f"u{np.frombuffer(raw, np.uint8)[0]}")
+    return np.frombuffer(raw, np.uint8)[1:].view(kind).astype(np.int64)
+
+
 def align(docs: DataFrame, byte_json: str, piece_model: str) -> DataFrame:
     """A row per document (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
@@ -298,9 +337,7 @@ def _sums(unit: pa.Table, counted: pa.Table) -> pa.Table:
     """The documents of one unit with the sums over their links."""
     order = np.argsort(counted.column("pair").to_numpy())
     count, best = counted.column("count").to_numpy()[order], counted.column("best").to_numpy()[order].astype(np.int64)
-    row = {c: unit.column(c)[0].as_buffer() for c in ("words", "word_at", "links", "link_at")}
-    words, links = np.frombuffer(row["words"], np.int32), np.frombuffer(row["links"], np.int32)
-    word_at, link_at = np.frombuffer(row["word_at"], np.int64), np.frombuffer(row["link_at"], np.int64)
+    words, word_at, links, link_at = (_large(unit.column(c)[0].as_buffer()) for c in ("words", "word_at", "links", "link_at"))
     total, top = (segment_sums(segment_sums(x[links], link_at)[words], word_at) for x in (count, best))
     docs = pa.Table.from_struct_array(unit.column("docs").combine_chunks().flatten())
     made = {c: docs.column(c) for c in docs.column_names} | {"n_best": pa.array(top), "count_sum": pa.array(total)}
@@ -320,7 +357,7 @@ def groups(docs: DataFrame, byte_json: str, piece_model: str) -> DataFrame:
                 texts, good, out = aligner.known.groups, aligner.known.good, []
                 for d in range(len(block)):
                     own = chunk[at[d] : at[d + 1]]
-                    both = [g.split("|") for i in own.tolist() for g in texts[i].split(";")] if good[own].all() else []
+                    both = [g.split("|") for i in own.tolist() for g in texts[i].decode().split(";")] if good[own].all() else []
                     out.append([{"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))} for a, b in both])
                 kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(block)), pa.array(out, kind)], ["doc_id", "groups"])
