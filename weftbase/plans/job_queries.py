@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from weftbase.operators import embed, monitor, pages, profile, queue, search, store
 from weftbase.plans.fixtures import CHUNKS_SQL, DOCS_SQL, ENTRIES_SQL, EVENTS_SQL, METADATA, chunks, documents, entries, events
 from weftbase.plans.registry import query
-from weftbase.sources.scratch import keep
-from weftbase.streaming import streams
+from weftbase.sources.scratch import keep, scratch_path
+from weftbase.streaming import ingest, streams
 
 
 def _raw(spark, sf_dir, name):
@@ -411,16 +411,16 @@ def stream_sessions(spark, sf_dir):
     return streams.drained(streams.work_sessions(_stream(spark, sf_dir), "1 hour")).withColumn("begins", F.unix_seconds("begins"))
 
 
-@query("SELECT DISTINCT user_id AS chunk_id FROM events")
+@query("WITH g AS (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 1500 THEN 1 ELSE 1 + cast(ceil((length(text) - 1500) / 1350.0) AS bigint) END)) AS k FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, k, substring(text, k * 1350 + 1, 1500) AS t FROM g) SELECT doc_id * 1000000 + k AS chunk_id, doc_id AS document_id, cast(k AS int) AS chunk_index, md5(t) AS text, 32 AS dim FROM c WHERE length(t) >= 10")
 def stream_ingest(spark, sf_dir):
-    """New keys are appended once, also when the stream runs again."""
-    from weftbase.sources.scratch import scratch_path
-
+    """Documents chunked, embedded and stored as they come; a second stream over them adds nothing."""
     out = scratch_path(spark, "ingested")
-    for _ in range(2):
-        rows = _stream(spark, sf_dir).select(F.col("run_id").alias("chunk_id"))
-        streams.ingest(rows, lambda b: b, out, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.schema("chunk_id long").parquet(out)
+    schema = _raw(spark, sf_dir, "documents").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    for name in ("first", "second"):
+        rows = streams.read_stream(spark, f"{sf_dir}/document[s].parquet", schema).withColumnRenamed("doc_id", "id")
+        work = lambda b: ingest.chunked(b, lambda: embed.hashing_embedder(32), 32)
+        ingest.ingest(rows, work, out, scratch_path(spark, "checkpoint"), name).awaitTermination()
+    return ingest.stored(spark, out).select("chunk_id", "document_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text"), F.size("vector").alias("dim"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftbase.functions import text as T
-from weftbase.operators import match, store
+from weftbase.operators import embed, match, rebuild, store
 from weftbase.plans.fixtures import CHUNKS_SQL, DOCS_SQL, ENTRIES_SQL, EVENTS_SQL, METADATA, chunks, documents, entries, events
 from weftbase.plans.registry import query
 from weftbase.sources import tables
@@ -52,10 +52,11 @@ def topic_lists(spark, sf_dir):
     return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT sha256(document_id || ':' || chunk_index) AS entry_id, document_id, chunk_index, filename, length(text_content) AS chars FROM chunks WHERE length(text_content) >= 10")
+@query(f"WITH {CHUNKS_SQL} SELECT sha256(document_id || ':' || chunk_index) AS entry_id, document_id, chunk_index, filename, md5(text_content) AS text, 32 AS dim, CAST(NULL AS VARCHAR) AS error FROM chunks WHERE length(text_content) >= 10")
 def rebuild_store(spark, sf_dir):
-    rows = store.rebuilt_entries(documents(spark, sf_dir).drop("text"), chunks(spark, sf_dir))
-    return rows.select("entry_id", "document_id", "chunk_index", "filename", F.length("text").cast("long").alias("chars"))
+    """The whole job: chunks with their documents, embedded in waves, written."""
+    rows = rebuild.rebuild(documents(spark, sf_dir).drop("text"), chunks(spark, sf_dir), scratch_path(spark, "rebuild"), "all", lambda: embed.hashing_embedder(32), 32, waves=4)
+    return rows.select("entry_id", "document_id", "chunk_index", "filename", F.md5(F.col("text").cast("binary")).alias("text"), F.size("vector").alias("dim"), "error")
 
 
 @query(f"WITH {ENTRIES_SQL} SELECT count(*) AS before, 0 AS after FROM entries")

@@ -1,8 +1,8 @@
-"""Structured Streaming jobs: ingest, progress, errors, resources, alarms, idleness."""
+"""Structured Streaming jobs: progress, errors, resources, alarms, idleness."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +17,6 @@ def read_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def ingest(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "chunk_id"):
-    """Process new rows and append what the target does not hold: ``work`` maps a batch to rows with ``key``.
-    Runs over all that is there, then ends. A repeated batch adds nothing, so each key is stored once."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = work(batch).dropDuplicates([key])
-        try:
-            held = spark.read.parquet(path).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = None
-        (rows if held is None else rows.join(held, key, "left_anti")).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def once_by_key(stream: DataFrame, key: str = "chunk_id", late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Each key once within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
