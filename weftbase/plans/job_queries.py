@@ -288,7 +288,10 @@ def bottlenecks(spark, sf_dir):
     return monitor.bottlenecks(monitor.rates(events(spark, sf_dir), 1000)).select("event_id", "low_rate", "no_progress", "many_errors")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, e AS (SELECT run_id AS store_id, ts, event_id, chunks, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS n FROM ev),
+r(store_id, n, ts, event_id, chunks, healthy, in_a_row, alert, held) AS (SELECT store_id, n, ts, event_id, chunks, true, 0, false, chunks FROM e WHERE n = 1
+  UNION ALL SELECT store_id, n, ts, event_id, chunks, ok, k, k >= 3, CASE WHEN ok THEN chunks ELSE held END FROM (SELECT *, CASE WHEN ok THEN 0 WHEN alert THEN 1 ELSE in_a_row + 1 END AS k FROM (SELECT e.*, r.alert, r.in_a_row, r.held, e.chunks >= r.held::double * 0.9::double AS ok FROM r JOIN e ON e.store_id = r.store_id AND e.n = r.n + 1)))
+SELECT store_id, ts, event_id, chunks, healthy, cast(in_a_row AS int) AS in_a_row, alert FROM r""")
 def loss_alarm(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.col("run_id").alias("store_id"), "ts", "event_id", "chunks")
     return monitor.loss_alarm(rows)
@@ -401,9 +404,31 @@ def stream_errors(spark, sf_dir):
     return streams.drained(streams.error_rates(_stream(spark, sf_dir))).withColumn("begins", F.unix_seconds("begins"))
 
 
-@query("SELECT user_id AS document_id, count(*) AS errors, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS failed FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
+@query("SELECT user_id AS document_id, count(*) AS errors, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS failed, max(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) = 0 AS retryable FROM events WHERE event_id % 4 <> 0 GROUP BY 1")
 def stream_status(spark, sf_dir):
-    return streams.drained(streams.document_status(_stream(spark, sf_dir)))
+    out = scratch_path(spark, "status")
+    streams.merge_status(streams.document_status(_stream(spark, sf_dir)), out, scratch_path(spark, "checkpoint")).awaitTermination()
+    return streams.status(spark, out)
+
+
+@query("SELECT user_id AS run_id, cast(w AS bigint) AS begins, count(*) AS checks, max(cast(floor(value * 10) AS bigint)) - min(cast(floor(value * 10) AS bigint)) AS gain FROM (SELECT *, unnest([floor(epoch(ts) / 600) * 600 - 3000, floor(epoch(ts) / 600) * 600 - 2400, floor(epoch(ts) / 600) * 600 - 1800, floor(epoch(ts) / 600) * 600 - 1200, floor(epoch(ts) / 600) * 600 - 600, floor(epoch(ts) / 600) * 600]) AS w FROM events) GROUP BY 1, 2")
+def stream_sliding_rates(spark, sf_dir):
+    """Windows of an hour, a new one every ten minutes."""
+    return streams.drained(streams.interval_rates(_stream(spark, sf_dir), "1 hour", "10 minutes")).withColumn("begins", F.unix_seconds("begins"))
+
+
+@query("SELECT event_id AS chunk_id FROM events")
+def stream_once(spark, sf_dir):
+    """Every event comes again, ten minutes later, and counts once."""
+    again = _stream(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
+    rows = _stream(spark, sf_dir).union(again).withColumnRenamed("event_id", "chunk_id")
+    return streams.drained(streams.once_by_key(rows).select("chunk_id"), "append")
+
+
+@query("WITH l AS (SELECT user_id AS run_id, cast(floor(epoch(ts)) AS bigint) AS ts FROM events), g AS (SELECT *, lead(ts) OVER (PARTITION BY run_id ORDER BY ts) AS next FROM l), m AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM events) SELECT run_id, ts + 3600 AS ts, 'idle' AS state FROM g, m WHERE next - ts >= 3600 OR next IS NULL AND (ts + 3600) * 1000 <= mark UNION ALL SELECT run_id, next, 'working' FROM g WHERE next - ts >= 3600")
+def stream_idle(spark, sf_dir):
+    with streams.on_rocksdb(spark):
+        return streams.drained(streams.idle_states(_stream(spark, sf_dir), 3600), "append")
 
 
 @query("WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id AS run_id, cast(floor(epoch(min(ts))) AS bigint) AS begins, count(*) AS events FROM s GROUP BY user_id, k")
@@ -423,13 +448,21 @@ def stream_ingest(spark, sf_dir):
     return ingest.stored(spark, out).select("chunk_id", "document_id", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text"), F.size("vector").alias("dim"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS host, event_id, cast(floor(epoch(ts)) AS bigint) AS ts, floor(value * 10) / 10 AS mb FROM events),
+s AS (SELECT *, list(mb) OVER w AS s, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS n FROM e WINDOW w AS (PARTITION BY host ORDER BY ts, event_id ROWS 14 PRECEDING)),
+t AS (SELECT *, CASE WHEN len(s) >= 7 THEN round(list_avg(s[len(s) // 2 + 1:]) - list_avg(s[1:len(s) // 2]), 6) END AS trend FROM s),
+r(host, n, event_id, ts, trend, act, acted) AS (SELECT host, n, event_id, ts, trend, coalesce(trend > 10, false), CASE WHEN trend > 10 THEN ts END FROM t WHERE n = 1
+  UNION ALL SELECT t.host, t.n, t.event_id, t.ts, t.trend, coalesce(t.trend > 10, false) AND (acted IS NULL OR t.ts - acted >= 300), CASE WHEN coalesce(t.trend > 10, false) AND (acted IS NULL OR t.ts - acted >= 300) THEN t.ts ELSE acted END FROM r JOIN t ON t.host = r.host AND t.n = r.n + 1)
+SELECT host, event_id, ts, trend, act FROM r""")
 def stream_memory(spark, sf_dir):
-    rows = _stream(spark, sf_dir).select(F.col("run_id").alias("host"), F.unix_seconds("ts").alias("ts"), (F.col("chunks") / 10).alias("mb"))
-    return streams.drained(streams.memory_trends(rows), "append")
+    rows = _stream(spark, sf_dir).select(F.col("run_id").alias("host"), "ts", "event_id", (F.col("chunks") / 10).alias("mb"))
+    with streams.on_rocksdb(spark):
+        return streams.drained(streams.memory_trends(rows), "append")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS store_id, cast(floor(epoch(ts)) AS bigint) AS ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(store_id, n, ts, k) AS (SELECT store_id, n, ts, CASE WHEN bad THEN 1 ELSE 0 END FROM e WHERE n = 1 UNION ALL SELECT e.store_id, e.n, e.ts, CASE WHEN NOT bad THEN 0 WHEN k >= 2 THEN 1 ELSE k + 1 END FROM r JOIN e ON e.store_id = r.store_id AND e.n = r.n + 1)
+SELECT store_id, ts FROM r WHERE k >= 2""")
 def stream_alarms(spark, sf_dir):
     rows = _stream(spark, sf_dir).select(F.col("run_id").alias("store_id"), F.unix_seconds("ts").alias("ts"), (F.col("error_type") != "error").alias("ok"))
     return streams.drained(streams.failure_alarms(rows, 2), "append")
