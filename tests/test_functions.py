@@ -319,3 +319,22 @@ def test_authors_and_eta(spark):
     assert [r.c for r in rows.select(citation.author_list(F.col("a")).alias("c")).collect()] == ["A, B; C", "", None]
     row = spark.sql("SELECT timestamp'2025-01-01 23:59:30' AS t, 45 AS s").select(monitor.eta_timestamp(F.col("t"), F.col("s")).cast("string").alias("e")).first()
     assert row.e == "2025-01-02 00:00:15"
+
+
+def test_chunkers_on_a_very_long_text(spark):
+    """Ten million characters take seconds, and every stretch of the grid gives what a loop gives."""
+    import time
+
+    value = ("Één zin. " * 7 + "twee\n\n" + "x" * 61) * 75_000
+    df = texts(spark, value[:30_000], value)
+    began = time.perf_counter()
+    fixed = [r.c for r in df.select(F.transform(text.fixed_chunks(F.col("t")), lambda x: F.struct(x["pos"], F.md5(x["text"].cast("binary")).alias("text"))).alias("c")).collect()]
+    cut = [r.c for r in df.select(F.transform(text.break_aware_chunks(F.col("t"), 3000, 500), lambda x: F.struct(x["pos"], F.length(x["text"]).alias("n"))).alias("c")).collect()]
+    sentences = df.select(F.size(text.sequential_chunks(F.col("t"), 3000, 500))).collect()
+    assert time.perf_counter() - began < 40
+    from hashlib import md5
+
+    for t, own in zip((value[:30_000], value), fixed, strict=True):
+        grid = range(0, max(len(t) - 150, 1), 1350)
+        assert [(c.pos, c.text) for c in own] == [(i, md5(t[s : s + 1500].encode()).hexdigest()) for i, s in enumerate(grid)]
+    assert len(cut[1]) == -(-(len(value) - 500) // 2500) and all(1500 <= c.n <= 3000 for c in cut[1][:-1]) and sentences[1][0] > 3_000

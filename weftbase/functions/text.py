@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,44 +33,62 @@ def grid_size(length: Column, size: int, overlap: int) -> Column:
     return F.when(length.isNull() | (length == 0), F.lit(0)).when(length <= size, F.lit(1)).otherwise(1 + more)
 
 
-def fixed_chunks(c: Column, size: int = 1500, overlap: int = 150) -> Column:
-    """Overlapping pieces of at most ``size`` characters: array<struct<pos, text>>."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _grid(c: Column, size: int, overlap: int, piece: Callable[[Column, Column, Column], Column]) -> Column:
+    """``piece`` of each place on the grid, its window, and whether text follows that. Finding a place in a text
+    takes as long as the text before it, so the grid is cut into stretches, about as many as a stretch has places:
+    each stretch is found in the text, and the windows are found in their stretch."""
     if overlap >= size:
         raise ValueError("overlap must be less than size")
-    n = grid_size(F.length(c), size, overlap)
-    grid = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(grid, lambda k: F.struct(k.alias("pos"), F.substring(c, k * (size - overlap) + 1, F.lit(size)).alias("text")))
+    step = size - overlap
+
+    def pieces(length: Column) -> Column:
+        n = grid_size(length, size, overlap)
+        many = F.greatest(F.lit(16), F.ceil(F.sqrt(n))).cast("int")
+        first = F.when(n > 0, F.sequence(F.lit(0), n - 1, many)).otherwise(F.array().cast("array<int>"))
 
+        def stretch(k: Column) -> Column:
+            own = F.sequence(k, F.least(n, k + many) - 1)
+            window = lambda part, i: F.substring(part, (i - k) * step + 1, F.lit(size))
+            return _let(F.substring(c, k * step + 1, many * step + overlap), lambda part: F.transform(own, lambda i: piece(i, window(part, i), i * step + size < length)))
 
-def _last(window: Column, mark: str) -> Column:
-    """Position (from 1) of the last occurrence of ``mark`` in ``window``; 0 if there is none."""
-    back = F.locate(mark[::-1], F.reverse(window))
-    return F.when(back > 0, F.length(window) - back - len(mark) + 2).otherwise(F.lit(0))
+        return F.flatten(F.transform(first, stretch))
+
+    return _let(F.length(c), pieces)
+
+
+def fixed_chunks(c: Column, size: int = 1500, overlap: int = 150) -> Column:
+    """Overlapping pieces of at most ``size`` characters: array<struct<pos, text>>."""
+    return _grid(c, size, overlap, lambda k, window, more: F.struct(k.alias("pos"), window.alias("text")))
 
 
 def break_aware_chunks(c: Column, size: int = 1000, overlap: int = 200) -> Column:
     """Like ``fixed_chunks``, but a chunk ends early: after a blank line past its half, else after the last
     sentence end (. ! ? and a blank) past its half, else before a blank at or past its half. Text between
     such an end and the next start can be in no chunk. Chunks are stripped; empty ones are left out."""
-    if overlap >= size:
-        raise ValueError("overlap must be less than size")
-    half, step = size // 2, size - overlap
-    n = grid_size(F.length(c), size, overlap)
-    grid = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def piece(k: Column) -> Column:
-        window = F.substring(c, k * step + 1, F.lit(size))
-        para = _last(window, "\n\n")
-        stop = F.greatest(*[_last(window, m) for m in (". ", "! ", "? ")])
-        blank = _last(window, " ")
-        end = F.when(para - 1 > half, para + 1).when(stop - 1 > half, stop).when(blank - 1 >= half, blank - 1).otherwise(F.length(window))
-        cut = F.when(k * step + size < F.length(c), F.substring(window, F.lit(1), end)).otherwise(window)
+    half = size // 2
+
+    def end(window: Column, back: Column) -> Column:
+        def last(mark: str) -> Column:
+            """Position (from 1) of the last occurrence in the window, 0 if there is none: the first one in it reversed."""
+            return _let(F.locate(mark[::-1], back), lambda at: F.when(at > 0, F.length(window) - at - len(mark) + 2).otherwise(F.lit(0)))
+
+        stop = F.greatest(*[last(m) for m in (". ", "! ", "? ")])
+        rest = lambda: _let(stop, lambda s: F.when(s - 1 > half, s).otherwise(_let(last(" "), lambda b: F.when(b - 1 >= half, b - 1).otherwise(F.length(window)))))
+        return _let(last("\n\n"), lambda p: F.when(p - 1 > half, p + 1).otherwise(rest()))
+
+    def piece(k: Column, window: Column, more: Column) -> Column:
+        cut = _let(window, lambda w: F.when(more, F.substring(w, F.lit(1), _let(F.reverse(w), lambda back: end(w, back)))).otherwise(w))
         return F.struct(k.alias("pos"), F.trim(cut).alias("text"))
 
-    return F.filter(F.transform(grid, piece), lambda x: x["text"] != "")
+    return F.filter(_grid(c, size, overlap, piece), lambda x: x["text"] != "")
 
 
-def _sentence(text: str, size: int, overlap: int) -> list[dict]:
+def _sentence(text: str, size: int, overlap: int, most: int) -> list[dict]:
     text = text.replace("\r\n", " ").replace("\n", " ").replace("\r", " ")
     out: list[dict] = []
     start = 0
@@ -88,10 +108,10 @@ def _sentence(text: str, size: int, overlap: int) -> list[dict]:
     return out
 
 
-def _paragraph(text: str, size: int, overlap: int) -> list[dict]:
+def _paragraph(text: str, size: int, overlap: int, most: int) -> list[dict]:
     import re
 
-    text = re.sub(r"\n{3,}", "\n\n", text)[:100_000]
+    text = re.sub(r"\n{3,}", "\n\n", text)[:most]
     out: list[dict] = []
     start = 0
     while start < len(text):
@@ -112,15 +132,16 @@ def _paragraph(text: str, size: int, overlap: int) -> list[dict]:
     return out
 
 
-def sequential_chunks(c: Column, size: int = 1000, overlap: int = 200, by: str = "sentence") -> Column:
+def sequential_chunks(c: Column, size: int = 1000, overlap: int = 200, by: str = "sentence", most: int = 100_000) -> Column:
     """Chunks whose start depends on the end of the one before: ``by`` sentence (line ends become blanks;
     a chunk ends at a full stop, else a blank, of its last 100 characters) or paragraph (a blank line, else
-    a line end, of its last 200). A null text has none."""
+    a line end, of its last 200; line ends in a row count as two, and of what is left the first ``most``
+    characters are cut up). A null text has none. Only a chunk's own last characters are searched."""
     cut = {"sentence": _sentence, "paragraph": _paragraph}[by]
 
     @F.pandas_udf(CHUNKS)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t, size, overlap) if t else [])
+        return texts.map(lambda t: cut(t, size, overlap, most) if t else [])
 
     return run(c)
 

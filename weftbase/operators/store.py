@@ -137,8 +137,10 @@ def placeholders(documents: DataFrame) -> DataFrame:
 
 
 def first_by_chunk(entries: DataFrame) -> DataFrame:
-    """One entry per chunk id, the first by position; entries without a chunk id go."""
-    return entries.filter("chunk_id is not null").withColumn("_at", F.row_number().over(Window.partitionBy("chunk_id").orderBy("pos"))).filter("_at = 1").drop("_at")
+    """One entry per chunk id, the first by position; entries without a chunk id go. An aggregate with partial
+    results: an id that very many entries have is a row a task."""
+    best = entries.filter("chunk_id is not null").groupBy("chunk_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in entries.columns]), "pos").alias("_first"))
+    return best.select("_first.*")
 
 
 def source_key(grain: str = "document") -> Column:

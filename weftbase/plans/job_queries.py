@@ -340,7 +340,7 @@ def page_content(spark, sf_dir):
 
 @query()
 def page_chunks(spark, sf_dir):
-    text = pages.passed(pages.main_content(pages.parsed(_raw(spark, sf_dir, "pages"))), F.lit(True))
+    text = pages.passed(pages.main_content(pages.parsed(_raw(spark, sf_dir, "pages"))), store.is_topic_page(F.col("url")))
     return pages.page_chunks(text, "2025-03-27").select("page_id", "chunk_index", "text", "page_number", "citation")
 
 

@@ -8,15 +8,53 @@ from pyspark.sql import functions as F
 from weftbase import schemas
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A Parquet table; with a schema nothing is inferred."""
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-
-
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str = "id", bounds: tuple[int, int] = (0, 1_000_000), partitions: int = 32, **options: str) -> DataFrame:
-    """A relational table, read in parallel over ranges of its key."""
-    low, high = bounds
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=partitions, **options).load()
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str = "id", rows: int = 100_000, **options: str) -> DataFrame:
+    """A relational table, read in parallel in ranges of its key of about ``rows`` rows each. Their borders are the
+    key's own values at equal ranks, which the database finds in one query, so that gaps and clusters of keys make
+    no large range; rows without a key come with the first. Repeated keys stay in one range."""
+    load = lambda **what: spark.read.format("jdbc").options(url=url, **options, **what).load()
+    total = int(load(query=f"SELECT COUNT(*) AS N FROM {table}").head()[0])
+    ranks = range(rows, total, rows)
+    if not ranks:
+        return load(dbtable=table)
+    ranked = [f"SELECT * FROM (SELECT {key} AS K FROM {table} WHERE {key} IS NOT NULL ORDER BY {key} OFFSET {n} ROWS FETCH NEXT 1 ROWS ONLY) R{i}" for i, n in enumerate(ranks)]
+    borders: list = []
+    for at in range(0, len(ranked), 100):
+        borders += [r[0] for r in load(query=" UNION ALL ".join(ranked[at : at + 100])).collect()]
+    marks = [_literal(b) for b in sorted(set(borders))]
+    if not marks:
+        return load(dbtable=table)
+    ranges = [f"{key} < {marks[0]} OR {key} IS NULL", *[f"{key} >= {a} AND {key} < {b}" for a, b in zip(marks, marks[1:], strict=False)], f"{key} >= {marks[-1]}"]
+    return spark.read.jdbc(url, table, predicates=ranges, properties=dict(options))
+
+
+def _literal(value: object) -> str:
+    return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
+
+
+def upsert_jdbc(df: DataFrame, url: str, table: str, key: str = "id", connections: int = 16, **options: str) -> None:
+    """Rows of ``df`` into a relational table: those whose key it holds replace their columns, the others are added.
+    Tasks fill a staging table; one MERGE statement then takes all of it or, where it fails, nothing. A key must not
+    stand twice in ``df``. The table must have the columns of ``df`` and can have more."""
+    spark, staging = df.sparkSession, f"{table}_STAGING"
+    names = [c.upper() for c in df.columns]
+    rows = df.toDF(*names).coalesce(connections)
+    rows.write.format("jdbc").options(url=url, dbtable=staging, **options).mode("overwrite").save()
+    own = key.upper()
+    changed = ", ".join(f"T.{c} = S.{c}" for c in names if c != own)
+    merge = f"MERGE INTO {table} T USING {staging} S ON T.{own} = S.{own}" + (f" WHEN MATCHED THEN UPDATE SET {changed}" if changed else "")
+    merge += f" WHEN NOT MATCHED THEN INSERT ({', '.join(names)}) VALUES ({', '.join('S.' + c for c in names)})"
+    jvm = spark.sparkContext._jvm
+    settings = jvm.java.util.Properties()
+    for k, v in options.items():
+        settings.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        statement = connection.createStatement()
+        statement.executeUpdate(merge)
+        statement.executeUpdate(f"DROP TABLE {staging}")
+    finally:
+        connection.close()
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", by: str | None = None) -> None:
@@ -33,6 +71,14 @@ def write_entries(entries: DataFrame, path: str, mode: str = "append") -> None:
     write_table(entries, path, mode, "source_type")
 
 
+def write_keyed(df: DataFrame, name: str, key: str = "chunk_id", buckets: int = 64) -> DataFrame:
+    """A table in ``buckets`` by the hash of its key, each sorted by it. Tables that have the same buckets join and
+    aggregate by the key where they lie: only what is not so stored moves. Take so many buckets that one is a
+    task's work; a table's buckets are never changed in place. Returns the table."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def clear_table(spark: SparkSession, path: str, schema: str) -> None:
     """Leave a table of this schema without rows."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
