@@ -369,9 +369,10 @@ def seed_urls(spark, sf_dir):
     return pages.seed_urls(bases, docs.select(F.concat("lang", F.lit(" joint pain")).alias("term"))).select("base", "url")
 
 
-@query(f"WITH {CHUNKS_SQL}, p AS (SELECT document_id, chunk_index + 1 AS page_number, text_content AS text FROM chunks WHERE chunk_index < 50), g AS (SELECT *, unnest(range(CASE WHEN length(text) <= 1500 THEN 1 ELSE 2 END)) AS k FROM p) SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, k) - 1 AS ordinal, md5(substring(text, k * 1350 + 1, 1500)) AS text FROM g QUALIFY ordinal < 200")
+@query(f"WITH {CHUNKS_SQL}, l AS (SELECT document_id, chunk_index + 1 AS page_number, repeat(text_content, cast(1 + document_id % 9 AS bigint)) AS text FROM chunks WHERE chunk_index < 50), p AS (SELECT document_id, page_number, CASE WHEN length(text) > 10000 THEN substring(text, 1, 10000) || '...' ELSE text END AS text FROM l), g AS (SELECT *, unnest(range(CASE WHEN length(text) <= 1500 THEN 1 ELSE 1 + cast(ceil((length(text) - 1500) / 1350.0) AS bigint) END)) AS k FROM p) SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id ORDER BY page_number, k) - 1 AS ordinal, md5(substring(text, k * 1350 + 1, 1500)) AS text FROM g QUALIFY ordinal < 200")
 def pdf_page_chunks(spark, sf_dir):
-    rows = chunks(spark, sf_dir).select("document_id", (F.col("chunk_index") + 1).alias("page_number"), F.col("text_content").alias("text"))
+    """Pages of up to 13,500 characters."""
+    rows = chunks(spark, sf_dir).select("document_id", (F.col("chunk_index") + 1).alias("page_number"), F.expr("repeat(text_content, cast(1 + document_id % 9 as int))").alias("text"))
     return pages.pdf_chunks(rows).select("document_id", "page_number", "ordinal", F.md5(F.col("text_content").cast("binary")).alias("text"))
 
 

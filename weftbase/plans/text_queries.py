@@ -52,14 +52,14 @@ def paragraph_chunks(spark, sf_dir):
 
 @query(
     """WITH t AS (SELECT doc_id, text, replace(text, chr(10), chr(10) || chr(10)) AS p, CASE WHEN length(text) <= 1500 THEN [text] ELSE list_transform(range(1 + cast(ceil((length(text) - 1500) / 1350.0) AS bigint)), lambda k: substring(text, cast(k * 1350 + 1 AS bigint), 1500)) END AS c FROM documents WHERE length(text) > 0),
-x AS (SELECT doc_id, text, p, c, list_distinct(list_filter(list_transform(string_split(p, chr(10) || chr(10)), lambda v: trim(v, ' ')), lambda v: length(v) > 100 AND NOT list_contains(c, v))) AS more FROM t)
-SELECT doc_id, CASE WHEN len(c) < 20 AND length(p) > 2000 THEN len(c) + len(more) ELSE len(c) END AS chunks FROM x"""
+x AS (SELECT doc_id, text, p, c, list_filter(list_transform(string_split(p, chr(10) || chr(10)), lambda v: trim(v, ' ')), lambda v, i: length(v) > 100 AND NOT list_contains(c, v) AND list_position(list_transform(string_split(p, chr(10) || chr(10)), lambda u: trim(u, ' ')), v) = i) AS more FROM t)
+SELECT doc_id, md5(array_to_string(CASE WHEN len(c) < 20 AND length(p) > 2000 THEN c || more ELSE c END, '|')) AS chunks FROM x"""
 )
 def paragraph_supplement(spark, sf_dir):
     rows = _raw(spark, sf_dir, "documents").filter("length(text) > 0")
     cut = F.transform(T.fixed_chunks(F.col("text")), lambda c: c["text"])
     spaced = F.replace("text", F.lit("\n"), F.lit("\n\n"))
-    return rows.select("doc_id", F.size(T.with_paragraphs(cut, spaced)).cast("long").alias("chunks"))
+    return rows.select("doc_id", F.md5(F.array_join(T.with_paragraphs(cut, spaced), "|").cast("binary")).alias("chunks"))
 
 
 @query(f"WITH {DOCS_SQL}, s AS (SELECT id, filename, source_url, text, regexp_replace(regexp_replace(filename, '\\.[A-Za-z0-9]+$', ''), '^[0-9]{{14}}_', '') AS stem FROM docs) SELECT id, lower(trim(regexp_replace(stem, '[_-]+', ' ', 'g'))) AS title, regexp_extract(source_url, '^([a-z]+://[^/]+)', 1) AS origin, lower(regexp_replace(regexp_extract(source_url, '([^/]+)$', 1), '[-_]', ' ', 'g')) AS topic, 'https://x.org/t/' || regexp_replace(lower(lang), '{WS}', '-', 'g') AS topic_url, md5(text) AS key, md5(substring(text, 1, 1000)) AS short_key FROM s JOIN (SELECT id AS i, lang FROM docs) ON i = id")
@@ -169,10 +169,15 @@ def filename_citations(spark, sf_dir):
     return documents(spark, sf_dir).select("id", C.from_filename(name, "2025-03-27").alias("citation"))
 
 
-@query(f"WITH {DOCS_SQL}, c AS (SELECT id, CASE WHEN file_type = 'website' THEN 'Website: ' || title || coalesce(' (Page ' || (id % 4) || ')', '') || ' - ' || source_url ELSE coalesce(CASE WHEN id % 9 = 0 THEN 'Stored' END, nullif(formatted_citation, ''), title || '. https://doi.org/' || doi, title) END AS c, [cast(id % 4 AS varchar), '7'][1:cast(id % 3 AS int)] AS p FROM docs) SELECT id, CASE WHEN contains(c, '(page') THEN c ELSE c || CASE len(p) WHEN 0 THEN '' WHEN 1 THEN ' (page ' || p[1] || ')' ELSE ' (pages ' || array_to_string(p, ', ') || ')' END END AS citation FROM c")
+@query(f"WITH {DOCS_SQL}, w AS (SELECT DISTINCT doi FROM docs WHERE id % 3 = 1), c AS (SELECT id, CASE WHEN file_type = 'website' THEN 'Website: ' || title || coalesce(' (Page ' || (id % 4) || ')', '') || ' - ' || source_url ELSE coalesce(CASE WHEN id % 9 = 0 THEN 'Stored' END, nullif(formatted_citation, ''), CASE WHEN w.doi IS NOT NULL THEN 'A, B. Work ' || substring(w.doi, 12) || '. J (2001) https://doi.org/' || w.doi END, title || '. https://doi.org/' || docs.doi, title) END AS c, [cast(id % 4 AS varchar), '7'][1:cast(id % 3 AS int)] AS p FROM docs LEFT JOIN w ON docs.doi = w.doi) SELECT id, CASE WHEN contains(c, '(page') THEN c ELSE c || CASE len(p) WHEN 0 THEN '' WHEN 1 THEN ' (page ' || p[1] || ')' ELSE ' (pages ' || array_to_string(p, ', ') || ')' END END AS citation FROM c")
 def source_citations(spark, sf_dir):
-    rows = documents(spark, sf_dir)
-    cited = C.source_citation(F.when(F.col("id") % 9 == 0, "Stored"), F.nullif("formatted_citation", F.lit("")), F.lit(None).cast("string"), F.col("title"), F.col("doi"), F.lit(""), F.col("file_type") == "website", F.col("source_url"), F.col("id") % 4)
+    """The citation of a work record comes by a join on the DOI."""
+    docs = documents(spark, sf_dir)
+    works = docs.filter("id % 3 = 1").select("doi").distinct().filter("doi is not null")
+    none = F.lit(None).cast("string")
+    record = C.plain(F.lit("A, B"), F.lit(2001), F.concat(F.lit("Work "), F.expr("substring(doi, 12)")), F.lit("J"), none, none, none, F.col("doi"))
+    rows = docs.join(works.withColumn("record", record), "doi", "left")
+    cited = C.source_citation(F.when(F.col("id") % 9 == 0, "Stored"), F.nullif("formatted_citation", F.lit("")), F.col("record"), F.col("title"), F.col("doi"), F.lit(""), F.col("file_type") == "website", F.col("source_url"), F.col("id") % 4)
     pages = F.slice(F.array((F.col("id") % 4).cast("string"), F.lit("7")), F.lit(1), (F.col("id") % 3).cast("int"))
     return rows.select("id", C.with_pages(cited, pages).alias("citation"))
 
