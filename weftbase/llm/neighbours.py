@@ -1,32 +1,53 @@
 """Approximate nearest neighbours with robust-pruned directed graphs, one per shard.
 
 Equal vectors are one node. Nodes are dealt to shards of bounded size by a hash. Within a shard, points
-enter a graph in batches: a greedy beam search from the entry point proposes neighbours, and robust pruning
-keeps the nearest while it drops those that a kept one covers (``alpha`` times nearer to it than to the
-point). A query runs a beam search in every shard; what the shards find is ranked by the exact cosine.
+enter a graph in batches: a greedy beam search proposes neighbours, and robust pruning keeps the nearest while
+it drops those that a kept one covers (``alpha`` times nearer to it than to the point). Searches begin at the
+nearest of many entry points that lie far apart, since edges seldom lead out of a tight cluster. A query runs a
+beam search in every shard, with beams that widen until they find nothing nearer; what the shards find is ranked
+by the exact cosine.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftbase.llm.scratch import keep
 
 SHARD_ROWS = 6000
-QUERY_BLOCK = 2048
-INDEX = "shard int, n int, dim int, entry int, nodes binary, members binary, vectors binary, graph binary"
+#: Entry points that a beam starts from.
+STARTS = 16
+#: Queries that advance together.
+TOGETHER = 1024
+INDEX = "shard int, n int, dim int, kept int, entries binary, members binary, vectors binary, graph binary"
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beams of all queries at once: node ids (-1: none) and squared distances, nearest first. ``x``, ``q``: unit vectors."""
+def entry_points(x: np.ndarray) -> np.ndarray:
+    """About 2 sqrt(n) points, each the farthest from those before it: every cluster that is not among the smallest
+    has one. The first is the nearest to the mean."""
+    chosen = [int((x @ x.mean(0)).argmax())]
+    near = x @ x[chosen[0]]
+    for _ in range(min(len(x), int(np.ceil(2 * np.sqrt(len(x))))) - 1):
+        chosen.append(int(near.argmin()))
+        np.maximum(near, x @ x[chosen[-1]], out=near)
+    return np.unique(np.array(chosen, np.int32))
+
+
+def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beams of all queries at once: node ids (-1: none) and squared distances, nearest first. Every query starts
+    from the nearest of the entry points. ``x``, ``q``: unit vectors."""
     m, degree = len(q), graph.shape[1]
     ids = np.full((m, width), -1, np.int32)
     dist = np.full((m, width), np.inf, np.float32)
     done = np.ones((m, width), bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = entry, 2 - 2 * (q @ x[entry]), False
+    first = 2 - 2 * (q @ x[entries].T)
+    some = min(STARTS, width, len(entries))
+    nearest = np.argsort(first, 1, kind="stable")[:, :some]
+    ids[:, :some], dist[:, :some], done[:, :some] = entries[nearest], np.take_along_axis(first, nearest, 1), False
     live = np.arange(m)
     while len(live):
         at = (~done[live]).argmax(1)
@@ -46,6 +67,24 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, wid
     return ids, dist
 
 
+def settled_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int, k: int) -> np.ndarray:
+    """The ``k`` nearest nodes that a beam finds which is doubled, for each query, until it finds no nearer ones."""
+    width = min(max(width, k), len(x))
+    ids, dist = beam_search(x, graph, entries, q, width)
+    best = np.full((len(q), k), -1, np.int32)
+    best[:, : min(k, width)] = ids[:, :k]
+    reach = dist[:, :k].sum(1)
+    live = np.arange(len(q))
+    while len(live) and width < len(x):
+        width = min(2 * width, len(x))
+        ids, dist = beam_search(x, graph, entries, q[live], width)
+        nearer = dist[:, :k].sum(1) < reach[live] - 1e-6
+        best[live[nearer], : min(k, width)] = ids[nearer, :k]
+        reach[live[nearer]] = dist[nearer, :k].sum(1)
+        live = live[nearer]
+    return best
+
+
 def robust_prune(x: np.ndarray, points: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Out-edges of each point chosen among its candidates ``near`` (rows of ids, -1: none)."""
     near = np.sort(near, 1)
@@ -71,17 +110,17 @@ def robust_prune(x: np.ndarray, points: np.ndarray, near: np.ndarray, degree: in
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2, seed: int = 7) -> tuple[np.ndarray, int]:
-    """A directed graph over unit vectors, and its entry point (the point nearest to the mean)."""
+def build_graph(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """A directed graph over unit vectors, and its entry points."""
     n = len(x)
     degree = min(degree, max(n - 1, 1))
     random = np.random.default_rng(seed)
-    entry = int((x @ x.mean(0)).argmax())
+    entries = entry_points(x)
     graph = np.full((n, degree), -1, np.int32)
     if n == 1:
-        return graph, entry
+        return graph, entries
     order = random.permutation(n)
-    order = np.concatenate([[entry], order[order != entry]])
+    order = np.concatenate([entries, order[~np.isin(order, entries)]])
     sweeps = [(1, 1.0 if n > 512 else alpha), (0, alpha)]
     for begin, slack in sweeps:
         at = begin
@@ -89,12 +128,12 @@ def build_graph(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float =
             size = min(512, n - at, max(1, at) if begin else 512)
             batch = order[at : at + size]
             at += size
-            found, _ = beam_search(x, graph, entry, x[batch], width)
+            found, _ = beam_search(x, graph, entries if begin == 0 else entries[np.isin(entries, order[: at - size])], x[batch], width)
             new = robust_prune(x, batch, np.concatenate([found, graph[batch]], 1), degree, slack)
             graph[batch] = new
             source, target = np.repeat(batch, degree)[new.ravel() >= 0], new[new >= 0]
             _add_edges(x, graph, source, target, degree, slack)
-    return graph, entry
+    return graph, entries
 
 
 def _add_edges(x: np.ndarray, graph: np.ndarray, source: np.ndarray, target: np.ndarray, degree: int, alpha: float) -> None:
@@ -137,9 +176,10 @@ def _group_keys(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def build_index(vectors: DataFrame, members: int = 6, shard_rows: int = SHARD_ROWS, degree: int = 24, width: int = 48, alpha: float = 1.2) -> DataFrame:
     """One row per shard: nodes, their graph, original vectors, and of each node the ``members`` smallest
-    vec_ids that have this vector. Written to the shared folder. A node is named after its smallest vec_id.
+    vec_ids that have this vector: one more than a search returns, since a query's own does not count. Written to
+    the shared folder. A node is named after its smallest vec_id.
 
-    Every usable row is indexed. With no usable row the index is empty.
+    Every usable row is indexed, also rows that repeat a vec_id. With no usable row the index is empty.
     """
     rows = usable(vectors)
     first = Window.partitionBy("embedding").orderBy("vec_id")
@@ -150,53 +190,77 @@ def build_index(vectors: DataFrame, members: int = 6, shard_rows: int = SHARD_RO
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         x, unit = _group_keys(pdf)
-        graph, entry = build_graph(unit.astype(np.float32), degree, width, alpha)
+        graph, entries = build_graph(unit.astype(np.float32), degree, width, alpha)
         ids = np.full((len(pdf), members), -1, np.int64)
         for i, own in enumerate(pdf["ids"]):
             ids[i, : len(own)] = own
-        return pd.DataFrame([[int(key[0]), len(pdf), x.shape[1], entry, pdf["node"].to_numpy(np.int64).tobytes(), ids.tobytes(), x.tobytes(), graph.tobytes()]], columns=[c.split()[0] for c in INDEX.split(", ")])
+        return pd.DataFrame([[int(key[0]), len(pdf), x.shape[1], members, entries.tobytes(), ids.tobytes(), x.tobytes(), graph.tobytes()]], columns=[c.split()[0] for c in INDEX.split(", ")])
 
     dealt = nodes.withColumn("node", F.col("ids")[0]).withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     return keep(dealt.groupBy("shard").applyInPandas(build, INDEX), "graphs")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 96, members: int = 6) -> DataFrame:
-    """The ``k`` nearest found to each query (vec_id, embedding) but the row of its own vec_id: query_id,
-    rank, vec_id, score (cosine of the original vectors, double). Ties go to the smaller vec_id.
+def search(index: DataFrame, queries: DataFrame, k: int = 5, width: int = 96) -> DataFrame:
+    """The ``k`` nearest found to each query (vec_id, embedding) but the rows of its own vec_id: query_id,
+    rank, vec_id, score (cosine of the original vectors, double). Ties go to the smaller vec_id. Rows of queries
+    that repeat a vec_id count as one, any of them.
 
-    Queries go out in blocks, each to every shard; a task holds one shard and one block.
+    Queries are sent to every shard, one row each, and the index once: a task reads a shard and then its queries
+    as they come. The index must hold ``k`` + 1 members of a node, or it is an error.
     """
-    blocks = keep(_query_blocks(usable(queries)), "queries")
-    pairs = blocks.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(max(0, (index.agg(F.max("shard")).head()[0] or 0))))).alias("shard"))
-    both = pairs.join(index, "shard")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            x = np.frombuffer(r.vectors, np.float64).reshape(r.n, r.dim)
-            graph = np.frombuffer(r.graph, np.int32).reshape(r.n, -1)
-            ids = np.frombuffer(r.members, np.int64).reshape(r.n, -1)
-            q = np.array([v["embedding"] for v in r.queries], np.float64)
-            if q.shape[1] != r.dim:
-                continue
-            norm = np.linalg.norm(x, axis=1)
-            length = np.linalg.norm(q, axis=1)
-            found, _ = beam_search((x / norm[:, None]).astype(np.float32), graph, r.entry, (q / length[:, None]).astype(np.float32), max(width, k + 1))
-            own = np.array([v["vec_id"] for v in r.queries], np.int64)
-            exact = np.einsum("mkd,md->mk", x[found], q) / (norm[found] * length[:, None])
-            row, col = np.nonzero(found >= 0)
-            member = ids[found[row, col]]
-            table = pd.DataFrame({"query_id": np.repeat(own[row], member.shape[1]), "vec_id": member.ravel(), "score": np.repeat(exact[row, col], member.shape[1])})
-            table = table[(table.vec_id >= 0) & (table.vec_id != table.query_id)].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(table.groupby("query_id").head(k))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = both.groupBy("shard", "block").applyInPandas(run, "query_id long, vec_id long, score double")
+    shards, kept = index.agg(F.max("shard") + 1, F.min("kept")).head()
+    if kept is not None and kept < k + 1:
+        raise ValueError(f"the index has {kept} members of each vector: build_index(members={k + 1})")
+    asked = keep(usable(queries).dropDuplicates(["vec_id"]), "queries")
+    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards or 1, 1) - 1))))
+    columns = [c.split()[0] for c in INDEX.split(", ")]
+    rows = index.select(*columns, F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    rows = rows.union(sent.select("shard", *[F.lit(None).alias(c) for c in columns[1:]], "vec_id", "embedding"))
+
+    def run(batches):
+        shard, held = None, None
+        for batch in batches:
+            table = batch.select(["shard", "vec_id"]).to_pandas()
+            heads = np.flatnonzero(table["vec_id"].isna())
+            cuts = np.unique(np.concatenate([[0], heads, np.flatnonzero(np.diff(table["shard"])) + 1, [len(table)]]))
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if np.isin(low, heads):
+                    shard, held = int(table["shard"][low]), _Shard(batch.slice(low, 1).to_pylist()[0])
+                    low += 1
+                for at in range(low, high, TOGETHER):
+                    if held is None or shard != table["shard"][at]:
+                        break
+                    part = batch.slice(at, min(TOGETHER, high - at))
+                    own = part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                    flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
+                    if len(flat) == len(own) * held.x.shape[1]:
+                        yield pa.RecordBatch.from_pandas(held.nearest(own, flat.reshape(len(own), -1), k, width), preserve_index=False)
+
+    dealt = rows.repartition(max(shards or 1, 1), "shard").sortWithinPartitions("shard", F.col("vec_id").isNotNull())
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _query_blocks(rows: DataFrame) -> DataFrame:
-    """Queries gathered in blocks of about QUERY_BLOCK by a hash."""
-    n = max(1, -(-rows.count() // QUERY_BLOCK))
-    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+class _Shard:
+    """The index of one shard."""
+
+    def __init__(self, row: dict) -> None:
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(row["n"], -1)
+        self.ids = np.frombuffer(row["members"], np.int64).reshape(row["n"], -1)
+        self.entries = np.frombuffer(row["entries"], np.int32)
+        self.norm = np.linalg.norm(self.x, axis=1)
+        self.unit = (self.x / self.norm[:, None]).astype(np.float32)
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, k: int, width: int) -> pd.DataFrame:
+        """The ``k`` nearest members to each query of its own id, with exact scores. One node more is sought than
+        members are wanted, as a query's own may be alone with its vector."""
+        length = np.linalg.norm(q, axis=1)
+        found = settled_search(self.unit, self.graph, self.entries, (q / length[:, None]).astype(np.float32), width, k + 1)
+        exact = np.einsum("mkd,md->mk", self.x[found], q) / (self.norm[found] * length[:, None])
+        row, col = np.nonzero(found >= 0)
+        member = self.ids[found[row, col]]
+        table = pd.DataFrame({"query_id": np.repeat(own[row], member.shape[1]), "vec_id": member.ravel(), "score": np.repeat(exact[row, col], member.shape[1])})
+        table = table[(table.vec_id >= 0) & (table.vec_id != table.query_id)].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return table.groupby("query_id").head(k)
