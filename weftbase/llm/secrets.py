@@ -9,6 +9,8 @@ character class of the candidate, and an allow-list of harmless shapes suppresse
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ PATTERNS = {
 FASTER = {"assign": PATTERNS["assign"][0].replace("(?i)", "(?i)(?=[psta])"), "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
+#: Spans gathered at once.
+RUN = 256
 #: Character classes, the first that fits a candidate counts: pattern of the whole, least bits per character in some window (null: never).
 CLASSES = (
     (r"^[0-9]+$", None),
@@ -42,24 +46,42 @@ ALLOWED = (
 )
 
 
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Sums (or maxima, as ``add`` has it; 0 is its zero) of the first 1, 2, .. values. An array that grows is copied
+    at each step, so it is done for runs of RUN values, then for the runs."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def inside(a: Column, x: Column) -> Column:
+        return let(add(a["at"], x), lambda y: F.struct(y.alias("at"), F.concat(a["all"], F.array(y)).alias("all")))
+
+    def whole(v: Column) -> Column:
+        heads = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(heads, lambda i: F.aggregate(F.slice(v, i + 1, RUN), none, inside))
+
+        def joined(r: Column) -> Column:
+            before = F.aggregate(r, none, lambda a, x: F.struct(add(a["at"], x["at"]).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+            return F.flatten(F.zip_with(r, before, lambda x, o: F.transform(x["all"], lambda y: add(o, y))))
+
+        return let(runs, joined)
+
+    return let(values, whole)
+
+
 def located(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     """Matches as array<struct<start, end, match>>, in code points, end exclusive; those whose ``group`` is
     shorter than ``least`` are left out after matching. What a split at the matches leaves tells where they are."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sized = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda gap, own: F.struct(gap.alias("gap"), F.length(own).alias("own")))
-    both = F.zip_with(sized, found, lambda s, m: F.struct(s["gap"].alias("gap"), s["own"].alias("own"), m.alias("match")))
+    own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x))
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull() & (x["own"] >= least), F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+    def spans(m: Column) -> Column:
+        sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda gap, x: gap + F.length(x))
+        at = F.zip_with(running(sized, lambda a, b: a + b), m, lambda end, x: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("match")))
+        kept = F.filter(F.zip_with(at, own, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda x: x["n"] >= least)
+        return F.transform(kept, lambda x: x["s"])
 
-    spans = F.aggregate(both, start, step, lambda a: a["spans"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(found, spans)).otherwise(empty)
 
 
 def _term(count: Column) -> Column:
@@ -126,8 +148,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     array<struct<start, no, end, kind>> by start, then kind (assign, access, hex, entropy).
 
     Null text counts as empty. An entropy span that lies within a span of a fixed pattern is left out. Rows that
-    repeat are rows of their own. Time follows a text's length and a candidate's; spans of one text are gathered one
-    by one, which tells from some ten thousand matches in one text on.
+    repeat are rows of their own. Time follows a text's length, a candidate's and the number of matches.
     """
     docs = without(docs, "secrets", "n_assign", "n_access", "n_hex", "_text", "_entropy", *[f"_{k}" for k in PATTERNS])
     out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
@@ -142,9 +163,18 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     base = F.concat(*[spans(k) for k in PATTERNS])
     out = out.withColumns({"secrets": base, **{f"n_{k}": F.size(f"_{k}").cast("long") for k in PATTERNS}})
-    new = F.filter(F.col("_entropy"), lambda s: ~F.exists(F.col("secrets"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])) & suspicious(s["match"]))
-    out = out.withColumn("_entropy", F.when(F.size("_entropy") > 0, new).otherwise(F.col("_entropy")))
-    return out.withColumn("secrets", F.array_sort(F.concat("secrets", spans("entropy")))).drop("_text", "_entropy", *[f"_{k}" for k in PATTERNS])
+    found = F.transform(F.col("_entropy"), lambda s: F.struct(s["start"].alias("start"), F.lit(len(PATTERNS)).alias("no"), s["end"].alias("end"), F.lit("entropy").alias("kind"), s["match"].alias("match")))
+    known = F.transform(F.col("secrets"), lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(None).cast("string").alias("match")))
+
+    def judged(all_: Column) -> Column:
+        # of spans that begin no later, a fixed pattern's reaches to the end or none does
+        reach = running(F.transform(all_, lambda x: F.when(x["match"].isNull(), x["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(all_, reach, lambda x, r: F.struct(x.alias("x"), r.alias("r")))
+        kept = F.filter(both, lambda b: b["x"]["match"].isNull() | ((b["r"] < b["x"]["end"]) & suspicious(b["x"]["match"])))
+        return F.transform(kept, lambda b: F.struct(b["x"]["start"].alias("start"), b["x"]["no"].alias("no"), b["x"]["end"].alias("end"), b["x"]["kind"].alias("kind")))
+
+    secrets = F.when(F.size("_entropy") > 0, let(F.array_sort(F.concat(known, found)), judged)).otherwise(F.array_sort("secrets"))
+    return out.withColumn("secrets", secrets).drop("_text", "_entropy", *[f"_{k}" for k in PATTERNS])
 
 
 def listed(spans: Column) -> Column:
@@ -153,13 +183,25 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each stretch that spans cover replaced by ``mark``; null stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with each stretch that spans (in order of their starts) cover replaced by ``mark``; null stays null.
+    Stretches between them are cut out RUN at a time, since finding a place takes as long as the text before it."""
+
+    def made(s: Column) -> Column:
+        return let(running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), lambda ends: cut(s, ends))
+
+    def cut(s: Column, ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), ends)
+        gaps = F.filter(F.zip_with(s, F.slice(before, F.lit(1), F.size(s)), lambda x, at: F.struct(at.alias("from"), x["start"].alias("to"))), lambda g: g["from"] <= g["to"])
+        last = F.element_at(ends, -1)
+        return F.concat(let(gaps, joined), F.substring(text, last + 1, F.length(text)))
+
+    def joined(gaps: Column) -> Column:
+        heads = F.sequence(F.lit(0), F.size(gaps) - 1, F.lit(RUN))
+        return F.array_join(F.transform(heads, lambda i: let(F.slice(gaps, i + 1, RUN), run)), "")
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        out = F.when(fresh, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+    def run(own: Column) -> Column:
+        first, end = F.get(own, F.lit(0))["from"], F.element_at(own, -1)["to"]
+        piece = lambda part, g: F.concat(F.substring(part, g["from"] - first + 1, g["to"] - g["from"]), F.lit(mark))
+        return let(F.substring(text, first + 1, end - first), lambda part: F.array_join(F.transform(own, lambda g: piece(part, g)), ""))
 
-    made = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, made).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, made)).otherwise(text)
