@@ -1,12 +1,13 @@
 """Paragraph dedup: MinHash bands propose pairs, exact Jaccard similarity decides, components are removed.
 
-A paragraph is a line of at least ``MIN_WORDS`` words; its set is that of its 5-word shingles, lower-cased.
+A paragraph is a line of at least ``MIN_WORDS`` words, or shorter lines in a row that have so many together (text
+wrapped at some width: where lines end within it does not matter). Its set is that of its 5-word shingles, lower-cased.
 Bands and rows are tuned for recall. Equal sets are one member; colliding members are compared with pivots
 first, then pair by pair wherever a band still holds two components, in tiles where its members are many.
 
-What stands within longer lines is found by bands of another kind, seeds: runs of ``SEED`` words chosen by their
-hashes alone, so that every two equal runs of ``PASSAGE`` words have one in common wherever they stand. Lines that
-collide in a seed share its words; no further check is needed.
+What stands within longer paragraphs is found by bands of another kind, seeds: runs of ``SEED`` words chosen by their
+hashes alone, so that every two equal runs of ``PASSAGE`` words have one in common wherever they stand. Paragraphs
+that collide in a seed share its words; no further check is needed.
 """
 
 from __future__ import annotations
@@ -41,12 +42,18 @@ def tune(similarity: float, recall: float, bands: int = 12) -> tuple[int, int]:
 
 
 def lines(block: Block) -> tuple[Block, np.ndarray, np.ndarray]:
-    """The block cut at line ends as well: (lines, document of each, number of each within its document)."""
+    """The block cut into paragraphs as well: (paragraphs, document of each, number of its first line within its
+    document). Short lines that follow each other, no blank one between, are one paragraph: text that is wrapped."""
     begin = np.unique(np.concatenate([block.starts[:-1], np.flatnonzero(block.data == 10) + 1]))
     begin = begin[begin < len(block.data)]
     owner = block.owner(begin)
     first = np.searchsorted(owner, np.arange(len(block)))
-    return Block(0, block.data, np.append(begin, len(block.data))), owner, np.arange(len(begin)) - first[owner]
+    number = np.arange(len(begin)) - first[owner]
+    n = words(Block(0, block.data, np.append(begin, len(block.data)))).counts
+    wrapped = (n > 0) & (n < MIN_WORDS)
+    head = np.ones(len(begin), bool)
+    head[1:] = ~(wrapped[1:] & wrapped[:-1] & (owner[1:] == owner[:-1]))
+    return Block(0, block.data, np.append(begin[head], len(block.data))), owner[head], number[head]
 
 
 def _sets(block: Block):
@@ -57,7 +64,7 @@ def _sets(block: Block):
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (line number from 0), n_words, member (name of its set) of every paragraph."""
+    """doc_id, paragraph (number of its first line, from 0), n_words, member (name of its set) of every paragraph."""
     schema = StructType([docs.schema["doc_id"]]).add("paragraph", "long").add("n_words", "long").add("member", "long")
 
     def run(batches):
@@ -210,7 +217,8 @@ def _passages(docs: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
 
     Lines that ``found`` (of ``repeated_paragraphs``) removes are left out, and copies of a line count once.
     Every run of ``PASSAGE`` words or more that two lines have in common, up to the case of A-Z, is found; a row
-    spans the seeds found in it, which is ``SEED`` words at least, and need not reach both ends of the run.
+    spans the seeds found in it, which is ``SEED`` words at least; up to ``PASSAGE`` - ``SEED`` words at either end of a
+    run can be missing. (Seeds of one run are at most ``PASSAGE`` - ``SEED`` + 1 words apart.)
     """
     hits = keep(repeated(seed_keys(docs)).groupBy("key", "member").agg(F.min("note").alias("at")), "hits", free=True)
     left = table.join(found.filter("removed").select("row"), "row", "left_anti").select("doc_id", "paragraph", "member")
@@ -219,7 +227,7 @@ def _passages(docs: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.join(keep(first.filter("low != high").select("seed", "first"), "first"), "seed")
     own = ["doc_id", "paragraph", "member", "first"]
     ordered = Window.partitionBy(*own).orderBy("at")
-    rows = rows.select(*own, "at").withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(ordered) + SEED, F.lit(True)).cast("long"))
+    rows = rows.select(*own, "at").withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(ordered) + PASSAGE - SEED + 1, F.lit(True)).cast("long"))
     rows = rows.withColumn("run", F.sum("fresh").over(ordered))
     out = rows.groupBy(*own, "run").agg(F.min("at").alias("first_word"), (F.max("at") + SEED - F.min("at")).alias("n_words"))
     out = out.select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), "first_word")
