@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit, urlunsplit
 
@@ -158,31 +159,47 @@ def links(rows: DataFrame) -> DataFrame:
     return rows.select("url", F.explode("links").alias("l")).select("url", F.col("l.href").alias("dst"), F.col("l.nav").alias("nav"), F.col("l.ord").alias("ord"))
 
 
-def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int = 25, keywords: tuple[str, ...] = (), keep=None) -> DataFrame:
-    """(seed, url, depth, ord): pages reached from each seed over stored links, breadth first, up to
-    ``max_pages`` a seed, which ends the rounds at that depth. Links with a keyword come first, then navigation links. ``keep`` writes a round's
-    rows where its lineage should end (a function of DataFrame)."""
-    keep = keep or (lambda df: df.checkpoint())
+def first_links(edges: DataFrame, most: int, keywords: tuple[str, ...] = ()) -> DataFrame:
+    """(url, out): each page's first ``most`` distinct links (url, dst, nav, ord) in one array of (at, dst). Links
+    with a keyword come first, then navigation links, then by place on the page. Spark cuts the groups before its
+    shuffle, so a page with very many links sends ``most`` rows a task."""
     promoted = F.lit(1)
     for k in keywords:
         promoted = F.when(F.contains(F.lower("dst"), F.lit(k)), 0).otherwise(promoted)
-    order = ("promoted", "not_nav", "ord", "url")
-    edges = edges.withColumns({"promoted": promoted, "not_nav": (~F.col("nav")).cast("int")})
-    visited = keep(seeds.select(F.col("url").alias("seed"), "url", F.lit(0).alias("depth"), F.lit(0).alias("ord")).distinct())
-    frontier, depth = visited, 0
+    at = F.struct(promoted.alias("promoted"), (~F.coalesce("nav", F.lit(False))).cast("int").alias("not_nav"), "ord")
+    distinct = edges.filter("url is not null and dst is not null").groupBy("url", "dst").agg(F.min(at).alias("at"))
+    ranked = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy("at", "dst"))).filter(F.col("_r") <= most)
+    return ranked.groupBy("url").agg(F.collect_list(F.struct("at", "dst")).alias("out"))
+
+
+def crawl(edges: DataFrame, seeds: DataFrame, max_pages: int = 25, keywords: tuple[str, ...] = (), keep=None) -> DataFrame:
+    """(seed, url, depth, ord): pages reached from each seed over stored links, breadth first, up to
+    ``max_pages`` a seed, which ends the rounds at that depth; of the pages of one depth, those in the order of
+    ``first_links``. ``keep`` writes rows where their lineage should end (a function of DataFrame).
+
+    A seed with room for r pages has visited ``max_pages - r``, so of one page's links it takes none behind the
+    first ``max_pages``: links are cut to those once, which loses nothing. A round writes its own pages only, and
+    reads the visited pages of seeds that have room and came upon something new in the round before. There are at
+    most ``max_pages`` rounds, and a round has at most ``max_pages`` squared rows a seed. A seed with a null URL is
+    its own only page; links from or to null URLs are left out."""
+    keep = keep or (lambda df: df.checkpoint())
+    out = keep(first_links(edges, max_pages, keywords))
+    start = seeds.select(F.col("url").alias("seed"), "url").distinct()
+    rounds = [keep(start.withColumns({"depth": F.lit(0), "ord": F.lit(0), "held": F.lit(1)}))]
+    of_seed = Window.partitionBy("seed")
     while True:
-        depth += 1
-        step = frontier.select("seed", "url").join(edges.select("url", "dst", "promoted", "not_nav", F.col("ord").alias("ord")), "url")
-        step = step.groupBy("seed", F.col("dst").alias("url")).agg(F.min("promoted").alias("promoted"), F.min("not_nav").alias("not_nav"), F.min("ord").alias("ord"))
-        step = step.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-        held = visited.groupBy("seed").agg(F.count(F.lit(1)).alias("held"))
-        at = F.row_number().over(Window.partitionBy("seed").orderBy(*order))
-        step = step.withColumn("at", at).join(held, "seed").filter(F.col("held") + F.col("at") <= max_pages)
-        frontier = keep(step.select("seed", "url", F.lit(depth).alias("depth"), (F.col("held") + F.col("at") - 1).cast("int").alias("ord")))
+        frontier = rounds[-1].filter(F.col("held") < max_pages)
         if frontier.isEmpty():
             break
-        visited = keep(visited.unionByName(frontier))
-    return visited
+        seen = reduce(DataFrame.unionByName, rounds).select("seed", "url").join(frontier.select("seed").distinct(), "seed", "left_semi")
+        step = frontier.select("seed", "url", "held").join(out, "url").select("seed", "held", F.explode("out").alias("o"))
+        step = step.groupBy("seed", F.col("o.dst").alias("url")).agg(F.min("o.at").alias("at"), F.first("held").alias("before"))
+        step = step.join(seen, ["seed", "url"], "left_anti").withColumn("_r", F.row_number().over(of_seed.orderBy("at", "url")))
+        step = step.filter((F.col("_r") <= max_pages) & (F.col("before") + F.col("_r") <= max_pages))
+        place = (F.col("before") + F.col("_r") - 1).cast("int").alias("ord")
+        held = (F.col("before") + F.count(F.lit(1)).over(of_seed)).cast("int").alias("held")
+        rounds.append(keep(step.select("seed", "url", F.lit(len(rounds)).alias("depth"), place, held)))
+    return reduce(DataFrame.unionByName, rounds).drop("held")
 
 
 def seed_urls(bases: DataFrame, terms: DataFrame, most: int = 100) -> DataFrame:
