@@ -268,18 +268,32 @@ def citation_rebuild(spark, sf_dir):
     return match.per_document(docs, entries(spark, sf_dir).drop("text")).select("id", "entry_id", "rule")
 
 
-@query(
-    f"""WITH {ENTRIES_SQL}, {_NAMED}, d AS (SELECT id, filename, regexp_replace(filename, '\\.[A-Za-z0-9]+$', '') AS stem FROM named), {_KEYWORDS},
+_FILENAME_PAIRS = f"""WITH {ENTRIES_SQL}, {_NAMED}, d AS (SELECT id, filename, regexp_replace(filename, '\\.[A-Za-z0-9]+$', '') AS stem FROM named), {_KEYWORDS},
 b AS (SELECT DISTINCT filename, stem, regexp_replace(regexp_replace(stem, '^([0-9]{{14}}|[0-9]{{8}}_[0-9]{{6}})_', ''), '^[0-9]{{8}}_', '') AS bare FROM d),
 f AS (SELECT DISTINCT filename AS held FROM entries WHERE filename IS NOT NULL),
 p AS (SELECT filename, held, CASE WHEN filename = held THEN 1 WHEN contains(held, stem) THEN 2 WHEN contains(filename, held) THEN 3 ELSE 4 END AS rule FROM b, f WHERE contains(held, bare) OR contains(filename, held)),
 r AS (SELECT d.id, e.entry_id, p.rule FROM p JOIN d ON d.filename = p.filename JOIN entries e ON e.filename = p.held UNION ALL SELECT d.id, e.entry_id, 5 FROM kp JOIN d ON d.filename = kp.filename JOIN entries e ON e.title = kp.title)
 SELECT id, entry_id, min(rule) AS rule FROM r GROUP BY 1, 2"""
-)
+
+
+@query(_FILENAME_PAIRS)
 def filename_matches(spark, sf_dir):
     return match.filename_pairs(_named(spark, sf_dir), entries(spark, sf_dir).drop("text")).select("id", "entry_id", "rule")
 
 
+@query(
+    f"""WITH {ENTRIES_SQL}, {_NAMED}, pairs AS ({_FILENAME_PAIRS})
+SELECT min(p.id) AS id, min(p.entry_id) AS entry_id, p.rule, count(DISTINCT p.id) AS n_documents, count(DISTINCT p.entry_id) AS n_entries FROM pairs p JOIN named d ON d.id = p.id JOIN entries e ON e.entry_id = p.entry_id GROUP BY d.filename, e.filename, e.title, p.rule"""
+)
+def filename_match_classes(spark, sf_dir):
+    """The same matches between distinct names, with how many documents and entries have them."""
+    docs, stored = _named(spark, sf_dir), entries(spark, sf_dir).drop("text")
+    pairs = match.filename_classes(docs, stored)
+    n_docs = match.classes(docs, "id", ("filename",)).select("id", F.col("members").alias("n_documents"))
+    n_entries = match.classes(stored, "entry_id", ("filename", "title")).select("entry_id", F.col("members").alias("n_entries"))
+    return pairs.join(n_docs, "id").join(n_entries, "entry_id").select("id", "entry_id", "rule", "n_documents", "n_entries")
+
+
 @query(f"WITH {ENTRIES_SQL}, e AS (SELECT entry_id, substring(filename, 1, 12) AS title FROM entries WHERE file_path IS NULL AND filename IS NOT NULL), d AS (SELECT id, filename FROM docs WHERE file_path IS NOT NULL), t AS (SELECT title, max(d.id) AS id FROM (SELECT DISTINCT title FROM e) x JOIN d ON starts_with(d.filename, x.title) GROUP BY 1) SELECT entry_id, t.id FROM e JOIN t ON e.title = t.title WHERE length(e.title) >= 5")
 def path_prefix_matches(spark, sf_dir):
     rows = entries(spark, sf_dir).withColumn("title", F.substring("filename", 1, 12))
