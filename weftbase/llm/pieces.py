@@ -27,9 +27,10 @@ BLANK = 0x2581
 LITERAL = 0x110000
 #: Words up to this many characters advance together; longer ones are rare and go one by one.
 TOGETHER = 48
-#: Characters looked up at once, and bytes of a block: more words of a block repeat than of a small one.
+#: Characters looked up at once, and bytes of a block: more words of a block repeat than of a small one, but its
+#: arrays are many times its size.
 LOOKUPS = 150_000
-WIDE = 3_000_000
+WIDE = 1_000_000
 ZIPF = 100
 
 
@@ -238,19 +239,16 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     def run(batches):
         pieces = shared.value
         for batch in batches:
-            ids, sizes, same = [], [np.zeros(1, np.int64)], []
             for block in blocks(batch.column("text"), WIDE):
                 own, at = pieces.encode(block)
                 data, ends = pieces.decode(own, at)
                 if len(data) == len(block.data) and np.array_equal(ends, block.starts) and np.array_equal(data, block.data):
-                    same.append(np.ones(len(block), bool))
+                    same = np.ones(len(block), bool)
                 else:
-                    same.append(np.array([np.array_equal(data[ends[i] : ends[i + 1]], block.data[block.starts[i] : block.starts[i + 1]]) for i in range(len(block))]))
-                ids.append(own)
-                sizes.append(np.diff(at))
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            made = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in rest], made.cast(pa.list_(pa.field("element", pa.int32(), False))), pa.array(np.concatenate(same) if same else np.zeros(0, bool))], schema.names)
+                    same = np.array([np.array_equal(data[ends[i] : ends[i + 1]], block.data[block.starts[i] : block.starts[i + 1]]) for i in range(len(block))])
+                made = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own)).cast(pa.list_(pa.field("element", pa.int32(), False)))
+                part = batch.slice(block.first, len(block))
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in rest], made, pa.array(same)], schema.names)
 
     return docs.mapInArrow(run, schema)
 
