@@ -52,6 +52,22 @@ def without_documents(entries: DataFrame, removed: DataFrame) -> DataFrame:
     return entries.join(gone.select("entry_id"), "entry_id", "left_anti").join(paths, "file_path", "left_anti")
 
 
+def removal(entries: DataFrame, gone: DataFrame) -> DataFrame:
+    """The entries that go with ``gone`` (entry_id, file_path: those named for removal, by whatever rule), with
+    ``cause``: named, or path where an entry only shares its file_path with a named one. An entry_id that is null
+    names nothing, nor does a null path; repeated rows of ``gone`` count once."""
+    named = gone.select("entry_id").filter("entry_id is not null").distinct()
+    paths = gone.select("file_path").filter("file_path is not null").distinct()
+    first = entries.join(named, "entry_id", "left_semi").withColumn("cause", F.lit("named"))
+    swept = entries.join(named, "entry_id", "left_anti").join(paths, "file_path", "left_semi")
+    return first.unionByName(swept.withColumn("cause", F.lit("path")))
+
+
+def removed_counts(entries: DataFrame, gone: DataFrame, *by: str) -> DataFrame:
+    """How many entries a removal takes by cause, and by the columns ``by``: cause, n. Nothing removed, no rows."""
+    return removal(entries, gone).groupBy(*by, "cause").agg(F.count(F.lit(1)).alias("n"))
+
+
 def slug_rows(rows: DataFrame, column: str, least: int = 5, host: str | None = None) -> DataFrame:
     """One row per slug of a URL, of one host only if it is given."""
     if host:

@@ -106,6 +106,25 @@ def delete_documents(spark, sf_dir):
     return store.without_documents(entries(spark, sf_dir), removed).select("entry_id")
 
 
+@query(f"WITH {ENTRIES_SQL}, gone AS (SELECT * FROM entries WHERE document_id % 50 = 0), hit AS (SELECT document_id, CASE WHEN document_id % 50 = 0 THEN 'named' ELSE 'path' END AS cause FROM entries WHERE document_id % 50 = 0 OR file_path IN (SELECT file_path FROM gone WHERE file_path IS NOT NULL)) SELECT document_id, cause, count(*) AS n FROM hit GROUP BY ALL")
+def removed_by_document(spark, sf_dir):
+    """What the removal of ``delete_documents`` takes, of the named documents and of those that share their files."""
+    rows = entries(spark, sf_dir)
+    return store.removed_counts(rows, rows.filter("document_id % 50 = 0"), "document_id")
+
+
+@query(f"WITH {ENTRIES_SQL}, gone AS (SELECT * FROM entries WHERE contains(url, '/disease/')), hit AS (SELECT source_type, CASE WHEN coalesce(contains(url, '/disease/'), false) THEN 'named' ELSE 'path' END AS cause FROM entries WHERE coalesce(contains(url, '/disease/'), false) OR file_path IN (SELECT file_path FROM gone WHERE file_path IS NOT NULL)) SELECT source_type, cause, count(*) AS n FROM hit GROUP BY ALL")
+def removed_by_url(spark, sf_dir):
+    rows = entries(spark, sf_dir)
+    return store.removed_counts(rows, rows.filter(F.contains("url", F.lit("/disease/"))), "source_type")
+
+
+@query(f"WITH {ENTRIES_SQL}, named AS (SELECT *, coalesce(contains(filename, '_src1-1'), false) OR coalesce(contains(file_path, '_src1-1'), false) OR coalesce(contains(title, '_src1-1'), false) OR coalesce(contains(citation, '_src1-1'), false) AS hit FROM entries), gone AS (SELECT file_path FROM named WHERE hit AND file_path IS NOT NULL) SELECT filename, CASE WHEN hit THEN 'named' ELSE 'path' END AS cause, count(*) AS n FROM named WHERE hit OR file_path IN (SELECT file_path FROM gone) GROUP BY ALL")
+def removed_by_filename(spark, sf_dir):
+    rows = entries(spark, sf_dir)
+    return store.removed_counts(rows, store.by_filename(rows, "_src1-1"), "filename")
+
+
 @query(f"WITH {DOCS_SQL}, s AS (SELECT id, unnest(string_split(regexp_extract(source_url, '^[a-z]+://[^/]+(.*)', 1), '/')) AS slug FROM docs WHERE contains(source_url, 'src2')) SELECT id, slug FROM s WHERE length(slug) > 5 AND contains(slug, '-')")
 def url_slugs(spark, sf_dir):
     return store.slug_rows(documents(spark, sf_dir).filter("source_url is not null"), "source_url", host="src2").select("id", "slug")

@@ -38,13 +38,32 @@ def break_aware_chunks(spark, sf_dir):
     return rows.select("doc_id", F.col("c.pos").alias("pos"), F.md5(F.col("c.text").cast("binary")).alias("text"))
 
 
-@query()
+def _sequential_sql(text: str, size: int, overlap: int, back: int, end: str) -> str:
+    """The chunks as a recursion over their starts. ``end`` picks a chunk's end from m (where it would end by size), s
+    (its start), n (the text's length) and w (its last ``back`` characters, reversed); all count from 0."""
+    return (
+        f"WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, x, length(x) AS n FROM (SELECT doc_id, {text} AS x FROM documents) WHERE length(x) > 0),"
+        " c(r, k, s, e) AS (SELECT r, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM t UNION ALL"
+        f" SELECT r, k, s, CASE WHEN m = n THEN m ELSE {end} END FROM (SELECT *, reverse(substring(x, greatest(s, m - {back}) + 1, m - greatest(s, m - {back}))) AS w"
+        f" FROM (SELECT *, least(s + {size}, n) AS m FROM (SELECT t.r, x, n, k + 1 AS k, CASE WHEN k < 0 THEN 0 ELSE greatest(s + 1, e - {overlap}) END AS s FROM c JOIN t ON c.r = t.r WHERE k < 0 OR e < n)))),"
+        " p AS (SELECT r, k, doc_id, trim(substring(x, s + 1, e - s), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM c JOIN t USING (r) WHERE k >= 0)"
+        " SELECT doc_id, row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS pos, text FROM p WHERE text <> ''"
+    )
+
+
+def _last_sql(mark: str, takes: int = 0) -> str:
+    """WHEN ... THEN the place of the last ``mark`` (reversed) in w, plus ``takes``, where it is after the start."""
+    at = f"m - strpos(w, {mark}) + 1 - length({mark})"
+    return f"WHEN strpos(w, {mark}) > 0 AND {at} > s THEN {at} + {takes}"
+
+
+@query(_sequential_sql("replace(replace(replace(text, chr(13) || chr(10), ' '), chr(10), ' '), chr(13), ' ')", 1000, 200, 100, f"CASE {_last_sql(chr(39) + ' .' + chr(39), 1)} {_last_sql(chr(39) + ' ' + chr(39))} ELSE m END"))
 def sentence_chunks(spark, sf_dir):
     rows = _raw(spark, sf_dir, "documents").select("doc_id", F.explode(T.sequential_chunks(F.col("text"))).alias("c"))
     return rows.select("doc_id", F.col("c.pos").alias("pos"), F.col("c.text").alias("text"))
 
 
-@query()
+@query(_sequential_sql("substring(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), 1, 100000)", 1500, 150, 200, f"CASE {_last_sql('chr(10) || chr(10)')} {_last_sql('chr(10)')} ELSE m END"))
 def paragraph_chunks(spark, sf_dir):
     rows = _raw(spark, sf_dir, "documents").select("doc_id", F.explode(T.sequential_chunks(F.col("text"), 1500, 150, "paragraph")).alias("c"))
     return rows.select("doc_id", F.col("c.pos").alias("pos"), F.col("c.text").alias("text"))
