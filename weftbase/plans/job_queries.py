@@ -344,7 +344,16 @@ def page_chunks(spark, sf_dir):
     return pages.page_chunks(text, "2025-03-27").select("page_id", "chunk_index", "text", "page_number", "citation")
 
 
-@query()
+_MENU = "(?s)<(?:nav|header|footer)[ >].*?</(?:nav|header|footer)>"
+_HREFS = "'<a href=\"([^\"]*)\"', 1"
+
+
+@query(
+    f"""WITH p AS (SELECT url, regexp_extract(url, '^[a-z]+://[^/?#]+') AS host, regexp_extract_all(array_to_string(regexp_extract_all(html, '{_MENU}'), ''), {_HREFS}) AS menu, regexp_extract_all(regexp_replace(html, '{_MENU}', '', 'g'), {_HREFS}) AS rest FROM pages),
+h AS (SELECT url, host, unnest(list_transform(menu || rest, lambda x, i: {{'href': x, 'at': i, 'nav': i <= len(menu)}})) AS l FROM p),
+f AS (SELECT url, host || l.href AS dst, min(l.at) AS place, arg_min(l.nav, l.at) AS nav FROM h WHERE starts_with(l.href, '/') GROUP BY ALL)
+SELECT url, dst, nav, row_number() OVER (PARTITION BY url ORDER BY place) - 1 AS ord FROM f"""
+)
 def page_links(spark, sf_dir):
     return pages.links(pages.parsed(_raw(spark, sf_dir, "pages")))
 
