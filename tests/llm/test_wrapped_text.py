@@ -30,3 +30,24 @@ def test_wrapped_paragraphs_and_passages(spark):
         first, n, kept, removed = found[doc][0]
         assert begin <= first and first + n <= begin + 120 and n >= 120 - 2 * (paragraphs.PASSAGE - paragraphs.SEED)
         assert kept == 4 and removed == (doc != 4)
+
+
+def test_passages_across_the_ends_of_lines(spark):
+    """A passage of 54 words, in lines of less than 50, stands within other lines of either document."""
+    own = iter(range(10**6))
+    text = lambda n: [f"w{next(own)}" for _ in range(n)]
+    texts, begins = [], []
+    for i in range(30):
+        passage = text(54)
+        for cut in (4 + i, 46 - i):
+            before = text(25 + i)
+            texts.append("\n".join([" ".join(text(30)), " ".join(before + passage[:cut]), " ".join(passage[cut:] + text(30)), " ".join(text(3))]))
+            begins.append((len(before), cut))
+    docs = spark.createDataFrame(list(enumerate([*texts, "\n\n".join(" ".join(text(15)) for _ in range(8))])), "doc_id long, text string")
+    rows = paragraphs.repeated_text(docs).collect()
+    assert {r.doc_id for r in rows} == set(range(60)) and len(rows) == 60
+    for r in rows:
+        before, cut = begins[r.doc_id]
+        first = r.first_word - before if r.paragraph == 1 else r.first_word + cut
+        assert r.paragraph in (1, 2) and 0 <= first and first + r.n_words <= 54 and r.n_words >= paragraphs.SEED
+        assert r.kept_doc_id == r.doc_id // 2 * 2 and r.removed == (r.doc_id % 2 == 1)

@@ -5,9 +5,9 @@ wrapped at some width: where lines end within it does not matter). Its set is th
 Bands and rows are tuned for recall. Equal sets are one member; colliding members are compared with pivots
 first, then pair by pair wherever a band still holds two components, in tiles where its members are many.
 
-What stands within longer paragraphs is found by bands of another kind, seeds: runs of ``SEED`` words chosen by their
-hashes alone, so that every two equal runs of ``PASSAGE`` words have one in common wherever they stand. Paragraphs
-that collide in a seed share its words; no further check is needed.
+What stands within longer paragraphs, or across the ends of paragraphs, is found by bands of another kind, seeds: runs of
+``SEED`` words of a document chosen by their hashes alone, so that every two equal runs of ``PASSAGE`` words have one in
+common wherever they stand. Documents that collide in a seed share its words; no further check is needed.
 """
 
 from __future__ import annotations
@@ -64,17 +64,24 @@ def _sets(block: Block):
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (number of its first line, from 0), n_words, member (name of its set) of every paragraph."""
-    schema = StructType([docs.schema["doc_id"]]).add("paragraph", "long").add("n_words", "long").add("member", "long")
+    """doc_id, doc (name of the row), paragraph (number of its first line, from 0), n_words, member (name of its set) of
+    every paragraph."""
+    schema = StructType([docs.schema["doc_id"]]).add("doc", "long").add("paragraph", "long").add("n_words", "long").add("member", "long")
 
     def run(batches):
         for batch in batches:
             for block in blocks(batch.column("text")):
                 n, owner, number, _, _, names = _sets(block)
                 use = n >= MIN_WORDS
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(block.first + owner[use])), pa.array(number[use]), pa.array(n[use]), pa.array(signed(names[use]))], schema.names)
+                own = pa.array(block.first + owner[use])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("doc").take(own), pa.array(number[use]), pa.array(n[use]), pa.array(signed(names[use]))], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return _named(docs).mapInArrow(run, schema)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text and doc, a hash of both."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
 
 
 def bands(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
@@ -139,7 +146,7 @@ def repeated_paragraphs(docs: DataFrame, recall: float = 0.998) -> DataFrame:
     documents of their own; of equal first paragraphs one is kept.
     """
     docs = docs.select("doc_id", "text")
-    return _repeated(docs, _numbered(docs), recall).drop("row")
+    return _repeated(docs, _numbered(docs), recall).drop("row", "doc")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -158,7 +165,7 @@ def _repeated(docs: DataFrame, table: DataFrame, recall: float) -> DataFrame:
     rows = table.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph", "member", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     out = rows.join(keep(first.drop("n"), "first"), "component")
-    return out.select("row", "doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), (F.col("row") != F.col("first.row")).alias("removed"))
+    return out.select("row", "doc", "doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), (F.col("row") != F.col("first.row")).alias("removed"))
 
 
 def _like_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -186,59 +193,78 @@ def _slide(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     return best(x[:n], x[width - have : width - have + n])
 
 
-def _seeds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each seed of the lines of ``PASSAGE`` words or more: name of the line's set, word of the line (from 0),
-    hash."""
-    cut, _, _ = lines(block)
-    w = words(cut)
-    names = set_names(*shingle_sets(cut))
-    hashes, line = shingle_hashes(word_hashes(cut, w, fold=True), w, SEED)
-    own = w.counts[line] >= PASSAGE
-    hashes, line = mix64(hashes[own]), line[own]
-    at = seeds(hashes, line, PASSAGE - SEED + 1)
-    return names[line[at]], at - np.searchsorted(line, line[at]), hashes[at]
+def _seeds(block: Block) -> tuple[np.ndarray, ...]:
+    """Of each seed of the documents of ``PASSAGE`` words or more: hash, document, word (from 0) of the document and of
+    the paragraph it begins in, and the numbers of the paragraphs that it begins and ends in and, where it holds a whole
+    one of ``MIN_WORDS`` words between (there is room for one), of that; else of the first again."""
+    cut, _, number = lines(block)
+    w, offsets = words(block), words(cut).offsets
+    hashes, doc = shingle_hashes(word_hashes(block, w, fold=True), w, SEED)
+    own = w.counts[doc] >= PASSAGE
+    hashes, doc = mix64(hashes[own]), doc[own]
+    at = seeds(hashes, doc, PASSAGE - SEED + 1)
+    doc, place = doc[at], at - np.searchsorted(doc, doc[at])
+    word = w.offsets[doc] + place
+    first, last = (np.searchsorted(offsets, x, "right") - 1 for x in (word, word + SEED - 1))
+    long_ = np.append(np.flatnonzero(np.diff(offsets) >= MIN_WORDS), len(cut))
+    middle = long_[np.searchsorted(long_, first, "right")] if len(first) else first
+    middle = np.where(middle < last, middle, first)
+    return hashes[at], doc, place, word - offsets[first], number[first], number[last], number[middle]
 
 
 def seed_keys(docs: DataFrame) -> DataFrame:
-    """Exchange rows: key is a seed, member the name of its line's set, note the seed's place in the line."""
+    """Exchange rows: key is a seed, member the paragraph of the document that it begins in, note its word of the document;
+    doc_id, doc; begins (number of that paragraph, word within it), ends (numbers of the paragraphs it ends in and holds)."""
 
     def run(batches):
         for batch in batches:
+            names = batch.column("doc").to_numpy().view(np.uint64)
             for block in blocks(batch.column("text")):
-                names, at, hashes = _seeds(block)
-                yield routed(hashes, names, note=at)
-
-    return docs.select("text").mapInArrow(run, ROUTED)
-
-
-def _passages(docs: DataFrame, table: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per passage within a line of ``table`` that stands in another line too: the columns of
-    ``repeated_paragraphs`` and first_word (from 0, in its line).
-
-    Lines that ``found`` (of ``repeated_paragraphs``) removes are left out, and copies of a line count once.
-    Every run of ``PASSAGE`` words or more that two lines have in common, up to the case of A-Z, is found; a row
-    spans the seeds found in it, which is ``SEED`` words at least; up to ``PASSAGE`` - ``SEED`` words at either end of a
-    run can be missing. (Seeds of one run are at most ``PASSAGE`` - ``SEED`` + 1 words apart.)
+                hashes, doc, place, word, first, last, middle = _seeds(block)
+                doc += block.first
+                more = {"doc_id": batch.column("doc_id").take(pa.array(doc)), "doc": batch.column("doc").take(pa.array(doc)), "begins": pa.array((first << 32) + word), "ends": pa.array((last << 32) + middle)}
+                yield routed(hashes, mix64(names[doc] ^ mix64((first + 1).astype(np.uint64))), note=place, more=more)
+
+    schema = StructType().add("route", "long").add("key", "long").add("member", "long").add("kind", "long").add(docs.schema["doc_id"])
+    return _named(docs).mapInArrow(run, schema.add("doc", "long").add("begins", "long").add("ends", "long"))
+
+
+def _passages(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row per passage of a document that stands in another one too, or in two paragraphs of one: the columns of
+    ``repeated_paragraphs`` and first_word (from 0, in the paragraph that the passage begins in). It can go on into
+    the paragraphs that follow.
+
+    Paragraphs that ``found`` (of ``_repeated``) removes are left out, and so is what reaches into them. Of the rest,
+    every run of ``PASSAGE`` words or more that two documents have in common, up to the case of A-Z, is found, wherever
+    lines end within it, and so is every one within two paragraphs of one document. Where a run comes again within a
+    paragraph, the first place counts. A row spans the seeds found in it, which is ``SEED`` words at least; up to
+    ``PASSAGE`` - ``SEED`` words at either end of a run can be missing. (Seeds of one run are at most ``PASSAGE`` -
+    ``SEED`` + 1 words apart.)
     """
-    hits = keep(repeated(seed_keys(docs)).groupBy("key", "member").agg(F.min("note").alias("at")), "hits", free=True)
-    left = table.join(found.filter("removed").select("row"), "row", "left_anti").select("doc_id", "paragraph", "member")
-    rows = keep(hits.withColumnRenamed("key", "seed").join(left, "member"), "seeds", free=True)
-    first = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.min("member").alias("low"), F.max("member").alias("high"))
+    high = lambda c: F.shiftright(c, 32)
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    hits = keep(repeated(seed_keys(docs)).withColumnRenamed("key", "seed"), "hits", free=True)
+    removed = keep(found.groupBy("doc", "paragraph").agg(F.every("removed").alias("gone")).filter("gone").withColumnRenamed("paragraph", "part"), "removed")
+    parts = hits.withColumn("part", F.explode(F.array_distinct(F.array(high("begins"), high("ends"), low("ends"))))).join(removed, ["doc", "part"], "left")
+    held = F.struct(F.col("note").alias("at"), "doc_id", "doc", high("begins").alias("paragraph"), low("begins").alias("word"), (high("begins") != high("ends")).alias("crosses"))
+    rows = parts.groupBy("seed", "member").agg(F.min(held).alias("held"), F.count("gone").alias("gone")).filter("gone = 0")
+    rows = keep(rows.select("seed", "held.*", F.when(F.col("held.crosses"), F.col("held.doc")).otherwise(F.col("member")).alias("where")), "seeds", free=True)
+    first = rows.groupBy("seed").agg(F.min(F.struct("doc_id", "paragraph", "doc", "at")).alias("first"), F.min("where").alias("low"), F.max("where").alias("high"))
     rows = rows.join(keep(first.filter("low != high").select("seed", "first"), "first"), "seed")
-    own = ["doc_id", "paragraph", "member", "first"]
-    ordered = Window.partitionBy(*own).orderBy("at")
-    rows = rows.select(*own, "at").withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(ordered) + PASSAGE - SEED + 1, F.lit(True)).cast("long"))
+    rows = rows.withColumn("own", (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at")))
+    one = ["doc_id", "doc", "first.doc_id", "first.doc", "own"]
+    ordered = Window.partitionBy(*one).orderBy("at")
+    rows = rows.withColumn("fresh", F.coalesce(F.col("at") > F.lag("at").over(ordered) + PASSAGE - SEED + 1, F.lit(True)).cast("long"))
     rows = rows.withColumn("run", F.sum("fresh").over(ordered))
-    out = rows.groupBy(*own, "run").agg(F.min("at").alias("first_word"), (F.max("at") + SEED - F.min("at")).alias("n_words"))
-    out = out.select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.paragraph").alias("kept_paragraph"), "first_word")
-    return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("paragraph") == F.col("kept_paragraph"))))
+    out = rows.groupBy("doc_id", "doc", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.doc").alias("kept_doc"), "own", "run")
+    out = out.agg(F.min(F.struct("at", "paragraph", "word", F.col("first.paragraph").alias("kept_paragraph"))).alias("begin"), F.max("at").alias("last"))
+    return out.select("doc_id", "begin.paragraph", (F.col("last") + SEED - F.col("begin.at")).alias("n_words"), "kept_doc_id", "begin.kept_paragraph", (~F.col("own")).alias("removed"), F.col("begin.word").alias("first_word"))
 
 
 def repeated_text(docs: DataFrame, recall: float = 0.998) -> DataFrame:
-    """``repeated_paragraphs`` (first_word null), and one row per passage within a line it leaves that stands in
-    another line too, with first_word (from 0, in its line): every run of ``PASSAGE`` words or more that two lines
-    have in common. Of rows that repeat a doc_id, equal passages are one."""
+    """``repeated_paragraphs`` (first_word null), and one row per passage of the text it leaves that stands elsewhere
+    too, with first_word (from 0, in its paragraph): every run of ``PASSAGE`` words or more that two documents, or two
+    paragraphs of one, have in common. Of rows that repeat a doc_id and a text, equal passages are one."""
     docs = docs.select("doc_id", "text")
-    table = _numbered(docs)
-    whole = keep(_repeated(docs, table, recall), "whole", free=True)
-    return whole.drop("row").withColumn("first_word", F.lit(None).cast("long")).unionByName(_passages(docs, table, whole))
+    whole = keep(_repeated(docs, _numbered(docs), recall), "whole", free=True)
+    return whole.drop("row", "doc").withColumn("first_word", F.lit(None).cast("long")).unionByName(_passages(docs, whole))

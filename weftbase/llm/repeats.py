@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from weftbase.llm.textbatch import mix64, signed
 
@@ -18,9 +19,10 @@ ROUTED = "route long, key long, member long, kind long"
 ALONE, MARKER, KNOWN = 0, 1, 2
 
 
-def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None, note: np.ndarray | None = None) -> pa.RecordBatch:
+def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None, note: np.ndarray | None = None, more: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
     """Rows to exchange for a batch of (key, member) pairs (64-bit values); equal pairs become one.
-    ``sure``: keys (sorted) that repeat in any case; ``note``: a number that stays with each pair."""
+    ``sure``: keys (sorted) that repeat in any case; ``note``: a number that stays with each pair; ``more``: other columns
+    that do."""
     order = np.lexsort((member, key))
     key, member = key[order], member[order]
     fresh = np.ones(len(key), bool)
@@ -38,41 +40,54 @@ def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None,
     route = np.concatenate([key[alone], key[head], mix64(key[again] ^ mix64(member[again]))])
     n = alone.sum(), head.sum(), again.sum()
     zero = np.zeros(n[0] + n[1], np.uint64)
+    which = pa.array(order[fresh][np.concatenate([np.flatnonzero(x) for x in (alone, head, again)])]) if more else None
+    more = {name: column.take(which) for name, column in (more or {}).items()}
     return pa.RecordBatch.from_arrays(
         [
             pa.array(signed(route)),
             pa.array(signed(np.concatenate([zero, key[again]]))),
             pa.array(signed(np.concatenate([member[alone], zero[: n[1]], member[again]]))),
             pa.array(np.repeat(np.array([ALONE, MARKER, KNOWN]), n) + 4 * np.concatenate([note[alone], np.zeros(n[1], np.int64), note[again]])),
+            *more.values(),
         ],
-        ["route", "key", "member", "kind"],
+        ["route", "key", "member", "kind", *more],
     )
 
 
 def _reduce(batches):
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not parts:
+    batches = list(batches)
+    if not batches:
         return
-    route, key, member, kind = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    rows = pa.Table.from_batches(batches)
+    route, key, member, kind = (rows.column(c).to_numpy() for c in ("route", "key", "member", "kind"))
+    more = rows.drop_columns(["route", "key", "member", "kind"])
+
+    def made(key, which):
+        own = more.take(pa.array(which)).combine_chunks()
+        columns = [pa.array(key[which]), pa.array(member[which]), pa.array(note[which]), *(c.combine_chunks() for c in own.columns)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "member", "note", *own.column_names])
+
     note, kind = kind >> 2, kind & 3
-    known = kind == KNOWN
-    if known.any():
-        yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(member[known]), pa.array(note[known])], ["key", "member", "note"])
-    route, member, kind, note = route[~known], member[~known], kind[~known], note[~known]
-    order = np.lexsort((kind, member, route))
-    route, member, kind, note = route[order], member[order], kind[order], note[order]
-    fresh = np.ones(len(route), bool)
-    fresh[1:] = (route[1:] != route[:-1]) | (member[1:] != member[:-1]) | (kind[1:] != kind[:-1])
-    route, member, kind, note = route[fresh], member[fresh], kind[fresh], note[fresh]
-    same = np.zeros(len(route), bool)
-    same[1:] = route[1:] == route[:-1]
+    known = np.flatnonzero(kind == KNOWN)
+    if len(known):
+        yield made(key, known)
+    order = np.flatnonzero(kind != KNOWN)
+    order = order[np.lexsort((kind[order], member[order], route[order]))]
+    by = [x[order] for x in (route, member, kind)]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([x[1:] != x[:-1] for x in by], 0)
+    order, place, alone = order[fresh], by[0][fresh], by[2][fresh] == ALONE
+    same = np.zeros(len(order), bool)
+    same[1:] = place[1:] == place[:-1]
     again = same.copy()
     again[:-1] |= same[1:]
-    out = again & (kind == ALONE)
-    yield pa.RecordBatch.from_arrays([pa.array(route[out]), pa.array(member[out]), pa.array(note[out])], ["key", "member", "note"])
+    yield made(route, order[again & alone])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(key, member, note) for all pairs whose key has two members or more, from ``routed`` rows; a pair can come
-    more than once."""
-    return rows.repartition("route").mapInArrow(_reduce, "key long, member long, note long")
+    """(key, member, note, other columns) for all pairs whose key has two members or more, from ``routed`` rows; a pair can
+    come more than once."""
+    schema = StructType().add("key", "long").add("member", "long").add("note", "long")
+    for field in rows.schema.fields[4:]:
+        schema = schema.add(field)
+    return rows.repartition("route").mapInArrow(_reduce, schema)
