@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
 import pytest
 
 from weftbase.llm import alignment
@@ -97,3 +98,24 @@ def test_empty_table_and_other_columns(spark):
     assert (row["n_links"], row["n_best"], row["count_sum"]) == (2, 2, 2)
     groups = alignment.groups(other, BYTES, PIECES).head()["groups"]
     assert len(groups) == 2 and all(len(g["a"]) == len(g["b"]) == 1 for g in groups)
+
+
+def test_bytes_a_remembered_chunk():
+    """What a worker keeps of a chunk beside its links and group texts: a few numbers, no objects of Python."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weftbase.llm.textbatch import blocks
+
+    aligner = alignment.Aligner(*alignment._files(BYTES, PIECES))
+    (block,) = blocks(pa.array([" ".join(f"w{i}" for i in range(30_000))]))
+    tracemalloc.start()
+    aligner.chunks(block)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    n, known = len(aligner.known.index), aligner.known
+    from weftbase.llm import textbatch
+
+    rest = known.links.nbytes + len(b"".join(known.texts(np.arange(n)))) + sum(x.nbytes for x in textbatch._powers.values())
+    assert n == 30_000 and held - rest < 120 * n

@@ -82,17 +82,51 @@ class Encoder:
         return same
 
 
+@dataclass
+class Index:
+    """The place of each key, in two arrays: a worker's many chunks would take ten times as much as a dict."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def values(self) -> list[int]:
+        return self.places.tolist()
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for keys it does not have."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.places[at], -1).astype(np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        """New keys get the next places."""
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.places = np.insert(self.places, at, (len(self.keys) + order).astype(np.int32))
+        self.keys = np.insert(self.keys, at, keys[order])
+
+
 @dataclass
 class Known:
     """What is known of chunks, in order of first sight: counts of tokens and groups, the links' pairs
-    (A's id * 2**32 + B's id), the text of the groups; ``good``: whether both decode to the chunk."""
+    (A's id * 2**32 + B's id), the texts of the groups, a byte after each; ``good``: whether both decode to the chunk."""
 
-    index: dict[int, int] = field(default_factory=dict)
+    index: Index = field(default_factory=Index)
     counts: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.int64))
     links: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     link_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     good: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    groups: list[bytes] = field(default_factory=list)
+    groups: bytearray = field(default_factory=bytearray)
+    group_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+
+    def texts(self, which: np.ndarray) -> list[bytes]:
+        """The groups of each of these chunks."""
+        begin, end = self.group_at[which], self.group_at[which + 1]
+        return [bytes(self.groups[i:j]) for i, j in zip(begin.tolist(), np.maximum(begin, end - 1).tolist(), strict=True)]
 
 
 class Aligner:
@@ -126,15 +160,20 @@ class Aligner:
         raw = data.tobytes()
         texts = [raw[i:j].decode() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         point = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        n = np.array([len(e) for e in found], np.int64)
-        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * int(n.sum())).reshape(-1, 2)
+        # one text after the other, so that few of the encoders' own objects exist at once
+        of_a, of_b = [], []
+        for t in texts:
+            e = self.tokenizer.encode(t, add_special_tokens=False)
+            of_a.append((np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2)))
+            p = self.pieces.encode(t[1:], return_type="proto", num_threads=1).pieces
+            of_b.append(np.fromiter(chain.from_iterable((x.id, x.begin, x.end) for x in p), np.int64, 3 * len(p)).reshape(-1, 3))
+        n = np.array([len(x) for x, _ in of_a], np.int64)
+        spans = np.concatenate([x for _, x in of_a])
         spans = point[np.minimum(spans + np.repeat(np.searchsorted(point, at[:-1]), n)[:, None], len(point) - 1)]
-        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64, int(n.sum()))
+        ids = np.concatenate([x for x, _ in of_a])
         a = self._dealt(self.a, ids, spans[:, 0], spans[:, 1], starts)
-        proto = self.pieces.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        n = np.array([len(p.pieces) for p in proto], np.int64)
-        table = np.fromiter(chain.from_iterable((x.id, x.begin, x.end) for p in proto for x in p.pieces), np.int64, 3 * int(n.sum())).reshape(-1, 3)
+        n = np.array([len(x) for x in of_b], np.int64)
+        table = np.concatenate(of_b)
         base = np.repeat(at[:-1], n) + 1
         begin = table[:, 1] + base
         # the space that the encoder puts in front belongs to the first piece
@@ -166,37 +205,36 @@ class Aligner:
             of_link, of_group = np.searchsorted(starts[1:], cuts), np.searchsorted(starts[1:], both)
             n_links, n_groups = np.bincount(of_link, minlength=len(good)), np.bincount(of_group, minlength=len(good))
             k = self.known
-            size = len(k.groups)
-            k.index.update(zip(keys[part].tolist(), range(size, size + len(good)), strict=True))
+            k.index.add(keys[part])
             k.counts = np.concatenate([k.counts, np.stack([n_a, n_b, n_groups, n_links], 1)])
             k.links = np.concatenate([k.links, links])
             k.link_at = np.concatenate([k.link_at, k.link_at[-1] + np.cumsum(n_links)])
             k.good = np.concatenate([k.good, good])
-            k.groups += _group_texts(ids_a, end_a, ids_b, end_b, both, n_a + n_b)
+            made, ends = _group_texts(ids_a, end_a, ids_b, end_b, both, n_a + n_b)
+            k.groups += made
+            k.group_at = np.concatenate([k.group_at, k.group_at[-1] + ends])
 
     def chunks(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The known chunk that each chunk of a block is, and where each document's begin. Empty texts have none."""
         size = np.diff(block.starts)
         filled = size > 0
         lead = np.concatenate([[0], np.cumsum(filled)])
-        data = np.full(len(block.data) + int(filled.sum()), 32, np.uint8)
-        data[np.arange(len(block.data)) + np.repeat(lead[1:], size)] = block.data
+        data = np.insert(block.data, block.starts[:-1][filled], 32)
         begin = block.starts + lead
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(block) + 1, np.int64)
         padded = np.concatenate([[0, 0, 0], data, [0]]).astype(np.uint8)
-        border = (data == 32) & _border(data, np.arange(len(data)), padded[2:-2], padded[1:-3], padded[:-4])
-        border[begin[:-1][filled]] = True
-        start = np.flatnonzero(border)
+        start = np.flatnonzero(data == 32)
+        start = start[_border(data, start, padded[start + 2], padded[start + 1], padded[start])]
+        start = np.union1d(start, begin[:-1][filled])
         end = np.append(start[1:], len(data))
         key = span_hash(prefix_hash(data), start, end) + (end - start).astype(np.uint64)
         distinct, one, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known.groups) > REMEMBERED:
+        if len(self.known.index) > REMEMBERED:
             self.known = Known()
-        index = self.known.index
-        new = np.array([x not in index for x in distinct.tolist()], bool)
+        new = self.known.index.find(distinct) < 0
         self.learn(distinct[new], data, start[one[new]], end[one[new]])
-        which = np.fromiter((index[x] for x in distinct.tolist()), np.int64, len(distinct))
+        which = self.known.index.find(distinct)
         return which[back], np.searchsorted(start, begin)
 
 
@@ -213,8 +251,8 @@ def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(at[-1]) + np.repeat(start - at[:-1], end - start), at
 
 
-def _group_texts(ids_a: np.ndarray, end_a: np.ndarray, ids_b: np.ndarray, end_b: np.ndarray, both: np.ndarray, tokens: np.ndarray) -> list[bytes]:
-    """The groups of each chunk as ``a1,a2|b1;a3|b2``. ``tokens``: of each chunk, A's and B's."""
+def _group_texts(ids_a: np.ndarray, end_a: np.ndarray, ids_b: np.ndarray, end_b: np.ndarray, both: np.ndarray, tokens: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The groups of each chunk as ``a1,a2|b1;a3|b2``, a byte after each, and where each ends. ``tokens``: of each chunk, A's and B's."""
     of_a, of_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
     after = np.concatenate([np.where(both[of_a] == end_a, ord("|"), ord(",")), np.where(both[of_b] == end_b, ord(";"), ord(","))])
     order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
@@ -223,8 +261,7 @@ def _group_texts(ids_a: np.ndarray, end_a: np.ndarray, ids_b: np.ndarray, end_b:
     flat, ends = ragged(at, ids)
     made = digits[flat]
     made[ends[1:] - 1] = after[order]
-    raw, cut = made.tobytes(), ends[np.concatenate([[0], np.cumsum(tokens)])].tolist()
-    return [raw[i : j - 1] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return made.tobytes(), ends[np.cumsum(tokens)]
 
 
 @functools.cache
@@ -265,9 +302,9 @@ def _unit(aligner: Aligner, block: Block, doc_ids: pa.Array, number: int) -> dic
     whole = (n > 0) & (segment_sums(~known.good[chunk], at) == 0)
     chunk, at = chunk[np.repeat(whole, n)], np.concatenate([[0], np.cumsum(np.where(whole, n, 0))])
     sums = [segment_sums(known.counts[chunk, i], at).tolist() for i in range(4)]
-    texts, names = known.groups, chunk.tolist()
-    shas = [sha256(b";".join([texts[i] for i in names[at[d] : at[d + 1]]])).hexdigest() if whole[d] else "" for d in range(len(block))]
     used, words = np.unique(chunk, return_inverse=True)
+    texts, names = known.texts(used), words.tolist()
+    shas = [sha256(b";".join([texts[i] for i in names[at[d] : at[d + 1]]])).hexdigest() if whole[d] else "" for d in range(len(block))]
     links, link_at = ragged(known.link_at, used)
     pairs, link = np.unique(known.links[links], return_inverse=True)
     weight = np.repeat(np.bincount(words, minlength=len(used)), np.diff(link_at))
@@ -354,9 +391,10 @@ def groups(docs: DataFrame, byte_json: str, piece_model: str) -> DataFrame:
         for batch in batches:
             for block in blocks(batch.column("text"), UNIT):
                 chunk, at = aligner.chunks(block)
-                texts, good, out = aligner.known.groups, aligner.known.good, []
+                used, place = np.unique(chunk, return_inverse=True)
+                texts, good, out = aligner.known.texts(used), aligner.known.good[used], []
                 for d in range(len(block)):
-                    own = chunk[at[d] : at[d + 1]]
+                    own = place[at[d] : at[d + 1]]
                     both = [g.split("|") for i in own.tolist() for g in texts[i].decode().split(";")] if good[own].all() else []
                     out.append([{"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))} for a, b in both])
                 kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
