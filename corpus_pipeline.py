@@ -26,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
+    model = spark.sparkContext.broadcast(model)
     sizes = docs.filter(F.octet_length("text") >= LONG).select("text")
-    costs = keep(langid.identify(sizes, model, keep_text=False).filter("lang_pred != 'und'"), "costs")
+    costs = keep(langid.identify(sizes, model, keep_text=False).filter("lang_pred != 'und'"), "costs", free=True)
     middle = costs.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", 0.5, 1000).alias("middle"))
     off = costs.join(F.broadcast(middle), "lang_pred").groupBy("lang_pred", "middle").agg(F.percentile_approx(F.abs(F.col("bits_per_byte") - F.col("middle")), 0.5, 1000).alias("off"))
     # one row a language

@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         under = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(under, "a").select("b", "m").filter("b != m").toDF("a", "b").union(under.select("a", "m").toDF("a", "b"))
-        now = keep(_distinct(small), "edges")
+        now = keep(_distinct(small), "edges", free=True)
         before, mark = mark, _mark(now)
         if mark == before:
             break

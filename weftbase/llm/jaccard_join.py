@@ -212,7 +212,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     prefix = keep(frequency_prefixes(sets), "prefixes", free=True)
     heads = prefix.groupBy("member", "n", "length").agg(F.collect_list("key").alias("keys"))
     found = L.linked(prefix.select("key", "member"), sets, FEW, check=lambda pairs: matching(pairs, heads))
-    groups = keep(components(found), "components")
+    groups = keep(components(found), "components", free=True)
     out = names.join(groups.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "member")))
     least_id = out.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return out.join(least_id, "component", "left").select(*[f"`{c}`" for c in names.columns], "component", F.coalesce("component_id", "doc_id").alias("component_id"))

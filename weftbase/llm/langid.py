@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -170,19 +171,19 @@ def train(docs: DataFrame, sample_bytes: int = 4_000_000) -> Model | None:
     return Model({k: (g["gram"].to_numpy().astype(np.uint32), g["n"].to_numpy()) for k, g in table.groupby("lang")}) if len(table) else None
 
 
-def identify(docs: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model | Broadcast | None, keep_text: bool = True) -> DataFrame:
     """``docs`` (any columns, text among them) with lang_pred, score and bits_per_byte.
 
     score is the share of the predicted language when each weighs 2 ** -(its code length). A text that is
     null or has no letter gets ``und`` and score 0. Of languages with equal code lengths the first by name is taken;
     equal texts get equal results. Only the text is looked at, and without ``keep_text`` it does not come back from
-    the tasks.
+    the tasks. A model that is used more than once can come as a broadcast variable.
     """
     docs = without(docs, "lang_pred", "score", "bits_per_byte", "_letters")
     rest = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     if model is None:
         return docs.select(*[f"`{f.name}`" for f in rest]).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*rest, *_added.fields])
 
     def predict(batches):

@@ -27,7 +27,7 @@ def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = (80, 100)
     """The pairs (a, b) whose sets have at least that Jaccard similarity, exactly. ``sets``: member, n,
     tokens (binary: sorted distinct 64-bit values). Only the sets that the pairs name travel."""
     num, den = share
-    pairs = keep(pairs, "pairs")
+    pairs = keep(pairs, "pairs", free=True)
     members = keep(pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct(), "members")
     own = sets.join(members, "member", "left_semi")
     left = own.select(F.col("member").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -125,7 +125,7 @@ def star_rounds(keys: DataFrame, sets: DataFrame, rounds: int, check: Check, piv
         if new.isEmpty():
             break
         links = links.union(new)
-    return links, keep(labels(links), "labels")
+    return links, keep(labels(links), "labels", free=True)
 
 
 def pair_groups(open_: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def pair_groups(open_: DataFrame) -> DataFrame:
     """
     lists = open_.groupBy("key").agg(F.bit_xor(F.xxhash64("member")).alias("list"), F.count(F.lit(1)).alias("n"), F.min("member").alias("pivot"))
     lists = keep(lists.groupBy("pivot", "list", "n").agg(F.min("key").alias("key")), "lists")
-    rows = keep(open_.join(lists.select("key", "pivot"), "key"), "rows")
+    rows = keep(open_.join(lists.select("key", "pivot"), "key"), "rows", free=True)
     size = rows.select("pivot", "member").distinct().groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
     each = lists.groupBy("pivot").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
     together = keep(each.join(size, "pivot").filter("size * size <= pairs").select("pivot", F.lit(True).alias("together")), "together")
@@ -174,4 +174,4 @@ def open_keys(keys: DataFrame, found: DataFrame) -> DataFrame:
     """``keys`` with each member's component, only of keys that have more than one component."""
     own = with_components(keys, found)
     ends = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return keep(own.join(ends.filter("low != high").select("key"), "key"), "open")
+    return keep(own.join(ends.filter("low != high").select("key"), "key"), "open", free=True)

@@ -126,6 +126,7 @@ def mix_sources(
     if "print" not in sizes.columns:
         sizes = sizes.withColumn("print", F.lit(0).cast("long"))
     targets = keep(source_targets(sizes, weights, max_repeats), "targets")
+    slots = keep(schedule(targets, block_words), "slots", free=True)
     rows = streams(sizes.filter("size > 0"), targets, seed)
     limit = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
     rows = rows.withColumn("limit", limit).withColumn("epoch", F.explode(F.expr(f"sequence(0, {max_repeats - 1})")))
@@ -134,7 +135,7 @@ def mix_sources(
     rows = rows.withColumn("rank", F.explode(F.expr(f"sequence(from_at div {block_words}, (to_at - 1) div {block_words})")))
     begin = F.greatest("from_at", F.col("rank") * block_words)
     end = F.least("to_at", (F.col("rank") + 1) * block_words)
-    pieces = rows.join(schedule(targets, block_words), ["source_no", "rank"]).select(
+    pieces = rows.join(slots, ["source_no", "rank"]).select(
         "slot", "source_no", "epoch", "row_id", "doc_id", (begin - F.col("from_at")).alias("from_word"), (end - F.col("from_at")).alias("to_word")
     )
     return pieces, targets
@@ -152,6 +153,7 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
     sizes = keep(sizes, "sizes")
     pieces, targets = mix_sources(sizes, **how)
     taken = pieces.groupBy("row_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.count(F.lit(1)).alias("slots"), F.min("slot").alias("first_slot"))
+    taken = keep(taken, "taken", free=True)
     rows = sizes.join(taken, "row_id", "left")
     return rows.join(targets.withColumnRenamed("source", "named"), rows["source"].eqNullSafe(F.col("named"))).select(
         "row_id", "doc_id", "print", rows["source"], "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", "slots")], "first_slot"
