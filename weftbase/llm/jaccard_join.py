@@ -28,7 +28,7 @@ from weftbase.llm import links as L
 from weftbase.llm.components import components
 from weftbase.llm.repeats import ROUTED, repeated, routed
 from weftbase.llm.scratch import keep, without
-from weftbase.llm.textbatch import Block, blocks, mix64, segment_sums, shingle_hashes, signed, word_hashes, words
+from weftbase.llm.textbatch import LEAN, Block, blocks, lean, mix64, segment_sums, shingle_hashes, signed, word_hashes, words
 
 WIDTH = 5
 #: A prefix by hash takes LEAST shingles, and one for every SHARE of the set, more than it must.
@@ -72,10 +72,11 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = StructType([*rest]).add("n_shingles", "long").add("member", "long")
 
+    @lean
     def run(batches):
         for batch in batches:
             n, names = [], []
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), LEAN):
                 hashes, at = shingle_sets(block)
                 n.append(np.diff(at))
                 names.append(set_names(hashes, at))
@@ -88,10 +89,11 @@ def classes(docs: DataFrame) -> DataFrame:
 def prefixes(docs: DataFrame) -> DataFrame:
     """Exchange rows of the prefix shingles by hash: key is a shingle, member a set."""
 
+    @lean
     def run(batches):
         keys, members = [], []
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), LEAN):
                 hashes, at = shingle_sets(block)
                 n, names = np.diff(at), set_names(hashes, at)
                 _, one = np.unique(names, return_index=True)
@@ -125,9 +127,10 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
+    @lean
     def run(batches):
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), LEAN):
                 hashes, at = shingle_sets(block)
                 names = signed(set_names(hashes, at))
                 raw = hashes.tobytes()
@@ -171,8 +174,8 @@ def frequency_prefixes(sets: DataFrame) -> DataFrame:
     """key, member, n, length (of the member's prefix): the shingles that other sets have too, of each prefix of the
     order by frequency. A set that has the whole of its least prefix for itself is like no other, and has no row."""
     sets = sets.select("member", "n", "tokens")
-    counts = sets.mapInArrow(_counts, "key long, sets long").repartition("key").mapInArrow(_sums, "key long, sets long")
-    rows = sets.mapInArrow(_tokens, "key long, member long").join(counts, "key").join(sets.select("member", "n"), "member")
+    counts = sets.mapInArrow(lean(_counts), "key long, sets long").repartition("key").mapInArrow(lean(_sums), "key long, sets long")
+    rows = sets.mapInArrow(lean(_tokens), "key long, member long").join(counts, "key").join(sets.select("member", "n"), "member")
     own = Window.partitionBy("member")
     rows = rows.withColumns({"at": F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("sets", "key")), "least": F.expr("n - (4 * n + 4) div 5 + 1")})
     rows = rows.withColumn("cost", F.sum(F.when(F.col("at") <= F.col("least"), F.col("sets") - 1)).over(own)).filter("cost is not null")

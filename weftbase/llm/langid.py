@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftbase.llm.scratch import without
-from weftbase.llm.textbatch import BLOCK, LOWER, Block, blocks
+from weftbase.llm.textbatch import LEAN, LOWER, Block, blocks, lean
 
 ORDER = 3
 PAD = 10
@@ -117,8 +117,8 @@ class Model:
     def score(self, block: Block) -> np.ndarray:
         """Code length in bits of each document in each language: documents x languages."""
         out = np.zeros((len(block), len(self.languages)))
-        for begin in range(0, len(block.data), BLOCK):
-            gram = grams(block) if begin == 0 and len(block.data) <= BLOCK else self._long(block, begin)
+        for begin in range(0, len(block.data), LEAN):
+            gram = grams(block) if begin == 0 and len(block.data) <= LEAN else self._long(block, begin)
             at = self._home(gram)
             column = self.slots[at]
             wrong = np.flatnonzero((self.keys[at] != gram) & (column >= 0))
@@ -141,7 +141,7 @@ class Model:
     def _long(block: Block, begin: int) -> np.ndarray:
         """A stretch of a text that is longer than a block, after the bytes that precede it."""
         ahead = min(begin, ORDER)
-        part = block.data[begin - ahead : begin + BLOCK]
+        part = block.data[begin - ahead : begin + LEAN]
         return grams(Block(0, part, np.array([0, len(part)])))[ahead:]
 
 
@@ -158,11 +158,12 @@ def train(docs: DataFrame, sample_bytes: int = 4_000_000) -> Model | None:
     share = F.coalesce(*[F.when(F.col("lang") == F.lit(k), F.lit(min(1.0, sample_bytes / v))) for k, v in totals.items()])
     chosen = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * F.lit(float(1 << 20)))
 
+    @lean
     def count(batches):
         for batch in batches:
             for lang in batch.column("lang").unique().to_pylist():
                 own = batch.filter(pa.compute.equal(batch.column("lang"), lang))
-                for block in blocks(own.column("text")):
+                for block in blocks(own.column("text"), LEAN):
                     gram, n = np.unique(grams(block), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
@@ -186,11 +187,12 @@ def identify(docs: DataFrame, model: Model | Broadcast | None, keep_text: bool =
     shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*rest, *_added.fields])
 
+    @lean
     def predict(batches):
         model = shared.value
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            parts = [model.score(block) for block in blocks(batch.column("text"))]
+            parts = [model.score(block) for block in blocks(batch.column("text"), LEAN)]
             bits = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
             best = bits.argmin(1) if len(bits) else np.zeros(0, int)
             least = bits.min(1) if len(bits) else np.zeros(0)

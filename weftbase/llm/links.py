@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftbase.llm.scratch import keep
+from weftbase.llm.textbatch import lean
 
 Check = Callable[[DataFrame], DataFrame]
 #: Shared tokens that ``within_tiles`` counts at once, and tokens of a slice.
@@ -34,6 +35,7 @@ def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = (80, 100)
     right = own.select(F.col("member").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").filter((F.least("na", "nb") * den) >= (F.greatest("na", "nb") * num))
 
+    @lean
     def check(batches):
         for batch in batches:
             ok = np.zeros(len(batch), bool)

@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from weftbase.llm.scratch import without
-from weftbase.llm.textbatch import BASE, BASE_INVERSE, Block, HashIndex, blocks, mix64, powers, ragged
+from weftbase.llm.textbatch import BASE, BASE_INVERSE, Block, HashIndex, blocks, lean, mix64, powers, ragged
 
 BLANK = 0x2581
 #: Stands for a literal U+2581 of the text, which is not a blank.
 LITERAL = 0x110000
 #: Words up to this many characters advance together; longer ones are rare and go one by one.
 TOGETHER = 48
-#: Characters looked up at once, and bytes of a block: more words of a block repeat than of a small one, but its
-#: arrays are many times its size.
+#: Characters looked up at once, and bytes of a block: more words of a large block repeat, but its arrays are many
+#: times its size.
 LOOKUPS = 150_000
-WIDE = 1_000_000
+WIDE = 500_000
 ZIPF = 100
 
 
@@ -236,6 +236,7 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
     schema = StructType([*rest, StructField("ids", _ids)]).add("round_trip", "boolean")
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(path))
 
+    @lean
     def run(batches):
         pieces = shared.value
         for batch in batches:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from weftbase.llm.textbatch import mix64, signed
+from weftbase.llm.textbatch import lean, mix64, signed
 
 #: ``kind``: one of the four below, and four times the pair's note.
 ROUTED = "route long, key long, member long, kind long"
@@ -54,6 +54,7 @@ def routed(key: np.ndarray, member: np.ndarray, sure: np.ndarray | None = None,
     )
 
 
+@lean
 def _reduce(batches):
     batches = list(batches)
     if not batches:

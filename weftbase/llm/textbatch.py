@@ -7,13 +7,19 @@ the size of the Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 2_000_000
+#: Blocks for workers that shall stay small: their arrays, many times a block's size, also fit a core's cache better.
+LEAN = 500_000
+#: Batches of more bytes are worth giving memory back after.
+LARGE = 4_000_000
 #: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -43,6 +49,35 @@ class Block:
         return np.searchsorted(self.starts, positions, "right") - 1
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: Arrow's pool and the C library both keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def _lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = batch.nbytes
+        yield batch
+        del batch
+        if size > LARGE:
+            give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, for mapInArrow, with memory given back after each large batch and at the end: a worker outlives its
+    tasks, and what it keeps of one adds to the executor's memory in all later steps."""
+
+    @functools.wraps(run)
+    def call(batches):
+        yield from run(_lean(batches))
+        give_back()
+
+    return call
+
+
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
     """Split a string column into blocks; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
