@@ -65,3 +65,17 @@ def test_lean_passes_all_batches_on():
 
     out = [batch.column("n").to_pylist() for batch in run(iter(given))]
     assert out == [x for batch in given for x in (batch.slice(0, 1).column("n").to_pylist(), batch.slice(1).column("n").to_pylist())]
+
+
+def test_language_scores_do_not_depend_on_the_size_of_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    from weftbase.llm.langid import Model, grams
+    from weftbase.llm.textbatch import LEAN, blocks
+
+    texts = pa.array([f"{'ab' * (n % 7)} cd{n} " * 40 for n in range(3000)])
+    model = Model({"a": np.unique(grams(next(blocks(texts[:50]))), return_counts=True), "b": np.unique(grams(next(blocks(texts[50:60]))), return_counts=True)})
+    large, small = ([model.score(block) for block in blocks(texts, *size)] for size in ((), (LEAN,)))
+    assert len(large) < len(small)
+    assert np.array_equal(np.concatenate(large), np.concatenate(small))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from weftbase.llm.scratch import without
-from weftbase.llm.textbatch import LEAN, LOWER, Block, blocks, lean
+from weftbase.llm.textbatch import BLOCK, LEAN, LOWER, Block, blocks, lean
 
 ORDER = 3
 PAD = 10
@@ -117,8 +117,8 @@ class Model:
     def score(self, block: Block) -> np.ndarray:
         """Code length in bits of each document in each language: documents x languages."""
         out = np.zeros((len(block), len(self.languages)))
-        for begin in range(0, len(block.data), LEAN):
-            gram = grams(block) if begin == 0 and len(block.data) <= LEAN else self._long(block, begin)
+        for begin in range(0, len(block.data), BLOCK):
+            gram = grams(block) if begin == 0 and len(block.data) <= BLOCK else self._long(block, begin)
             at = self._home(gram)
             column = self.slots[at]
             wrong = np.flatnonzero((self.keys[at] != gram) & (column >= 0))
@@ -141,7 +141,7 @@ class Model:
     def _long(block: Block, begin: int) -> np.ndarray:
         """A stretch of a text that is longer than a block, after the bytes that precede it."""
         ahead = min(begin, ORDER)
-        part = block.data[begin - ahead : begin + LEAN]
+        part = block.data[begin - ahead : begin + BLOCK]
         return grams(Block(0, part, np.array([0, len(part)])))[ahead:]
 
 
