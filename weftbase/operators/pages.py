@@ -16,12 +16,14 @@ from weftbase.functions.citation import website
 from weftbase.functions.text import break_aware_chunks, html_title
 from weftbase.operators.search import longest
 
-PARSED = "page_id long, url string, title string, candidates array<struct<method:string,text:string>>, links array<struct<href:string,nav:boolean,ord:int>>"
+PARSED = "page_id long, url string, title string, candidates array<struct<method:string,text:string>>, links array<struct<href:string,nav:boolean,ord:int,place:int>>"
 #: Class or id words that mark the main content.
 CONTAINERS = ("content", "main-content", "article-body", "post-content", "entry-content")
 _SKIP = {"script", "style", "noscript", "template"}
 _BLOCK = {"p", "div", "article", "section", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "ul", "ol", "body", "main"}
 _VOID = {"br", "img", "hr", "input", "meta", "link"}
+#: White space that is not one blank already.
+_WIDE, _BLANKS = re.compile(r"[^\S ]\s*| \s+"), re.compile(" {2,}")
 
 
 class _Page(HTMLParser):
@@ -35,7 +37,7 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         own = dict(attrs)
-        if tag == "a" and own.get("href"):
+        if tag == "a" and own.get("href") is not None:
             self.links.append((own["href"], any(t in ("nav", "header", "footer") for t, _ in self.stack)))
         marked = any(w in CONTAINERS for w in f"{own.get('class') or ''} {own.get('id') or ''}".split())
         if tag not in _VOID:
@@ -60,7 +62,7 @@ class _Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         tags = {t for t, _ in self.stack}
-        text = re.sub(r"\s+", " ", data)
+        text = _WIDE.sub(" ", data)
         if tags & _SKIP or not text.strip():
             return
         put = lambda k: self.texts[k].append(text)
@@ -83,13 +85,13 @@ class _Page(HTMLParser):
             put("headings")
 
     def text(self, kind: str) -> str:
-        lines = (re.sub(" +", " ", x).strip() for x in "".join(self.texts[kind]).split("\n"))
+        lines = (_BLANKS.sub(" ", x).strip() for x in "".join(self.texts[kind]).split("\n"))
         return "\n".join(x for x in lines if x.strip("# "))
 
 
 def absolute(base: str, href: str) -> str | None:
     """A link of the same host without query and fragment; None for others."""
-    if href.startswith(("#", "javascript:", "mailto:", "tel:")):
+    if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
         return None
     try:
         full = urlsplit(urldefrag(urljoin(base, href)).url)
@@ -110,10 +112,10 @@ def parse_page(html: str | None, url: str | None) -> tuple[str, list[dict], list
     title = page.text("title").replace("\n", " ")
     found.append({"method": "navigation", "text": "\n".join(x for x in (f"Title: {title}" if title else "", f"Menu/Navigation: {nav}" if nav else "", head) if x)})
     links: dict[str, dict] = {}
-    for href, is_nav in sorted(page.links, key=lambda x: not x[1]):
+    for place, (href, is_nav) in enumerate(sorted(page.links, key=lambda x: not x[1])):
         full = absolute(url or "", href)
         if full and full not in links:
-            links[full] = {"href": full, "nav": is_nav, "ord": len(links)}
+            links[full] = {"href": full, "nav": is_nav, "ord": len(links), "place": place}
     return title, found, list(links.values())
 
 
@@ -159,6 +161,17 @@ def links(rows: DataFrame) -> DataFrame:
     return rows.select("url", F.explode("links").alias("l")).select("url", F.col("l.href").alias("dst"), F.col("l.nav").alias("nav"), F.col("l.ord").alias("ord"))
 
 
+def links_of_urls(rows: DataFrame) -> DataFrame:
+    """(url, dst, nav, ord): ``links`` of each URL, whatever number of pages is stored under it. A link has one row,
+    at the first of its places among all links of a page; of links at the same place of two pages, navigation comes
+    first, then the lesser ``dst``. The links of one URL are sorted in one task, which spills."""
+    found = rows.select("url", F.explode("links").alias("l"))
+    at = F.min(F.col("l.place") * 2 + F.when(F.col("l.nav"), 0).otherwise(1)).alias("at")
+    merged = found.groupBy("url", F.col("l.href").alias("dst")).agg(at)
+    ord_ = (F.row_number().over(Window.partitionBy("url").orderBy("at", "dst")) - 1).alias("ord")
+    return merged.select("url", "dst", (F.col("at") % 2 == 0).alias("nav"), ord_)
+
+
 def first_links(edges: DataFrame, most: int, keywords: tuple[str, ...] = ()) -> DataFrame:
     """(url, out): each page's first ``most`` distinct links (url, dst, nav, ord) in one array of (at, dst). Links
     with a keyword come first, then navigation links, then by place on the page. Spark cuts the groups before its

@@ -355,7 +355,7 @@ f AS (SELECT url, host || l.href AS dst, min(l.at) AS place, arg_min(l.nav, l.at
 SELECT url, dst, nav, row_number() OVER (PARTITION BY url ORDER BY place) - 1 AS ord FROM f"""
 )
 def page_links(spark, sf_dir):
-    return pages.links(pages.parsed(_raw(spark, sf_dir, "pages")))
+    return pages.links_of_urls(pages.parsed(_raw(spark, sf_dir, "pages")))
 
 
 @query()
